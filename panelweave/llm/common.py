@@ -150,3 +150,44 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x *= _U64(0x94D049BB133111EB)
         x ^= x >> _U64(31)
     return x
+
+
+class IntTable:
+    """int64 keys (>= 0) to int32 values by open addressing, in two arrays."""
+
+    def __init__(self, keys: np.ndarray, vals: np.ndarray, missing: int):
+        self.missing = np.int32(missing)
+        self.bits = max(8, int(4 * len(keys)).bit_length())
+        self.mask = np.int64((1 << self.bits) - 1)
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.vals = np.full(1 << self.bits, missing, np.int32)
+        slots = self._slot(keys)
+        self.longest = 0
+        while len(keys):
+            self.longest += 1
+            free = self.keys[slots] == -1
+            at, first = np.unique(slots[free], return_index=True)
+            take = np.flatnonzero(free)[first]
+            self.keys[at], self.vals[at] = keys[take], vals[take]
+            rest = np.ones(len(keys), bool)
+            rest[take] = False
+            keys, vals, slots = keys[rest], vals[rest], (slots[rest] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = keys.view(_U64) * _U64(0x9E3779B97F4A7C15)
+        return (h >> _U64(64 - self.bits)).astype(np.int64)
+
+    def lookup(self, keys: np.ndarray) -> np.ndarray:
+        """Value of each key (one dimension), ``missing`` where absent."""
+        out = np.full(len(keys), self.missing, np.int32)
+        todo, slots = np.arange(len(keys)), self._slot(keys)
+        for _ in range(self.longest):
+            found = self.keys[slots]
+            hit = found == keys
+            out[todo[hit]] = self.vals[slots[hit]]
+            on = ~hit & (found != -1)
+            if not on.any():
+                break
+            todo, keys, slots = todo[on], keys[on], (slots[on] + 1) & self.mask
+        return out

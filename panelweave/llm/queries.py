@@ -2,18 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dup
+from . import byte_bpe, chat_format, exact_dedup, lm_score, near_dup, packing, pii, quality, token_count, warc
+
+BPE_JSON = public_tokenizers.path("byte_bpe_50k.json")
+BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
+
+#: A conversation whose texts look like the template's control strings.
+PROBE = (-7, r"\### Assistant: </turn> ok")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+# ---- 1 -------------------------------------------------------------------- #
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return warc.read_archives(manifest)
+
+
+# ---- 2 -------------------------------------------------------------------- #
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_dedup.find_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = exact_dedup.find_duplicates(_documents(spark, sf_dir))
     digest = F.when(F.col("_pw_sha").isNull(), F.col("text"))
     return found.select(
         "doc_id",
@@ -37,16 +56,113 @@ from t
 """
 
 
+# ---- 3 -------------------------------------------------------------------- #
+def pieces(docs: DataFrame) -> DataFrame:
+    packed = packing.pack_documents(docs, BPE_JSON, BPE_RANKS, PATTERN)
+    return packed.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces(_documents(spark, sf_dir))
+
+
+# ---- 4 -------------------------------------------------------------------- #
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+# ---- 5 -------------------------------------------------------------------- #
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(_documents(spark, sf_dir)).drop("text")
+    base = F.filter("pii_spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    counts = [F.size(F.expr(f"filter(pii_spans, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("pii_spans")).alias("spans"))
+
+
+# ---- 6 -------------------------------------------------------------------- #
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    conv, text = PROBE
+    probe = spark.createDataFrame([(conv, 0, "user", text), (conv, 1, "assistant", text)], turns.schema)
+    return chat_format.read_back(chat_format.format_turns(turns.unionByName(probe)))
+
+
+OP6_SQL = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+)
+select conv_id,
+       count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(length('### ') + length(regexp_replace(role, '[\\#<:]', 'xx', 'g')) + length(': ')
+           + length(regexp_replace(text, '[\\#<]', 'xx', 'g')) + length('</turn>') + 1)::bigint as formatted_chars
+from t group by conv_id
+"""
+
+
+# ---- 7 -------------------------------------------------------------------- #
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(_documents(spark, sf_dir), BPE_RANKS).drop("text")
+
+
+# ---- 8 -------------------------------------------------------------------- #
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = byte_bpe.encode(_documents(spark, sf_dir), BPE_RANKS, PATTERN).drop("text")
+    back = byte_bpe.decode(ids, BPE_RANKS, PATTERN)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
+# ---- 9 -------------------------------------------------------------------- #
+POLICY = "v2"
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.ledger(_documents(spark, sf_dir), keep_text=False)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        quality.fails("base").alias("base_failed"),
+        (~quality.fails(POLICY)).alias("kept"),
+        "failed_bits",
+    )
+
+
+# ---- 10 ------------------------------------------------------------------- #
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
     return ledger.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_packing": op3_packing,
+    "op4_lm_score": op4_lm_score,
+    "op5_pii": op5_pii,
+    "op6_chat_format": op6_chat_format,
+    "op7_token_count": op7_token_count,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_quality_rules": op9_quality_rules,
     "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": OP2_SQL,
+    "op6_chat_format": OP6_SQL,
 }
