@@ -225,21 +225,23 @@ def near_duplicates(
         .withColumn("u", F.col("m") - F.size("held"))
         .withColumn("take", F.expr(f"{_allowed(num, den, fine_size)} + 1 - u"))
         .where("take > 0")
-        # values no partner can hold; counted only where partners' sketches are whole sets
-        .withColumn("own", F.expr(f"case when n <= {num * fine_size // den} then u else 0 end"))
-        .select("cls", "n", "own", (F.col("u") / F.col("m")).alias("odd"), F.expr("transform(slice(held, 1, take), x -> x.v)").alias("keys"))
+        .select("cls", "n", "u", (F.col("u") / F.col("m")).alias("odd"), F.expr("transform(slice(held, 1, take), x -> x.v)").alias("keys"))
     )
     nodes = materialize(nodes, "near-nodes")
-    post = nodes.select(F.explode("keys").alias("v"), "cls", "n", "own", "odd")
+    # pos: values of the class that come before v.  At the first value two classes have in
+    # common, none of those is shared, which bounds the overlap; a linked pair always passes in
+    # that list.  Counted only where partners' sketches are whole sets.
+    post = nodes.select("cls", "n", "u", "odd", F.posexplode("keys").alias("i", "v"))
+    post = post.select("v", "cls", "n", "odd", F.expr(f"case when n <= {num * fine_size // den} then u + i else 0 end").alias("pos"))
 
     # 4a. each list's most central class against the others
     possible = (
-        f"{den} * least(n - own, n2 - own2) >= {num} * (n + n2 - least(n - own, n2 - own2)) "
+        f"{den} * least(n - pos, n2 - pos2) >= {num} * (n + n2 - least(n - pos, n2 - pos2)) "
         f"and {den} * least(n, n2) >= {num} * greatest(n, n2)"
     )
-    center = F.min(F.struct("odd", (-F.col("n")).alias("neg"), "cls", "own"))
+    center = F.min(F.struct("odd", (-F.col("n")).alias("neg"), "cls", "pos"))
     stars = post.groupBy("v").agg(center.alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    stars = stars.select("v", F.col("c.cls").alias("cls2"), (-F.col("c.neg")).alias("n2"), F.col("c.own").alias("own2"))
+    stars = stars.select("v", F.col("c.cls").alias("cls2"), (-F.col("c.neg")).alias("n2"), F.col("c.pos").alias("pos2"))
     order = [F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")]
     proposed = post.join(stars, "v").where(f"cls <> cls2 and {possible}").select(*order).distinct()
     proposed = materialize(proposed, "near-stars")
@@ -251,7 +253,7 @@ def near_duplicates(
     grouped = grouped.withColumn("band", F.floor(F.log("n") / math.log(den / num)).cast("long"))
     open_lists = grouped.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v")
     grouped = materialize(grouped.join(open_lists, "v"), "near-open")
-    right = grouped.select("v", "band", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("own").alias("own2"), F.col("label").alias("label2"))
+    right = grouped.select("v", "band", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
     left = grouped.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
     rest = left.join(right, ["v", "band"]).where(f"label <> label2 and (n < n2 or n = n2 and cls < cls2) and {possible}")
     rest = rest.select(*order).distinct().join(proposed, ["a", "b"], "left_anti")
