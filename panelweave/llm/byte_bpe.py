@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -33,6 +34,7 @@ from .common import IntTable, chunks, str_list
 MATRIX_BYTES = 256
 _NONE = np.int32(0x7FFFFFFF)
 _BATCH_BYTES = 6 << 20
+_DECODE_IDS = 1 << 20
 #: Widths of the buckets; a pre-token goes to the smallest that holds it.
 _WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 192, MATRIX_BYTES)
 
@@ -84,6 +86,11 @@ class ByteBPE:
         self.pairs = PairTable(ranks)
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.tokens = {i: t for t, i in ranks.items()}
+        sizes = np.zeros(max(self.tokens) + 1, np.int64)
+        for i, t in self.tokens.items():
+            sizes[i] = len(t)
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+        self.bytes = np.frombuffer(b"".join(self.tokens[i] for i in sorted(self.tokens)), np.uint8)
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words back to back, number of ids of each)."""
@@ -183,8 +190,16 @@ class ByteBPE:
         pos = np.arange(total[-1]) + np.repeat(start - total[:-1], n)
         return flat[pos], total[np.array(ends)]
 
+    def decode_flat(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all ids back to back, where each id's bytes end)."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.sizes) or not self.sizes[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        n = self.sizes[ids]
+        ends = np.cumsum(n)
+        return self.bytes[np.arange(n.sum()) + np.repeat(self.starts[ids] - (ends - n), n)], ends
+
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.tokens[i] for i in ids])
+        return self.decode_flat(np.array(ids, np.int64))[0].tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -217,8 +232,17 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
-        for b in batches:
-            col = pa.array([bpe.decode(x or []) for x in b.column(ids).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), col], names=[*(f.name for f in kept), out])
+        for big in batches:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(big.column(ids)), 0).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < big.num_rows:
+                before = int(ends[lo - 1]) if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, before + _DECODE_IDS, side="right")))
+                b = big.slice(lo, hi - lo)
+                data, stops = bpe.decode_flat(b.column(ids).flatten().to_numpy(zero_copy_only=False))
+                stops = np.concatenate([[0], stops])[np.concatenate([[0], ends[lo:hi] - before])]
+                col = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(b), [None, pa.py_buffer(stops.astype(np.int64)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), col.cast(pa.binary())], names=[*(f.name for f in kept), out])
+                lo = hi
 
     return docs.mapInArrow(run, schema)
