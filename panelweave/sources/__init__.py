@@ -1,0 +1,5 @@
+"""Sources and sinks."""
+
+from .archive import read_panel, read_panel_table, verify_archive, write_panel_archive
+
+__all__ = ["read_panel", "read_panel_table", "verify_archive", "write_panel_archive"]

@@ -1,0 +1 @@
+"""Empty on purpose: panels are bounded tables and no operator here is streaming."""
