@@ -377,4 +377,6 @@ def read_archives(manifest: DataFrame) -> DataFrame:
         cols = zip(*done, strict=True) if done else [[]] * len(types)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, RECORDS)
+    # an explicit width: the rows are tiny, so adaptive execution would put all files in one task
+    width = max(1, manifest.count())
+    return manifest.select("path").repartition(width, "path").mapInArrow(run, RECORDS)
