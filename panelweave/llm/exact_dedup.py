@@ -46,7 +46,7 @@ def _prefix(text: bytes, n: int = PREFIX_BYTES) -> bytes:
 def _key_udf():
     @F.arrow_udf("struct<len:bigint,prefix:bigint>")
     def key(text: pa.Array) -> pa.Array:
-        rows = utf8_list(text)
+        rows = utf8_list(text)  # bounded by the session's Arrow batch
         lens = [len(t) - sum(map(t.count, (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))) for t in rows]
         pre = [xxhash.xxh3_64_intdigest(_prefix(t)) - (1 << 63) for t in rows]
         return pa.StructArray.from_arrays([pa.array(lens, pa.int64()), pa.array(pre, pa.int64())], ["len", "prefix"])
@@ -84,9 +84,9 @@ def _split(docs: DataFrame, text: str, filter_bits: int):
 
 def _ledgers(docs: DataFrame, id_col: str, text: str, filter_bits: int) -> tuple[DataFrame, DataFrame]:
     alone, maybe, pairs = _split(docs, text, filter_bits)
-    maybe = maybe.withColumn("_pw_sha", _digest_udf()(F.coalesce(F.col(text), F.lit("")))).withColumn(
-        "_pw_len", F.coalesce(F.char_length(text), F.lit(0))
-    )
+    # in the JVM: one Python worker a task is enough, and few rows get here
+    norm = F.translate(F.coalesce(F.col(text), F.lit("")), WHITESPACE.decode(), "")
+    maybe = maybe.withColumn("_pw_sha", F.sha2(norm, 256)).withColumn("_pw_len", F.coalesce(F.char_length(text), F.lit(0)))
     best = F.min(F.struct((-F.col("_pw_len")).alias("l"), F.col(id_col).isNull().alias("x"), F.col(id_col).alias("i")))
     groups = maybe.groupBy("_pw_sha").agg(best.alias("_pw_best"), F.count(F.lit(1)).alias("group_size"))
     groups = materialize(groups, "dedup-groups")

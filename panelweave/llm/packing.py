@@ -123,14 +123,20 @@ def _tokenizer(json_path: str, ranks_path: str, pattern: str):
     """
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(json_path)
+    @functools.lru_cache(maxsize=1)
+    def slow() -> Tokenizer:
+        return Tokenizer.from_file(json_path)
+
     if not ranks_path:
-        return lambda texts: [np.array(e.ids, np.uint32) for e in slow.encode_batch(texts, add_special_tokens=False)]
+        return lambda texts: [np.array(e.ids, np.uint32) for e in slow().encode_batch(texts, add_special_tokens=False)]
+    import json
+
     import tiktoken
 
     from .byte_bpe import read_ranks
 
-    special = {t.content: i for i, t in slow.get_added_tokens_decoder().items()}
+    with open(json_path, encoding="utf-8") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
     fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens=special)
     allowed = set(special)
 
@@ -141,7 +147,7 @@ def _tokenizer(json_path: str, ranks_path: str, pattern: str):
             if len(raw) == 0 or raw.max() < 0xCA:
                 out.append(fast.encode_to_numpy(t, allowed_special=allowed))
             else:
-                out.append(np.array(slow.encode(t, add_special_tokens=False).ids, np.uint32))
+                out.append(np.array(slow().encode(t, add_special_tokens=False).ids, np.uint32))
         return out
 
     return run

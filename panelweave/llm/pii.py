@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import str_list
+from .common import chunks, str_list
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE_KINDS = KINDS[:4]
 THRESHOLD = 0.75
+_BATCH_BYTES = 8 << 20
 #: Code points on either side that count as nearby.
 NEARBY = 48
 
@@ -194,10 +195,10 @@ def _map(docs: DataFrame, text: str, out: str, kind: T.DataType, arrow: pa.DataT
     schema = T.StructType(kept if out == text else [*kept, T.StructField(out, kind, True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            col = pa.array(f(b.column(text)), arrow)
-            cols = [col if n == out else b.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+        for big in batches:
+            for b in chunks(big, text, _BATCH_BYTES):
+                col = pa.array(f(b.column(text)), arrow)
+                yield pa.RecordBatch.from_arrays([col if n == out else b.column(n) for n in names], names=names)
 
     return docs.mapInArrow(run, schema)
 

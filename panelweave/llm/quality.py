@@ -12,8 +12,8 @@ be null or repeated, every row is judged by itself; extra columns pass through.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,12 +21,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import utf8_list
+from .common import chunks, utf8_list
 
 SYMBOLS = b"#*$%&|<>"
 
+_BATCH_BYTES = 8 << 20
 #: Measurements, all bigint.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "longest_word")
 
@@ -101,32 +101,42 @@ def _measure(text: bytes, n_chars: int) -> tuple:
     return len(words), n_chars - blank, symbols, dups, repeat_words(words), lines, max(sizes, default=0)
 
 
-def measure(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs`` with the measurements added (clashing names are replaced)."""
-    kept = [f for f in docs.schema.fields if f.name not in MEASURES and (keep_text or f.name != text)]
-    schema = T.StructType([*kept, *(T.StructField(m, T.LongType(), False) for m in MEASURES)])
+def _measure_udf():
+    fields = [pa.field(m, pa.int64()) for m in MEASURES]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            col = b.column(text)
+    @F.arrow_udf(f"struct<{','.join(f'{m}:bigint' for m in MEASURES)}>")
+    def run(text: pa.Array) -> pa.Array:
+        out = []
+        for b in chunks(pa.RecordBatch.from_arrays([text], names=["text"]), "text", _BATCH_BYTES):
+            col = b.column("text")
             chars = pc.fill_null(pc.utf8_length(col), 0).to_pylist()
-            rows = [_measure(t, n) for t, n in zip(utf8_list(col), chars, strict=True)]
-            out = zip(*rows, strict=True) if rows else [[]] * len(MEASURES)
-            arrays = [*(b.column(f.name) for f in kept), *(pa.array(x, pa.int64()) for x in out)]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+            out += [_measure(t, n) for t, n in zip(utf8_list(col), chars, strict=True)]
+        cols = zip(*out, strict=True) if out else [[]] * len(MEASURES)
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], fields=fields)
+
+    return run
+
 
-    return docs.mapInArrow(run, schema)
+def measure(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with the measurements added (clashing names are replaced).
+
+    Only the text goes to Python; the other columns stay in the JVM.
+    """
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in MEASURES and (keep_text or c != text)]
+    found = docs.withColumn("_pw_m", _measure_udf()(F.col(f"`{text}`")))
+    return found.select(*kept, *[F.col(f"_pw_m.{m}").alias(m) for m in MEASURES])
 
 
 def mask(policy: str) -> int:
     return sum(1 << r.bit for r in RULES if r.name in POLICIES[policy])
 
 
-def bits() -> Column:
-    """One bit per failed rule."""
+def bits(prefix: str = "") -> Column:
+    """One bit per failed rule; ``prefix`` says where the measurements are."""
     out = F.lit(0).cast("long")
     for r in RULES:
-        out = out.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
+        test = re.sub(rf"\b({'|'.join(MEASURES)})\b", rf"{prefix}\1", r.fails)
+        out = out.bitwiseOR(F.when(F.expr(test), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
     return out
 
 
@@ -156,7 +166,6 @@ def ablations(ledger_rows: DataFrame, policy: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, policy: str = "v2", text: str = "text") -> DataFrame:
     """Rows that pass the policy, with the columns of ``docs``."""
-    names = docs.columns
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_pw_row"), F.col(f"`{text}`").alias("_pw_text"))
-    judged = ledger(inner, "_pw_text", keep_text=False)
-    return judged.where(~fails(policy)).select("_pw_row.*")
+    found = docs.withColumn("_pw_m", _measure_udf()(F.col(f"`{text}`")))
+    found = found.withColumn("_pw_bits", bits("_pw_m."))
+    return found.where(~fails(policy, "_pw_bits")).select(*[F.col(f"`{c}`") for c in docs.columns])
