@@ -27,7 +27,19 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- 1 -------------------------------------------------------------------- #
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(_table(spark, sf_dir, "pages"))
-    return warc.read_archives(manifest)
+    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = r"""
+with t as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages),
+g as (select *, max(page_id) over (partition by html) as top,
+  list_aggregate(list_transform(string_split(hex, ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), 'string_agg', '') as bits from t)
+select page_id, strlen(html) as payload_bytes,
+  list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, 5 * k + 1, 1)::int + 8 * substr(bits, 5 * k + 2, 1)::int
+    + 4 * substr(bits, 5 * k + 3, 1)::int + 2 * substr(bits, 5 * k + 4, 1)::int + substr(bits, 5 * k + 5, 1)::int, 1)), 'string_agg', '') as payload_digest,
+  case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id <> top then top end as refers_to
+from g
+"""
 
 
 # ---- 2 -------------------------------------------------------------------- #
@@ -143,12 +155,41 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP9_SQL = r"""
+with t as (select row_number() over () as r, doc_id, coalesce(text, '') as s, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from documents),
+g as (select r, unnest(range(1, len(w) - 1)) as i, w from t),
+d as (select r, i from g qualify count(*) over (partition by r, w[i], w[i + 1], w[i + 2]) > 1),
+c as (select r, count(distinct i + o) as n from d, (select unnest([0, 1, 2]) as o) group by r),
+m as (select doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+  length(s) - length(regexp_replace(s, '[#*$%&|<>]', '', 'g')) as n_symbols, len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words,
+  len(l) as n_lines, coalesce(list_max(list_transform(w, lambda x: strlen(x))), 0) as longest_word from t left join c using (r)),
+b as (select *, case when n_words < 50 then 1 else 0 end + case when 100 * n_repeat_words > 50 * n_words then 2 else 0 end + case when 100 * n_symbols > 25 * n_words then 4 else 0 end
+  + case when 100 * n_dup_lines > 50 * n_lines then 8 else 0 end + case when 100 * word_chars < 250 * n_words then 16 else 0 end + case when word_chars > 12 * n_words then 32 else 0 end
+  + case when longest_word > 1000 then 64 else 0 end as bits from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, bits = 0 as kept, bits::bigint as failed_bits from b
+"""
+
+
 # ---- 10 ------------------------------------------------------------------- #
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
     return ledger.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+OP10_SQL = r"""
+with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from t where len(w) > 0),
+s as (select distinct doc_id, list_aggregate(w[i:i + 4], 'string_agg', ' ') as g from p),
+n as (select doc_id, count(*) as n from s group by doc_id),
+j as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+e as (select x, y from j join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 85 * (nx.n + ny.n - c)),
+r as (select doc_id as x, doc_id as y from t union select r.x, e.y from r join e on e.x = r.y),
+k as (select x as doc_id, min(y) as component_id from r group by x)
+select t.doc_id, coalesce(n.n, 0) as n_shingles, component_id, t.doc_id = component_id as kept from t join k using (doc_id) left join n using (doc_id)
+"""
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_exact_dedup": op2_exact_dedup,
@@ -163,6 +204,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_warc": OP1_SQL,
     "op2_exact_dedup": OP2_SQL,
     "op6_chat_format": OP6_SQL,
+    "op9_quality_rules": OP9_SQL,
+    "op10_near_dedup": OP10_SQL,
 }
