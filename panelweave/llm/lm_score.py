@@ -40,9 +40,11 @@ from .common import materialize, mix64, utf8_list
 MU = 2000.0
 #: Added to every unigram count.
 ADD = 0.1
+#: Least text in a block (and text per range of hashes).
 BLOCK_BYTES = 8 << 20
-#: Distinct n-grams asked per range, about 12 bytes each.
-_RANGE_BYTES = 8 << 20
+#: Distinct n-grams per byte of text, about, and how many a (block, range) row
+#: should hold at least, so that the rows' own cost stays small.
+_KEYS_PER_BYTE, _KEYS_PER_ROW = 0.14, 256
 
 _END = np.uint64(xxhash.xxh3_64_intdigest(b"", seed=77))
 
@@ -51,17 +53,15 @@ class Tokens:
     """Token hashes of a block's documents, back to back, each with its end."""
 
     def __init__(self, texts: list[bytes]):
-        words: list[int] = []
-        ends, digest, end = [], xxhash.xxh3_64_intdigest, int(_END)
+        parts, end = [], np.array([_END])
         for t in texts:
-            words += map(digest, t.lower().split())
-            words.append(end)
-            ends.append(len(words))
-        self.word = np.array(words, np.uint64)
-        self.ends = np.array(ends, np.int64)
-        self.starts = np.concatenate([[0], self.ends[:-1]]) if ends else self.ends
+            words = t.lower().split()
+            parts += (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), end)
+        self.word = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        self.ends = np.cumsum([len(p) + 1 for p in parts[::2]], dtype=np.int64)
+        self.starts = np.concatenate([[0], self.ends[:-1]]) if parts else self.ends
         before = np.empty_like(self.word)
-        if len(words):
+        if parts:
             before[1:] = self.word[:-1]
             before[0] = _END  # later documents follow the previous one's end
         self.before = before
@@ -200,7 +200,18 @@ def _score(n: int, v: int, mu: float):
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mu: float = MU, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def block_size(total: int, least: int = BLOCK_BYTES) -> int:
+    """Text in a block: ``least`` up to some 35 GB of text, then its square root.
+
+    There are total / size blocks and as many ranges, so a (block, range) row
+    holds ``_KEYS_PER_BYTE * size ** 2 / total`` n-grams; below that size the
+    number of rows, not of n-grams, would grow with the square of the input.
+    At 100 TB of text a block is 430 MB, about 3 GB in its task.
+    """
+    return max(least, math.isqrt(int(total * _KEYS_PER_ROW / _KEYS_PER_BYTE)))
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mu: float = MU, block_bytes: int | None = None) -> DataFrame:
     """Per document: held_out, token counts, ``base_score`` and ``score`` (log10).
 
     Training documents are those whose crc32 of the id as text is not 0
@@ -208,7 +219,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mu: float
     """
     size = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.count(F.lit(1)).alias("n")).first()
     total = (size.b or 0) + 16 * size.n
-    blocks, ranges = max(1, math.ceil(total / block_bytes)), max(1, math.ceil(total / _RANGE_BYTES))
+    blocks = ranges = max(1, math.ceil(total / (block_bytes or block_size(total))))
     bucket = F.coalesce(F.crc32(F.col(id_col).cast("string")), F.lit(0)) % 10
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
