@@ -79,15 +79,18 @@ def shuffle_width(spark: SparkSession) -> int:
 class HashFilter:
     """A bitmap of at most ``2**bits`` bits saying which keys *may* matter.
 
-    Built from a DataFrame of 64-bit keys and applied by a broadcast join
-    against its rows (4 KB each, so at most ``2**bits / 8`` bytes in all:
-    2 MB at the default 24 bits).  False positives are possible, false
-    negatives are not, so whoever uses it must follow with an exact step; a
-    saturated filter costs speed, never rows.
+    Built from a DataFrame of keys and applied by a broadcast join against its
+    rows (4 KB each).  Without ``bits`` it gets 16 bits a key, between 2**12
+    and 2**30 in all, so the broadcast is at most 128 MB however many keys
+    there are.  False positives are possible, false negatives are not, so
+    whoever uses it must follow with an exact step; a saturated filter costs
+    speed, never rows.  ``keys`` is read twice and should be materialized.
     """
 
-    def __init__(self, keys: DataFrame, key: str, bits: int = 24):
-        self.bits = bits
+    LEAST, MOST = 12, 30
+
+    def __init__(self, keys: DataFrame, key: str, bits: int | None = None):
+        self.bits = bits or min(self.MOST, max(self.LEAST, (16 * keys.count()).bit_length()))
         slot = self._slot(F.col(key))
         rows = (
             keys.select(slot.alias("_pw_slot"))

@@ -68,7 +68,7 @@ def normalized_sha256(text):
     return _digest_udf()(F.coalesce(text, F.lit("")))
 
 
-def _split(docs: DataFrame, text: str, filter_bits: int):
+def _split(docs: DataFrame, text: str, filter_bits: int | None):
     """(rows that cannot have a copy, rows that may, scratch to discard)."""
     key = _key_udf()
     keyed = docs.withColumn("_pw_key", key(F.col(text)))
@@ -82,7 +82,7 @@ def _split(docs: DataFrame, text: str, filter_bits: int):
     return flagged.where(~F.col("_pw_may")).drop("_pw_may"), flagged.where("_pw_may").drop("_pw_may"), pairs
 
 
-def _ledgers(docs: DataFrame, id_col: str, text: str, filter_bits: int) -> tuple[DataFrame, DataFrame]:
+def _ledgers(docs: DataFrame, id_col: str, text: str, filter_bits: int | None) -> tuple[DataFrame, DataFrame]:
     alone, maybe, pairs = _split(docs, text, filter_bits)
     # in the JVM: one Python worker a task is enough, and few rows get here
     norm = F.translate(F.coalesce(F.col(text), F.lit("")), WHITESPACE.decode(), "")
@@ -107,7 +107,7 @@ def _ledgers(docs: DataFrame, id_col: str, text: str, filter_bits: int) -> tuple
     return alone, copies
 
 
-def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", filter_bits: int = 24) -> DataFrame:
+def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", filter_bits: int | None = None) -> DataFrame:
     """Every input row with ``keep_id``, ``group_size``, ``kept`` added.
 
     Of equal texts the row with the most code points, then the smallest id
@@ -119,7 +119,7 @@ def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return alone.unionByName(copies)
 
 
-def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", filter_bits: int = 24) -> DataFrame:
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", filter_bits: int | None = None) -> DataFrame:
     """The rows that stay, with the columns of ``docs``; one row a group."""
     names = docs.columns
     docs = docs.withColumnsRenamed({c: f"_pw_in_{c}" for c in ("keep_id", "group_size", "kept") if c in names})

@@ -184,7 +184,7 @@ def near_duplicates(
     den: int = 100,
     sketch_size: int = 64,
     fine_size: int = 1024,
-    filter_bits: int = 24,
+    filter_bits: int | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: row, id, n_shingles, component_id, kept.
 
@@ -279,7 +279,7 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", filter_bits: int = 24, **params) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", filter_bits: int | None = None, **params) -> DataFrame:
     """Rows of ``docs`` that stay: one document of each component.
 
     Only rows that a bounded bitmap says may be dropped meet the exact

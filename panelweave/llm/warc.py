@@ -307,7 +307,7 @@ def _writer(folder: str, date: str, file_bytes: int):
     return run
 
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", folder: str | None = None, min_revisit_bytes: int = 0, date: str = "20000101000000", file_bytes: int = FILE_BYTES, filter_bits: int = 24) -> DataFrame:
+def write_archives(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", folder: str | None = None, min_revisit_bytes: int = 0, date: str = "20000101000000", file_bytes: int = FILE_BYTES, filter_bits: int | None = None) -> DataFrame:
     """Writes one WARC record a row; returns the manifest (path, records, bytes).
 
     Of records with equal payloads of at least ``min_revisit_bytes``, the one
