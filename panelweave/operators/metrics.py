@@ -16,12 +16,13 @@ def summarize(estimates: DataFrame, truth: DataFrame, by: tuple[str, ...] = ("da
     """Per group: sign hits, power, false positives, bias, errors.
 
     ``estimates``: dataset, rep, feature, estimate, fdr and optionally
-    placebo_fdr; ``truth``: dataset, rep, feature, effect - each replicate is
+    placebo_fdr, pre_rmse, pre_snr, weight_sum, n_kept (averaged); ``truth``: dataset, rep, feature, effect - each replicate is
     scored against its own effects.
     """
     both = estimates.join(truth.select("dataset", "rep", "feature", "effect"), ["dataset", "rep", "feature"])
     if "placebo_fdr" not in both.columns:
         both = both.withColumn("placebo_fdr", F.lit(None).cast("double"))
+    fit = [F.avg(c).alias(c) for c in ("pre_rmse", "pre_snr", "weight_sum", "n_kept") if c in both.columns]
     real, null = F.col("effect") != 0, F.col("effect") == 0
     hit = F.signum("estimate") == F.signum("effect")
     found, placebo = F.col("fdr") < _LEVEL, F.col("placebo_fdr") < _LEVEL
@@ -37,6 +38,7 @@ def summarize(estimates: DataFrame, truth: DataFrame, by: tuple[str, ...] = ("da
         F.avg(F.when(real, err)).alias("bias"),
         F.avg(F.when(real, F.abs(err))).alias("mae"),
         F.avg(F.when(null, F.abs("estimate"))).alias("recon_null"),
+        *fit,
     )
 
 

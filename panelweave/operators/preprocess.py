@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .panel import Panel, PanelError, feature_index
+from .panel import Panel, PanelError
 
 SAMPLE = ("observation", "time_index")
 VALUE = "abundance_value"
@@ -204,16 +204,16 @@ def _ilr(long: DataFrame, value: str, keys: tuple[str, ...]) -> DataFrame:
 
     In closed form ``z_j = (j c_{j+1} - sum_{i<=j} c_i) / sqrt(j (j+1))`` with
     features in order of name, so one running sum replaces the basis.  Row j
-    keeps the name of feature j although it is a contrast.
+    keeps the name of feature j although it is a contrast.  Samples of a
+    balanced panel hold the same features, so j is the rank in the sample.
     """
     w = Window.partitionBy(*keys)
-    ordered = w.orderBy("feature_index")
-    c = F.col("_c")
-    j = F.col("feature_index").cast("double")
+    ordered = w.orderBy("feature")
+    c, j = F.col("_c"), F.row_number().over(ordered).cast("double")
     running = F.sum(c).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     contrast = (j * F.lead(c).over(ordered) - running) / F.sqrt(j * (j + 1))
-    out = long.join(feature_index(long), "feature").withColumn("_c", _clr(F.col(value), w))
-    return out.withColumn(value, F.coalesce(contrast, F.lit(0.0))).drop("_c", "feature_index")
+    out = long.withColumn("_c", _clr(F.col(value), w))
+    return out.withColumn(value, F.coalesce(contrast, F.lit(0.0))).drop("_c")
 
 
 def normalize(

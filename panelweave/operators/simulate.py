@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .panel import PanelError
+from .panel import PanelError, time_identifier
 
 
 @dataclasses.dataclass(frozen=True)
@@ -171,6 +171,38 @@ def truth(spark: SparkSession, names: list[str] | None = None, replicates: int =
     return _grid(spark, names, replicates, seed, scenarios).mapInPandas(run, TRUTH)
 
 
+def truth_table(spark: SparkSession, names: list[str] | None = None, replicates: int = 30, seed: int = 20260918, scenarios: dict[str, Scenario] | None = None) -> DataFrame:
+    """One row a (dataset, replicate): parameters, effect features and signs, md5."""
+    cells = truth(spark, names, replicates, seed, scenarios).where("effect <> 0 or feature = 'taxa_001'")
+    real = F.array_sort(F.collect_list(F.when(F.col("effect") != 0, F.struct("feature", F.signum("effect").cast("int").alias("sign")))))
+    effects = cells.groupBy("dataset", "rep").agg(F.first("seed").alias("seed"), F.first("md5").alias("counts_md5"), real.alias("_e"))
+    known = SCENARIOS if scenarios is None else scenarios
+    fields = [f.name for f in dataclasses.fields(Scenario)]
+    plain = {"times": "string", "phi_range": "string", "n": "int", "n_treated": "int", "features": "int", "t0": "int", "n_effect": "int", "twin": "boolean"}
+    rows = []
+    for k, s in known.items():
+        v = dataclasses.asdict(s) | {"times": " ".join(map(str, s.times)), "phi_range": ":".join(map(str, s.phi_range))}
+        rows.append((k, *(v[f] if f in plain else float(v[f]) for f in fields), s.n - s.n_treated, len(s.times), s.t0 - 1, len(s.times) - s.t0 + 1))
+    schema = ", ".join(["dataset string", *(f"{f} {plain.get(f, 'double')}" for f in fields), "n_donor int", "n_layers int", "n_pre int", "n_post int"])
+    params = spark.createDataFrame(rows, schema)
+    names_of = [F.transform("_e", lambda e: e["feature"]).alias("effect_features"), F.transform("_e", lambda e: e["sign"]).alias("effect_signs")]
+    return effects.join(F.broadcast(params), "dataset").select("dataset", "rep", "seed", *params.columns[1:], *names_of, "counts_md5")
+
+
+def panel_table(long: DataFrame, dataset: str, rep: int, value: str = "relab") -> DataFrame:
+    """One replicate's seven-column table, ready for the archive writer."""
+    one = long.where((F.col("dataset") == dataset) & (F.col("rep") == rep))
+    return one.select(
+        "observation",
+        time_identifier(F.col("time_index")).alias("time_identifier"),
+        "elapsed_time",
+        "feature",
+        F.col(value).alias("abundance_value"),
+        F.when(F.col("is_treated"), "treat").otherwise("ctrl").alias("label"),
+        (F.col("time_index") >= F.col("t0")).alias("is_intervention"),
+    )
+
+
 def probe(long: DataFrame) -> DataFrame:
     """One row a (dataset, replicate): axis sizes, onset, zero share, depth."""
     sample = long.groupBy("dataset", "rep", "observation", "time_index").agg(F.sum("raw").alias("depth"))

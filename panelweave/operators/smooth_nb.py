@@ -17,9 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .panel import PanelError, from_series
+from .panel import Panel, PanelError, from_series
 
 FLOOR = -16.0
+# A share does not exceed 1, nor the largest observed one where libraries are given smaller
+# than that; without the bound a linearized step from a tiny mean can overflow.
 MIN_DISPERSION, MAX_DISPERSION = 1e-4, 1e3
 MIN_INNOVATION = 1e-6
 EM_TOLERANCE = 1e-6
@@ -29,6 +31,7 @@ EM_ITERATIONS = 80
 def run_filter(x: np.ndarray, lib: np.ndarray, first: np.ndarray, q, phi, dt: np.ndarray, smooth: bool) -> np.ndarray:
     """Latent states of series in rows; ``q`` and ``phi`` scalar or per row."""
     n, t = x.shape
+    top = np.maximum(0.0, start_states(x, lib).max(axis=1))
     z, p, ahead = np.empty((n, t)), np.empty((n, t)), np.empty((n, t))
     z[:, 0], p[:, 0], ahead[:, 0] = first, np.maximum(q, MIN_INNOVATION), 0.0
     phi = np.maximum(phi, MIN_DISPERSION)
@@ -36,8 +39,8 @@ def run_filter(x: np.ndarray, lib: np.ndarray, first: np.ndarray, q, phi, dt: np
         pred = p[:, k - 1] + q * dt[k]
         mean = lib[:, k] * np.exp(np.maximum(z[:, k - 1], FLOOR))
         spread = mean * mean * pred + mean + mean * mean / phi
-        gain = np.divide(pred * mean, spread, out=np.zeros(n), where=spread > 0)
-        z[:, k] = z[:, k - 1] + gain * (x[:, k] - mean)
+        gain = pred * mean / np.maximum(spread, 1e-300)
+        z[:, k] = np.minimum(z[:, k - 1] + gain * (x[:, k] - mean), top)
         p[:, k] = (1.0 - gain * mean) * pred
         ahead[:, k] = pred
     if not smooth:
@@ -45,7 +48,7 @@ def run_filter(x: np.ndarray, lib: np.ndarray, first: np.ndarray, q, phi, dt: np
     out = z.copy()
     for k in range(t - 2, -1, -1):
         back = p[:, k] / np.maximum(ahead[:, k + 1], 1e-30)
-        out[:, k] = z[:, k] + back * (out[:, k + 1] - z[:, k])
+        out[:, k] = np.minimum(z[:, k] + back * (out[:, k + 1] - z[:, k]), top)
     return out
 
 
@@ -73,6 +76,12 @@ def fit_feature(x: np.ndarray, lib: np.ndarray, q: float, phi: float, dt: np.nda
     return states, q, phi, rounds
 
 
+def sampling_intervals(panel: Panel) -> list[float]:
+    """Time since the previous layer, 1 for the first and where it is 0."""
+    gaps = [r.delta_t for r in panel.time_meta.orderBy("time_index").collect()]
+    return [g if g > 0 else 1.0 for g in gaps]
+
+
 def _with_library(long: DataFrame, value: str, library: DataFrame | None) -> DataFrame:
     """Series arrays ``xs`` (counts) and ``ls`` (library sizes) in time order."""
     if library is None:

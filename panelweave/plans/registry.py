@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bh_adjust, bh_adjust_large
-from ..operators import causal, inference, metrics, panel, preprocess, scm, simulate, smooth, smooth_nb, validate
+from ..operators import causal, experiments, inference, metrics, panel, preprocess, scm, simulate, smooth, smooth_nb, validate
 from ..sources import archive
 from . import panels
 
@@ -540,3 +540,20 @@ def intervention_flag(spark, d):
     before = F.lag("is_intervention_timepoint").over(Window.orderBy("elapsed_time"))
     on = F.col("is_intervention_timepoint")
     return layers.select("time_identifier", on.alias("is_intervention"), F.coalesce(on & ~before, F.lit(False)).alias("is_onset"))
+
+
+@_query("simulate_truth")
+def simulate_truth(spark, d):
+    return simulate.truth_table(spark, ["A1", "A11"], 3)
+
+
+def _grid_query(name: str, configs: dict[str, experiments.Config], method: str):
+    @_query(name)
+    def run(spark, d):
+        effects = experiments.run(spark, configs, ["A2"], 1, method)
+        return metrics.summarize(effects, simulate.truth(spark, ["A2"], 1), ("dataset", "config"))
+
+
+_grid_query("ablation_grid", experiments.ABLATIONS, "scm")
+_grid_query("sensitivity_zero", experiments.SENSITIVITY["zero"], "did")
+_grid_query("sensitivity_normalize", experiments.SENSITIVITY["normalize"], "did")

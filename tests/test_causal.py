@@ -274,3 +274,38 @@ def test_metric_values(spark):
     b = metrics.summarize_bootstrap(iv, tru).first()
     assert (b.mean_width, b.coverage) == (1.5, 0.5)
     assert pd.notna(b.implied_error)
+
+
+def test_truth_table_and_archive_table(spark, tmp_path):
+    from panelweave.operators import validate
+    from panelweave.sources import archive
+
+    rows = {(r.dataset, r.rep): r for r in simulate.truth_table(spark, ["A1", "A11"], 2).collect()}
+    assert set(rows) == {("A1", 1), ("A1", 2), ("A11", 1), ("A11", 2)}
+    assert len(rows["A1", 1].effect_features) == len(rows["A1", 1].effect_signs) == 6 and rows["A11", 1].effect_features == []
+    assert rows["A1", 1].effect_features != rows["A1", 2].effect_features or rows["A1", 1].effect_signs != rows["A1", 2].effect_signs
+    assert (rows["A1", 1].n_donor, rows["A1", 1].n_pre, rows["A1", 1].n_post) == (30, 3, 2)
+    table = simulate.panel_table(simulate.generate(spark, ["A1"], 1), "A1", 1)
+    validate.validate_long(table)
+    path = archive.write_panel_archive(table, "A1_rep01", "v1", str(tmp_path))
+    assert {r.result for r in archive.verify_archive(spark, path, table).collect()} == {"PASS"}
+
+
+def test_grids_treat_replicates_as_separate_panels(spark):
+    from panelweave.operators import experiments, preprocess
+
+    small = {"S": simulate.Scenario(n=10, n_treated=4, features=6, n_effect=2, effect_size=1.0)}
+    configs = {"base": experiments.Config(filter=None), "ilr": experiments.Config(filter=None, normalize="ilr"), "spline": experiments.Config(filter=None, smooth={"method": "spline"})}
+    got = experiments.run(spark, configs, ["S"], 2, "did", scenarios=small).toPandas()
+    assert len(got) == 3 * 2 * 6
+    long = simulate.generate(spark, ["S"], 2, scenarios=small)
+    one = panel.from_long(simulate.panel_table(long, "S", 2), ("ctrl", "treat"))
+    for label, norm in (("base", "clr"), ("ilr", "ilr")):
+        d = causal.design(one.with_values(preprocess.normalize(one.long, norm)))
+        want = by_feature(causal.did(d)[0])
+        sub = got[(got.config == label) & (got.rep == 2)].set_index("feature").sort_index()
+        assert np.allclose(sub.estimate, want.estimate) and np.allclose(sub.fdr, want.fdr, equal_nan=True)
+    boot = experiments.run(spark, {"b": experiments.Config(filter=None, samples=20)}, ["S"], 1, "scm", bootstrap=True, scenarios=small).toPandas()
+    assert (boot.bootstrap_lower <= boot.bootstrap_upper).all() and len(boot) == 6
+    nb = experiments.run(spark, {"nb": experiments.ABLATIONS["ab_nb_hier"]}, ["S"], 1, "scm", scenarios=small)
+    assert nb.count() > 0 and len(experiments.ABLATIONS) == 11

@@ -184,6 +184,15 @@ def test_negative_binomial_em():
     assert rounds <= 80
 
 
+def test_negative_binomial_stays_finite_after_a_jump():
+    x = np.array([[0.0, 0.0, 9000.0, 0.0, 9000.0], [9000.0, 0.0, 0.0, 1.0, 0.0]])
+    lib = np.full(x.shape, 10000.0)
+    for smooth_ in (False, True):
+        z = smooth_nb.run_filter(x, lib, smooth_nb.start_states(x, lib)[:, 0], 5.0, 1.0, np.full(5, 40.0), smooth_)
+        assert np.isfinite(z).all() and z.max() <= 0
+    assert np.isfinite(smooth_nb.fit_feature(x, lib, 5.0, 1.0, np.full(5, 40.0))[0]).all()
+
+
 def test_negative_binomial_em_on_the_cluster(spark):
     x = np.random.default_rng(6).poisson(30, (4, 5)).astype(float) + 1
     df = long(spark, x)
