@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 _U64 = np.uint64
 #: Bits held by one row of ``bitmap_construct_agg``.
 _BITMAP_BITS = 32768
+_ARROW_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_BYTES = "8m"
 
 
 # --------------------------------------------------------------------------- #
@@ -48,10 +50,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of ``df`` with a Parquet table in the shared folder."""
+    """Cut the lineage of ``df`` with a Parquet table in the shared folder.
+
+    While it runs, batches to Python hold at most ``ARROW_BYTES``, so that wide
+    rows (whole texts, pairs of sets) do not fill the workers.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_ARROW_CONF)
+    spark.conf.set(_ARROW_CONF, ARROW_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW_CONF, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._pw_path = path
     return out
