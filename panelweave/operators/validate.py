@@ -128,15 +128,67 @@ def check_metadata(observations: DataFrame, layers: DataFrame) -> None:
             raise PanelError(f"{what} metadata has repeated ids")
 
 
+def sample_facts(df: DataFrame) -> DataFrame:
+    """Per (observation, layer): rows, total, incomplete rows, a mark of its feature set.
+
+    The mark is two xors of independent 64-bit hashes of the features.
+    """
+    incomplete = F.lit(False)
+    for c in REQUIRED:
+        incomplete = incomplete | F.col(c).isNull()
+    for c in ("elapsed_time", "abundance_value"):
+        incomplete = incomplete | F.isnan(F.col(c).cast("double"))
+    return df.groupBy("observation", "time_identifier").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("abundance_value").alias("total"),
+        F.count_if(incomplete).alias("bad"),
+        F.bit_xor(F.xxhash64("feature")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "feature")).alias("y"),
+        F.min("label").alias("label_low"),
+        F.max("label").alias("label_high"),
+    )
+
+
+def is_sound(df: DataFrame, composition: bool = True) -> bool:
+    """Complete, balanced, unique, closed, few labels - in one pass over the table.
+
+    Every sample must hold each feature once: as many rows as there are
+    features and the same marks as the set of all features.
+    """
+    facts = sample_facts(df)
+    r = facts.agg(
+        F.count(F.lit(1)).alias("samples"),
+        F.count_distinct("observation").alias("observations"),
+        F.count_distinct("time_identifier").alias("layers"),
+        F.sum("bad").alias("bad"),
+        F.max(F.abs(F.col("total") - 1)).alias("off"),
+        *(f(c).alias(f"{f.__name__}_{c}") for c in ("n", "x", "y") for f in (F.min, F.max)),
+        F.collect_set("label_low").alias("low"),
+        F.collect_set("label_high").alias("high"),
+    ).first()
+    names = df.select("feature").distinct()
+    d = names.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("feature")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "feature")).alias("y")).first()
+    same = all(r[f"{e}_{c}"] == d[c] for c in ("n", "x", "y") for e in ("min", "max"))
+    labels = len({*r.low, *r.high}) <= MAX_GROUPS
+    closed = not composition or (r.off is not None and r.off <= SUM_TOLERANCE)
+    return bool(r.samples) and not r.bad and same and labels and closed and r.samples == r.observations * r.layers
+
+
 def validate_long(df: DataFrame, composition: bool = True) -> None:
-    """Every check on a long table; raises :class:`PanelError`."""
+    """Every check on a long table; raises :class:`PanelError`.
+
+    One pass decides; only where it finds something do the single checks run,
+    to name what and where.
+    """
     check_columns(df)
-    check_missing(df)
-    check_unique(df)
-    check_labels(df)
-    check_balance(df)
-    if composition:
-        check_composition(df)
+    if not is_sound(df, composition):
+        check_missing(df)
+        check_unique(df)
+        check_labels(df)
+        check_balance(df)
+        if composition:
+            check_composition(df)
+        raise PanelError("the table is not a balanced panel")
     layers = time_meta(df)
     check_time_ids(layers)
     check_intervention(layers)
