@@ -68,6 +68,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let this session send at most ``ARROW_BYTES`` a batch to Python.
+
+    For jobs over whole texts, whose rows would otherwise come 10000 at a time
+    or 64 MB at a time, in the JVM and again in each worker.
+    """
+    spark.conf.set(_ARROW_CONF, ARROW_BYTES)
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table made by :func:`materialize` once nothing reads it."""
     path = getattr(df, "_pw_path", None)
