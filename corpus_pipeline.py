@@ -11,26 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.llm import exact_dedup, near_dup, pii, quality, queries
-from panelweave.llm.common import materialize
+from panelweave.llm.common import bound_batches, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality policy."""
+    bound_batches(spark)
     return quality.keep_good(docs, queries.POLICY)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    bound_batches(spark)
     return exact_dedup.drop_duplicates(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates."""
+    bound_batches(spark)
     return near_dup.drop_near_duplicates(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced; ``n_chars`` follows the text."""
+    bound_batches(spark)
     clean = pii.redact_texts(docs)
     if "n_chars" not in docs.columns:
         return clean
@@ -39,6 +43,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
+    bound_batches(spark)
     return queries.pieces(docs)
 
 
