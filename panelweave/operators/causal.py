@@ -9,6 +9,7 @@ solves a program per unit and runs in grouped pandas functions (``scm``).
 from __future__ import annotations
 
 import dataclasses
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -60,14 +61,29 @@ def parse_formula(text: str) -> Formula:
 
 @dataclasses.dataclass(frozen=True)
 class Design:
-    """Panel rows with group flags, the onset and the numbers of layers."""
+    """Panel rows with group flags, the onset and the number of layers.
+
+    Group sizes are counted inside the plans that need them; ``sizes`` runs a
+    small job for the few places that plan with them.
+    """
 
     rows: DataFrame  # observation, feature, time_index, value, is_treated, is_control
     t0: int
     n_layers: int
-    n_treated: int
-    n_control: int
-    n_other: int
+    flags: DataFrame  # observation, is_treated, is_control
+
+    @functools.cached_property
+    def sizes(self) -> tuple[int, int]:
+        """(treated, control) observations."""
+        return tuple(self.flags.agg(F.count_if("is_treated"), F.count_if("is_control")).first())
+
+    @property
+    def n_treated(self) -> int:
+        return self.sizes[0]
+
+    @property
+    def n_control(self) -> int:
+        return self.sizes[1]
 
 
 def resolve_onset(panel: Panel, index: int | None = None) -> tuple[int, int]:
@@ -101,11 +117,8 @@ def design(panel: Panel, treatment_level: str | None = None, control_level: str
         (F.col("label") == treatment_level).alias("is_treated"),
         F.col("label").isin(*controls).alias("is_control"),
     )
-    counts = flags.agg(F.count_if("is_treated"), F.count_if("is_control"), F.count(F.lit(1))).first()
-    if not counts[0] or not counts[1]:
-        raise PanelError("both groups need at least one observation")
     rows = panel.long.withColumnRenamed("abundance_value", "value").join(flags, "observation")
-    return Design(rows, t0, n, counts[0], counts[1], counts[2] - counts[0] - counts[1])
+    return Design(rows, t0, n, flags)
 
 
 def series(d: Design) -> DataFrame:
@@ -149,6 +162,8 @@ def layer_means(d: Design) -> DataFrame:
         F.avg(x).alias("mean_a"),
         F.var_samp(F.when(t, x)).alias("var_t"),
         F.var_samp(F.when(c, x)).alias("var_c"),
+        F.count_if(t).alias("n_t"),
+        F.count_if(c).alias("n_c"),
     )
 
 
@@ -165,6 +180,9 @@ def group_means(units: DataFrame) -> DataFrame:
         avg("post", "is_control", "mean_post_control"),
         F.var_samp(F.when(F.col("is_treated"), F.col("delta"))).alias("var_treated"),
         F.var_samp(F.when(F.col("is_control"), F.col("delta"))).alias("var_control"),
+        F.count_if("is_treated").alias("n_treated"),
+        F.count_if("is_control").alias("n_control"),
+        F.count(F.lit(1)).alias("n_all"),
     )
 
 
@@ -175,7 +193,7 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def time_path(d: Design, method: str = "did", inference: bool = True) -> DataFrame:
     """Per (feature, layer): treated minus control mean with its error."""
-    se = F.sqrt(F.col("var_t") / d.n_treated + F.col("var_c") / d.n_control)
+    se = F.sqrt(F.col("var_t") / F.col("n_t") + F.col("var_c") / F.col("n_c"))
     out = layer_means(d).select(
         "feature", "time_index", (F.col("time_index") - d.t0).alias("relative_time"), F.lit(method).alias("method"), (F.col("mean_t") - F.col("mean_c")).alias("estimate"), se.alias("standard_error")
     )
@@ -190,7 +208,7 @@ def with_statistic(df: DataFrame, inference: bool = True) -> DataFrame:
 def _effects(means: DataFrame, path: DataFrame, d: Design, method: str, inference: bool) -> DataFrame:
     """Means joined with the path's range, counts, statistic and p-values."""
     spread = path.groupBy("feature").agg((F.max("estimate") - F.min("estimate")).alias("effect_range"))
-    out = means.join(spread, "feature").withColumns({"method": F.lit(method), "n_treated": F.lit(d.n_treated).cast("int"), "n_control": F.lit(d.n_control).cast("int")})
+    out = means.join(spread, "feature").withColumns({"method": F.lit(method), "n_treated": F.col("n_treated").cast("int"), "n_control": F.col("n_control").cast("int")})
     out = with_statistic(out, inference)
     if not inference:
         return out.select(*[c for c in EFFECTS if c not in ("p_value", "fdr")])
@@ -201,7 +219,7 @@ def did(d: Design, inference: bool = True) -> tuple[DataFrame, DataFrame]:
     """Difference in differences of group means; (effects, per-layer path)."""
     g = group_means(unit_means(d))
     estimate = (F.col("mean_post_treated") - F.col("mean_pre_treated")) - (F.col("mean_post_control") - F.col("mean_pre_control"))
-    se = F.sqrt(F.col("var_treated") / d.n_treated + F.col("var_control") / d.n_control)
+    se = F.sqrt(F.col("var_treated") / F.col("n_treated") + F.col("var_control") / F.col("n_control"))
     path = time_path(d, "did", inference)
     return _effects(g.withColumn("estimate", estimate).withColumn("standard_error", se), path, d, "did", inference), path
 
@@ -212,10 +230,9 @@ def _two_way_ss(d: Design, units: DataFrame) -> DataFrame:
     Balanced, so demeaning is exact in one pass: squares around the series'
     means less N times the squares of the layers' means around the whole.
     """
-    n = d.n_treated + d.n_control + d.n_other
-    layers = layer_means(d).groupBy("feature").agg((F.var_pop("mean_a") * d.n_layers * n).alias("between"))
-    within = units.groupBy("feature").agg(F.sum("within").alias("within"))
-    return within.join(layers, "feature").select("feature", (F.col("within") - F.col("between")).alias("ss"))
+    layers = layer_means(d).groupBy("feature").agg((F.var_pop("mean_a") * d.n_layers).alias("between"))
+    within = units.groupBy("feature").agg(F.sum("within").alias("within"), F.count(F.lit(1)).alias("n"))
+    return within.join(layers, "feature").select("feature", (F.col("within") - F.col("n") * F.col("between")).alias("ss"))
 
 
 def pooled_ols(d: Design, inference: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -225,17 +242,18 @@ def pooled_ols(d: Design, inference: bool = True) -> tuple[DataFrame, DataFrame]
     its error comes from the residual sum of squares
     ``SS(demeaned y) - b^2 N p (1-p) T q (1-q)``.
     """
-    n, t = d.n_treated + d.n_control + d.n_other, d.n_layers
-    p, q = d.n_treated / n, (t - d.t0 + 1) / t
-    dd = n * p * (1 - p) * t * q * (1 - q)
-    dof = n * t - (n + t - 1) - 1
+    t = d.n_layers
+    q = (t - d.t0 + 1) / t
+    n, p = F.col("n_all"), F.col("n_treated") / F.col("n_all")
+    dd = n * p * (1 - p) * F.lit(t * q * (1 - q))
+    dof = (n * t - (n + (t - 1)) - 1).cast("double")
     units = unit_means(d)
     other = units.groupBy("feature").agg(
         (F.avg(F.when(F.col("is_treated"), F.col("delta"))) - F.avg(F.when(~F.col("is_treated"), F.col("delta")))).alias("estimate")
     )
-    rss = F.greatest(F.lit(0.0), F.col("ss") - F.col("estimate") * F.col("estimate") * F.lit(dd))
+    rss = F.greatest(F.lit(0.0), F.col("ss") - F.col("estimate") * F.col("estimate") * dd)
     g = group_means(units).join(other, "feature").join(_two_way_ss(d, units), "feature")
-    g = g.withColumn("standard_error", F.sqrt(rss / F.lit(float(dof)) / F.lit(dd)))
+    g = g.withColumn("standard_error", F.sqrt(rss / F.when(dof > 0, dof) / dd))
     path = time_path(d, "pooled_ols", inference)
     return _effects(g, path, d, "pooled_ols", inference), path
 
@@ -247,22 +265,23 @@ def event_study(d: Design, inference: bool = True) -> tuple[DataFrame, DataFrame
     gap in the base layer; all share one standard error.  The headline is the
     mean of the coefficients from onset on.
     """
-    n, t = d.n_treated + d.n_control + d.n_other, d.n_layers
-    n1, n0 = d.n_treated, n - d.n_treated
-    dof = n * t - (n + t - 1) - (t - 1)
+    t = d.n_layers
     units, layer = unit_means(d), layer_means(d)
     base = layer.where(F.col("time_index") == d.t0 - 1).select("feature", (F.col("mean_t") - F.col("mean_o")).alias("base_gap"))
     # residuals y_it - mean_i - mean_gt + mean_g: squares around the series' means less those of the groups' layer means
-    between = layer.groupBy("feature").agg((t * (n1 * F.var_pop("mean_t") + n0 * F.var_pop("mean_o"))).alias("between"))
-    rss = units.groupBy("feature").agg(F.sum("within").alias("within")).join(between, "feature")
-    rss = rss.select("feature", F.greatest(F.lit(0.0), F.col("within") - F.col("between")).alias("rss"))
+    between = layer.groupBy("feature").agg((t * F.var_pop("mean_t")).alias("between_t"), (t * F.var_pop("mean_o")).alias("between_o"))
+    sizes = units.groupBy("feature").agg(F.sum("within").alias("within"), F.count_if("is_treated").alias("n1"), F.count_if(~F.col("is_treated")).alias("n0"))
+    n1, n0 = F.col("n1"), F.col("n0")
+    left = F.greatest(F.lit(0.0), F.col("within") - n1 * F.col("between_t") - n0 * F.col("between_o"))
     # without spare degrees of freedom there is no error
-    se = F.sqrt(F.lit(2.0 * (1 / n1 + 1 / n0)) * F.col("rss") / F.lit(float(dof) if dof > 0 else None).cast("double"))
+    dof = ((n1 + n0) * t - (n1 + n0 + (t - 1)) - (t - 1)).cast("double")
+    se = F.sqrt(2.0 * (1 / n1 + 1 / n0) * left / F.when(dof > 0, dof))
+    error = sizes.join(between, "feature").select("feature", se.alias("standard_error"))
     path = (
         layer.where(F.col("time_index") != d.t0 - 1)
         .join(base, "feature")
-        .join(rss, "feature")
-        .select("feature", "time_index", (F.col("time_index") - d.t0).alias("relative_time"), F.lit("event_study").alias("method"), (F.col("mean_t") - F.col("mean_o") - F.col("base_gap")).alias("estimate"), se.alias("standard_error"))
+        .join(error, "feature")
+        .select("feature", "time_index", (F.col("time_index") - d.t0).alias("relative_time"), F.lit("event_study").alias("method"), (F.col("mean_t") - F.col("mean_o") - F.col("base_gap")).alias("estimate"), "standard_error")
     )
     path = with_statistic(path, inference)
     head = path.groupBy("feature").agg(
@@ -327,6 +346,8 @@ def estimate(
     if pre_fit and method != "scm":
         raise PanelError("pre_fit is available for scm only")
     d = design(panel, treatment_level, control_level, intervention_index)
+    if not all(d.sizes):
+        raise PanelError("both groups need at least one observation")
     weights = weight_sum = None
     if method == "scm":
         effects, path, weights, weight_sum = scm.synthetic_control(d, scm_constraint, scm_offset)

@@ -69,7 +69,7 @@ def design_of(long: DataFrame, scenario: simulate.Scenario, config: Config) -> c
     """All replicates of one scenario, processed as ``config`` says."""
     n_layers = len(scenario.times)
     rows = _keyed(long, "raw" if config.counts else "relab")
-    flags = rows.select("observation", "is_treated").distinct()
+    flags = rows.select("observation", "is_treated").distinct().withColumn("is_control", ~F.col("is_treated"))
     cells = preprocess.filter_features(rows.drop("is_treated"), **(config.filter or {}))
     if config.zero:
         cells = preprocess.zero_fill(cells, config.zero)
@@ -81,8 +81,10 @@ def design_of(long: DataFrame, scenario: simulate.Scenario, config: Config) -> c
             cells = smooth_nb.smooth_nb(cells, n_layers, spec.pop("method"), intervals=gaps, **spec)
         else:
             cells = smooth.smooth(cells, n_layers, breakpoints=[scenario.t0], **spec)
-    rows = cells.withColumnRenamed("abundance_value", "value").join(flags, "observation").withColumn("is_control", ~F.col("is_treated"))
-    return causal.Design(rows, scenario.t0, n_layers, scenario.n_treated, scenario.n - scenario.n_treated, 0)
+    rows = cells.withColumnRenamed("abundance_value", "value").join(flags, "observation")
+    d = causal.Design(rows, scenario.t0, n_layers, flags)
+    d.__dict__["sizes"] = (scenario.n_treated, scenario.n - scenario.n_treated)  # of one replicate
+    return d
 
 
 def _unkeyed(df: DataFrame) -> DataFrame:

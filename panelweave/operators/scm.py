@@ -183,8 +183,8 @@ def synthetic_control(d: Design, constraint: str = "simplex", offset: bool = Tru
     fits = fit_units(d, constraint, offset)
     gaps = gap_rows(fits, d)
     unit = gaps.groupBy("feature", "treated_unit").agg(F.avg("gap").alias("att"))
-    head = unit.groupBy("feature").agg(F.avg("att").alias("estimate"), F.sqrt(F.var_samp("att") / d.n_treated).alias("standard_error"))
-    path = gaps.groupBy("feature", "time_index").agg(F.avg("gap").alias("estimate"), F.sqrt(F.var_samp("gap") / d.n_treated).alias("standard_error"))
+    head = unit.groupBy("feature").agg(F.avg("att").alias("estimate"), F.sqrt(F.var_samp("att") / F.count(F.lit(1))).alias("standard_error"))
+    path = gaps.groupBy("feature", "time_index").agg(F.avg("gap").alias("estimate"), F.sqrt(F.var_samp("gap") / F.count(F.lit(1))).alias("standard_error"))
     path = path.select("feature", "time_index", (F.col("time_index") - d.t0).alias("relative_time"), F.lit("scm").alias("method"), "estimate", "standard_error")
     path = with_statistic(path, inference)
     effects = _effects(group_means(unit_means(d)).join(head, "feature"), path, d, "scm", inference)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.panel import LONG_SCHEMA, Panel, close, densify, from_long, keep_complete, time_identifier
+from ..operators.panel import LONG_SCHEMA, Panel, close, densify, keep_complete, time_identifier
 
 E_LAYERS, E_ONSET, E_WIDTH = 6, 4, 5
 B_FIRST_YEAR, B_LAYERS, B_ONSET = 1995, 7, 4
@@ -88,12 +88,28 @@ def b_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _layers(spark: SparkSession, n: int, onset: int, elapsed) -> DataFrame:
+    rows = [(f"time_{k:03d}", float(elapsed(k)), 0.0 if k == 1 else float(elapsed(k) - elapsed(k - 1)), k >= onset, k) for k in range(1, n + 1)]
+    return spark.createDataFrame(rows, "time_identifier string, elapsed_time double, delta_t double, is_intervention_timepoint boolean, time_index int")
+
+
 def e_panel(spark: SparkSession, sf_dir: str) -> Panel:
-    return from_long(e_table(spark, sf_dir), ("ctrl", "treat"))
+    """The E-panel with its metadata known beforehand: no pass over the cells for it."""
+    cells = e_cells(spark, sf_dir)
+    label = F.when(F.col("user_id") % 2 == 1, "treat").otherwise("ctrl").alias("label")
+    users = table(spark, sf_dir, "events").select("user_id").distinct().select(F.col("user_id").cast("string").alias("observation_id"), label)
+    users = users.join(cells.select(F.col("observation").alias("observation_id")).distinct(), "observation_id", "left_semi")
+    layers = _layers(spark, E_LAYERS, E_ONSET, lambda k: E_WIDTH * (k - 1))
+    return Panel(cells.select("observation", "time_index", "feature", "abundance_value"), users, layers, ("ctrl", "treat"))
 
 
 def b_panel(spark: SparkSession, sf_dir: str) -> Panel:
-    return from_long(b_table(spark, sf_dir), ("ctrl", "treat"))
+    cells = b_cells(spark, sf_dir)
+    label = F.when(F.col("n_regionkey") == 1, "treat").otherwise("ctrl").alias("label")
+    nations = table(spark, sf_dir, "nation").select(F.format_string("nation_%02d", "n_nationkey").alias("observation_id"), label)
+    nations = nations.join(cells.select(F.col("observation").alias("observation_id")).distinct(), "observation_id", "left_semi")
+    layers = _layers(spark, B_LAYERS, B_ONSET, lambda k: k + B_FIRST_YEAR - 1)
+    return Panel(cells.select("observation", "time_index", "feature", "abundance_value"), nations, layers, ("ctrl", "treat"))
 
 
 #: The same panels for the SQL side; ``x`` is the share.

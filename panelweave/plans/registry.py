@@ -71,7 +71,8 @@ _T_SQL = """, t as (select observation, printf('time_%03d', time_index) as time_
 
 @_query("panel_table", f"with {panels.E_SQL}{_T_SQL} select * replace ({_sql_r('abundance_value')} as abundance_value) from t")
 def panel_table(spark, d):
-    return panels.e_panel(spark, d).table().withColumn("abundance_value", _r("abundance_value"))
+    p = panel.from_long(panels.e_table(spark, d), ("ctrl", "treat"))
+    return p.table().withColumn("abundance_value", _r("abundance_value"))
 
 
 @_query(

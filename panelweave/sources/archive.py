@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 from ..functions import format_number
-from ..operators.panel import LONG_SCHEMA, MAX_LAYERS, Panel, PanelError, from_long
+from ..operators.panel import LONG_SCHEMA, MAX_LAYERS, Panel, PanelError, from_long, index_layers
 from ..operators.validate import REPORT, TIME_ID, check_delta_t, check_intervention, check_metadata
 
 MANIFEST = "manifest.txt"
@@ -110,7 +110,7 @@ def parse_manifest(text: str) -> tuple[list[tuple[str, str]], list[tuple], list[
 
 def write_manifest(observations: list[tuple[str, str]], layers: list[tuple], comments: list[str] | tuple[str, ...] = ()) -> str:
     for o, lab in observations:
-        if any(c in f"{o}{lab}" for c in ";\n") or "=" in o:
+        if any(c in f"{o}{lab}" for c in ";\n"):
             raise PanelError("ids and labels in a manifest must not hold ';' or line breaks")
     out = ["# manifest.txt machine-parsable", *(f"# {c}" for c in comments), "[observation_meta]"]
     out += [f"observation_id = {o}; label = {lab}" for o, lab in observations]
@@ -206,9 +206,11 @@ class _Layer(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
+    """``manifest``: its text, where the caller has checked the archive already."""
+
+    def __init__(self, path: str, manifest: str | None = None):
         self.path = path
-        observations, self.layers, _, _ = read_metadata(path)
+        observations, self.layers, _ = parse_manifest(manifest) if manifest else read_metadata(path)[:3]
         self.labels = dict(observations)
         self.wanted: set[str] | None = None
 
@@ -244,11 +246,11 @@ class PanelArchiveSource(DataSource):
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         prune = self.options.get("prune", "false") == "true"
-        return (_PruningReader if prune else _Reader)(self.options["path"])
+        return (_PruningReader if prune else _Reader)(self.options["path"], self.options.get("manifest"))
 
 
-def read_panel_table(spark: SparkSession, path: str) -> DataFrame:
-    """The archive's long table; metadata is validated first."""
+def _checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, tuple[str, ...]]:
+    """(long table, observation metadata, time metadata, labels in order)."""
     observations, layers, _, _ = read_metadata(path)
     obs = spark.createDataFrame(observations, "observation_id string, label string")
     times = spark.createDataFrame(layers, "time_identifier string, elapsed_time double, delta_t double, is_intervention_timepoint boolean")
@@ -257,13 +259,21 @@ def read_panel_table(spark: SparkSession, path: str) -> DataFrame:
     check_delta_t(times)
     spark.dataSource.register(PanelArchiveSource)
     prune = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-    return spark.read.format("panel_archive").option("prune", prune).load(path)
+    source = spark.read.format("panel_archive").option("prune", prune).option("manifest", write_manifest(observations, layers))
+    return source.load(path), obs, times, tuple(dict.fromkeys(lab for _, lab in observations))
+
+
+def read_panel_table(spark: SparkSession, path: str) -> DataFrame:
+    """The archive's long table; metadata is validated first."""
+    return _checked(spark, path)[0]
 
 
 def read_panel(spark: SparkSession, path: str) -> Panel:
     """The archive as a panel; labels keep the order of the manifest."""
-    observations, _, _, _ = read_metadata(path)
-    return from_long(read_panel_table(spark, path), tuple(dict.fromkeys(lab for _, lab in observations)))
+    table, obs, times, levels = _checked(spark, path)
+    layers = index_layers(times)
+    long = table.join(F.broadcast(layers.select("time_identifier", "time_index")), "time_identifier")
+    return Panel(long.select("observation", "time_index", "feature", "abundance_value"), obs, layers, levels)
 
 
 def write_panel_archive(table: DataFrame, dataset: str, version: str, out_dir: str, comments: list[str] | tuple[str, ...] = (), validate: bool = True) -> str:
