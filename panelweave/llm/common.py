@@ -49,14 +49,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/panelweave/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, reduced: bool = False) -> DataFrame:
     """Cut the lineage of ``df`` with a Parquet table in the shared folder.
 
-    While it runs, batches to Python hold at most ``ARROW_BYTES``, so that wide
+    ``reduced``: the rows are what is left of far larger shuffles; they are
+    written by an eighth of the shuffle partitions (16 at least), for fewer and
+    larger files.  While it runs, batches to Python hold at most ``ARROW_BYTES``, so that wide
     rows (whole texts, pairs of sets) do not fill the workers.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if reduced:
+        df = df.coalesce(max(16, shuffle_width(spark) // 8))
     before = spark.conf.get(_ARROW_CONF)
     spark.conf.set(_ARROW_CONF, ARROW_BYTES)
     try:
@@ -117,7 +121,7 @@ class HashFilter:
             .groupBy(F.shiftright("_pw_slot", 15).alias("_pw_bucket"))
             .agg(F.bitmap_construct_agg(F.col("_pw_slot") % _BITMAP_BITS).alias("_pw_bits"))
         )
-        self.rows = materialize(rows, "filter")  # small, and read by every plan that applies it
+        self.rows = materialize(rows, "filter", reduced=True)  # small, and read by every plan that applies it
 
     def _slot(self, key: Column) -> Column:
         return F.shiftrightunsigned(F.xxhash64(key), 64 - self.bits)

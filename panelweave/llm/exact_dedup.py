@@ -73,7 +73,7 @@ def _split(docs: DataFrame, text: str, filter_bits: int | None):
     key = _key_udf()
     keyed = docs.withColumn("_pw_key", key(F.col(text)))
     pairs = keyed.groupBy("_pw_key").agg(F.count(F.lit(1)).alias("_pw_n"))
-    pairs = materialize(pairs.select("_pw_key.len", "_pw_key.prefix", "_pw_n"), "dedup-prefix")
+    pairs = materialize(pairs.select("_pw_key.len", "_pw_key.prefix", "_pw_n"), "dedup-prefix", reduced=True)
     lengths = pairs.groupBy("len").agg(F.sum("_pw_n").alias("_pw_of_len")).where("_pw_of_len > 1")
     survivors = pairs.join(lengths, "len").where("_pw_n > 1")
     wanted = HashFilter(survivors.select(F.xxhash64("len", "prefix").alias("k")), "k", filter_bits)
@@ -89,10 +89,10 @@ def _ledgers(docs: DataFrame, id_col: str, text: str, filter_bits: int | None) -
     maybe = maybe.withColumn("_pw_sha", F.sha2(norm, 256)).withColumn("_pw_len", F.coalesce(F.char_length(text), F.lit(0)))
     best = F.min(F.struct((-F.col("_pw_len")).alias("l"), F.col(id_col).isNull().alias("x"), F.col(id_col).alias("i")))
     groups = maybe.groupBy("_pw_sha").agg(best.alias("_pw_best"), F.count(F.lit(1)).alias("group_size"))
-    groups = materialize(groups, "dedup-groups")
+    groups = materialize(groups, "dedup-groups", reduced=True)
     discard(pairs)
     copies = (
-        maybe.join(groups, "_pw_sha")
+        maybe.join(groups, "_pw_sha")  # all of a text's copies, so at most the repeated part of the table
         .withColumn("keep_id", F.col("_pw_best.i"))
         .withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("_pw_len") == -F.col("_pw_best.l")))
         .drop("_pw_best", "_pw_len")

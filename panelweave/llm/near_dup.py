@@ -7,7 +7,7 @@ smallest hashes are its sketch.  The stages:
     Rows with equal sets collapse into one class, whatever their number.
 2.  Inverted lists of the retained values: a value held by one class only can
     not be shared, so a class with too many of those has no partner and is
-    done ("too many" is exact where sketches are whole sets, otherwise five
+    done ("too many" is exact where sketches are whole sets, otherwise six
     standard deviations beyond the expectation at the threshold).
 3.  Classes that remain get their whole sets and a finer sketch.  Their
     rarest shared values - enough of them that two linked classes must meet -
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import HashFilter, chunks, discard, materialize, mix64, utf8_list
 
 #: Standard deviations that sampling may move a sketch before a pair is lost.
-SIGMAS = 5.0
+SIGMAS = 6.0
 _BATCH_BYTES = 8 << 20
 
 
@@ -159,15 +159,15 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     longest path, not with the size of a component.
     """
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("near"))
-    both = materialize(both.unionAll(both.select(F.col("near").alias("node"), F.col("node").alias("near"))).distinct(), f"{name}-edges")
-    labels = materialize(both.groupBy("node").agg(F.least("node", F.min("near")).alias("label")), f"{name}-labels")
+    both = materialize(both.unionAll(both.select(F.col("near").alias("node"), F.col("node").alias("near"))).distinct(), f"{name}-edges", reduced=True)
+    labels = materialize(both.groupBy("node").agg(F.least("node", F.min("near")).alias("label")), f"{name}-labels", reduced=True)
     while True:
         seen = labels.select(F.col("node").alias("near"), F.col("label").alias("near_label"))
         best = both.join(seen, "near").groupBy("node").agg(F.min("near_label").alias("best"))
         step = labels.join(best, "node").select("node", F.col("label").alias("old"), F.least("label", "best").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         moved = step.join(up, "label").select("node", "old", F.least("label", "up").alias("label"))
-        new = materialize(moved, f"{name}-labels")
+        new = materialize(moved, f"{name}-labels", reduced=True)
         discard(labels)
         labels = new
         if labels.where("old <> label").isEmpty():
@@ -207,7 +207,7 @@ def near_duplicates(
     held = _shared_values(classes, num, den, sketch_size).groupBy("cls").agg(F.count(F.lit(1)).cast("int").alias("held"))
     sized = classes.select("cls", "row", "n", F.size("vals").alias("m"))
     alive = sized.join(held, "cls").where(f"m - held <= {_allowed(num, den, sketch_size)}").select("cls", "row")
-    alive = materialize(alive, "near-alive")
+    alive = materialize(alive, "near-alive", reduced=True)
 
     # 3. their whole sets, rarest shared values first
     wanted = HashFilter(alive, "row", filter_bits)
@@ -227,7 +227,7 @@ def near_duplicates(
         .where("take > 0")
         .select("cls", "n", "u", (F.col("u") / F.col("m")).alias("odd"), F.expr("transform(slice(held, 1, take), x -> x.v)").alias("keys"))
     )
-    nodes = materialize(nodes, "near-nodes")
+    nodes = materialize(nodes, "near-nodes", reduced=True)
     # pos: values of the class that come before v.  At the first value two classes have in
     # common, none of those is shared, which bounds the overlap; a linked pair always passes in
     # that list.  Counted only where partners' sketches are whole sets.
@@ -244,7 +244,7 @@ def near_duplicates(
     stars = stars.select("v", F.col("c.cls").alias("cls2"), (-F.col("c.neg")).alias("n2"), F.col("c.pos").alias("pos2"))
     order = [F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")]
     proposed = post.join(stars, "v").where(f"cls <> cls2 and {possible}").select(*order).distinct()
-    proposed = materialize(proposed, "near-stars")
+    proposed = materialize(proposed, "near-stars", reduced=True)
     links = materialize(_verified(proposed, sets, num, den, sketch_size), "near-links")
     labels = connected_components(links)
 
@@ -252,7 +252,7 @@ def near_duplicates(
     grouped = post.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     grouped = grouped.withColumn("band", F.floor(F.log("n") / math.log(den / num)).cast("long"))
     open_lists = grouped.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v")
-    grouped = materialize(grouped.join(open_lists, "v"), "near-open")
+    grouped = materialize(grouped.join(open_lists, "v"), "near-open", reduced=True)
     right = grouped.select("v", "band", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
     left = grouped.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
     rest = left.join(right, ["v", "band"]).where(f"label <> label2 and (n < n2 or n = n2 and cls < cls2) and {possible}")
@@ -262,14 +262,14 @@ def near_duplicates(
 
     # 5. one row per input row
     ids = classes.select("cls", "first_id").join(labels.withColumnRenamed("node", "cls"), "cls")
-    comp = materialize(ids.groupBy("label").agg(F.min("first_id").alias("component_id")), "near-comp")
+    comp = materialize(ids.groupBy("label").agg(F.min("first_id").alias("component_id")), "near-comp", reduced=True)
     by_class = (
         classes.select("cls", "first_id")
         .join(labels.withColumnRenamed("node", "cls"), "cls", "left")
         .join(comp, "label", "left")
         .select("cls", F.coalesce("component_id", "first_id").alias("component_id"))
     )
-    by_class = materialize(by_class, "near-by-class")
+    by_class = materialize(by_class, "near-by-class", reduced=True)
     for t in (alive, sets, nodes, proposed, links, grouped, more, comp, classes):
         discard(t)
     out = rows.select("row", "id", "n", "cls").join(by_class, "cls", "left")
@@ -286,7 +286,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     anti-join; the others never leave their scan.
     """
     ledger = near_duplicates(docs, id_col, text, filter_bits=filter_bits, **params)
-    gone = materialize(ledger.where(~F.col("kept")).select(F.col("row").alias("_pw_row")).distinct(), "near-gone")
+    gone = materialize(ledger.where(~F.col("kept")).select(F.col("row").alias("_pw_row")).distinct(), "near-gone", reduced=True)
     keyed = HashFilter(gone, "_pw_row", filter_bits).flag(docs.withColumn("_pw_row", F.xxhash64(id_col, text)), "_pw_row", "_pw_may")
     sure = keyed.where(~F.col("_pw_may"))
     doubtful = keyed.where("_pw_may").join(gone, "_pw_row", "left_anti")

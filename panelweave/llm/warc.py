@@ -319,7 +319,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url: str = "url",
     rows = rows.withColumn("key", F.sha1("html"))
     long_enough = rows.where(F.octet_length("html") >= min_revisit_bytes)
     groups = long_enough.groupBy("key").agg(F.max(F.struct("page_id", "url")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = materialize(groups.select("key", F.col("top.page_id").alias("ref_id"), F.col("top.url").alias("ref_url")), "warc-twins")
+    groups = materialize(groups.select("key", F.col("top.page_id").alias("ref_id"), F.col("top.url").alias("ref_url")), "warc-twins", reduced=True)
     flagged = HashFilter(groups, "key", filter_bits).flag(rows, "key", "may")
     alone = flagged.where(~F.col("may")).select("page_id", "url", "html", F.lit(None).cast("long").alias("ref_id"), F.lit(None).cast("string").alias("ref_url"), F.lit(False).alias("revisit"))
     paired = flagged.where("may").join(groups, "key", "left")
