@@ -73,12 +73,14 @@ def materialize(df: DataFrame, name: str, reduced: bool = False) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Let this session send at most ``ARROW_BYTES`` a batch to Python.
+    """Small batches for this session, for jobs over whole texts.
 
-    For jobs over whole texts, whose rows would otherwise come 10000 at a time
-    or 64 MB at a time, in the JVM and again in each worker.
+    At most ``ARROW_BYTES`` a batch to Python, instead of 10000 rows or 64 MB
+    in the JVM and again in each worker, and 512 rows a batch from Parquet
+    instead of 4096, whose texts make arrays of tens of MB on the heap.
     """
     spark.conf.set(_ARROW_CONF, ARROW_BYTES)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", 512)
 
 
 def discard(df: DataFrame) -> None:
