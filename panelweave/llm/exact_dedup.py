@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

@@ -108,8 +108,8 @@ def _allowed(num: int, den: int, k: int) -> str:
     )
 
 
-def _shared_values(sets: DataFrame, num: int, den: int, k: int) -> DataFrame:
-    """Per class that may have a partner: u (values no other class holds)."""
+def _shared_values(sets: DataFrame) -> DataFrame:
+    """(v, cls, df) of the retained values that two classes or more hold."""
     post = sets.select("cls", F.explode("vals").alias("v"))
     lists = post.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     return post.join(lists, "v")
@@ -180,7 +180,7 @@ def near_duplicates(
     id_col: str = "doc_id",
     text: str = "text",
     width: int = 5,
-    num: int = 85,
+    num: int = 80,
     den: int = 100,
     sketch_size: int = 64,
     fine_size: int = 1024,
@@ -204,7 +204,7 @@ def near_duplicates(
     )
 
     # 2. classes that share enough retained values to have a partner at all
-    held = _shared_values(classes, num, den, sketch_size).groupBy("cls").agg(F.count(F.lit(1)).cast("int").alias("held"))
+    held = _shared_values(classes).groupBy("cls").agg(F.count(F.lit(1)).cast("int").alias("held"))
     sized = classes.select("cls", "row", "n", F.size("vals").alias("m"))
     alive = sized.join(held, "cls").where(f"m - held <= {_allowed(num, den, sketch_size)}").select("cls", "row")
     alive = materialize(alive, "near-alive", reduced=True)
@@ -216,7 +216,7 @@ def near_duplicates(
     sets = materialize(whole.groupBy("cls").agg(F.first("n").alias("n"), F.first("vals").alias("vals")), "near-sets")
 
     fine = sets.select("cls", "n", F.slice("vals", 1, fine_size).alias("vals"))
-    ranked = _shared_values(fine, num, den, fine_size).groupBy("cls").agg(
+    ranked = _shared_values(fine).groupBy("cls").agg(
         F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held")  # at most fine_size values a class
     )
     nodes = (

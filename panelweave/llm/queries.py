@@ -175,7 +175,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 
 # ---- 10 ------------------------------------------------------------------- #
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+    ledger = near_dup.near_duplicates(_table(spark, sf_dir, "documents"), num=85, den=100)
     return ledger.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 

@@ -50,7 +50,7 @@ def test_exact_empty(empty):
     assert exact_dedup.drop_duplicates(empty).columns == empty.columns
 
 
-def brute_near(rows, num=85, den=100, width=5):
+def brute_near(rows, num=80, den=100, width=5):
     sets = []
     for _, t in rows:
         w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
@@ -111,11 +111,11 @@ def planted(seed=3):
     return rows
 
 
-@pytest.mark.parametrize("params", [{}, {"sketch_size": 16, "fine_size": 64}])
+@pytest.mark.parametrize("params", [{}, {"sketch_size": 16, "fine_size": 64}, {"num": 85}])
 def test_near_planted(spark, params):
     rows = planted()
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
-    assert near(df, **params) == brute_near(rows)
+    assert near(df, **params) == brute_near(rows, params.get("num", 80))
 
 
 def test_near_drop(spark):
