@@ -27,7 +27,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
+    """One document of each component of near-duplicates (five-word shingles, 0.8 or more)."""
     bound_batches(spark)
     return near_dup.drop_near_duplicates(docs)
 
