@@ -115,9 +115,6 @@ def feature_index(spark, d):
     return panel.feature_index(panels.b_cells(spark, d))
 
 
-_EVENTS = ["click", "purchase", "search", "signup", "view"]
-
-
 @_query(
     "wide_pivot",
     f"with {panels.E_SQL}, top as (select distinct feature from p order by feature limit 2), n as (select list(feature order by feature) as f from top) "
