@@ -128,6 +128,18 @@ def wide_pivot(spark, d):
     return wide.select("observation", "time_index", _r(F.col(f"`{names[0]}`")).alias("first_feature"), _r(F.col(f"`{names[1]}`")).alias("second_feature"))
 
 
+@_query(
+    "wide_pivot_all",
+    f"with {panels.E_SQL}, r as (select observation, time_index, feature, {_sql_r('x')} as v from p) pivot r on feature using max(v) group by observation, time_index",
+)
+def wide_pivot_all(spark, d):
+    """A column for every feature; ``wide_pivot`` reports the first two only."""
+    cells = panels.e_cells(spark, d)
+    names = [r[0] for r in cells.select("feature").distinct().orderBy("feature").collect()]
+    wide = panel.long_to_wide(cells, names)
+    return wide.select("observation", "time_index", *[_r(F.col(f"`{n}`")).alias(n) for n in names])
+
+
 @_query(
     "long_unpivot",
     "with s as (select s_name as observation, s_acctbal as acctbal, s_nationkey::double as nationkey from supplier) "

@@ -7,7 +7,7 @@ import sys
 import duckdb
 import pytest
 
-from panelweave.plans import registry
+from panelweave.plans import panels, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,6 +39,15 @@ def test_matches_sql(spark, duck, name):
     assert got == want
 
 
+def test_wide_pivot_all_holds_every_cell(spark):
+    cells = {(r.observation, r.time_index, r.feature): r.value for r in registry._cells(panels.e_cells(spark, SF)).collect()}
+    wide = registry.QUERIES["wide_pivot_all"](spark, SF)
+    features = wide.columns[2:]
+    assert features == sorted({k[2] for k in cells}) and len(features) == 5
+    got = {(r.observation, r.time_index, f): r[f] for r in wide.collect() for f in features}
+    assert got == cells
+
+
 def test_sql_only_for_registered_queries():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
 
