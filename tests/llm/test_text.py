@@ -113,6 +113,33 @@ def test_pii_validators_and_context():
     assert low < high
 
 
+# Example accounts of the countries beyond the first 33 of the table.
+IBANS = """
+    AD1200012030200359100100 AE070331234567890123456 AL47212110090000000235698741 AZ21NABZ00000000137010001944 BA391290079401028494
+    BH67BMAG00001299123456 BI4210000100010000332045181 BR1800360305000010009795493C1 BY13NBRB3600900000002Z00AB00 CR05015202001026284066
+    DJ2100010000000154000100186 DO28BAGR00000001212453611324 EG380019000500000000263180002 FK88SC123456789012 FO6264600001631634
+    GE29NB0000000101904917 GI75NWBK000000007099453 GL8964710001000206 GT82TRAJ01020000001210029690 HN88CABF00000000000250005469
+    IL620108000000099999999 IQ98NBIQ850123456789012 JO94CBJO0010000000000131000302 KW81CBKU0000000000001234560101 KZ86125KZT5004100100
+    LB62099900000001001901229114 LC55HEMM000100010012001200023015 LY83002048000020100120361 MD24AG000225100013104168 ME25505000012345678951
+    MK07250120000058984 MN121234123456789123 MR1300020001010000123456753 MU17BOMM0101101030300200000MUR NI45BAPR00000013000003558124
+    OM810180000001299123456 PK36SCBL0000001123456702 PS92PALS000000000400123456702 QA58DOHB00001234567890ABCDEFG RS35260005601001611379
+    RU0304452522540817810538091310419 SA0380000000608010167519 SC18SSCB11010000000000001497USD SD2129010501234001 SM86U0322509800000000270100
+    SO211000001001000100141 ST23000100010051845310146 SV62CENR00000000000000700025 TL380080012345678910157 TN5910006035183598478831
+    TR330006100519786457841326 UA213223130000026007233566001 VA59001123000012345678 VG96VPVG0000012345678901 XK051212012345678906
+    YE15CBYE0001018861234567891234
+""".split()
+
+
+def test_pii_iban_of_every_registered_country():
+    assert len(pii.IBAN_LENGTHS) == 89
+    for account in IBANS:
+        spaced = " ".join(account[i : i + 4] for i in range(0, len(account), 4))
+        for text in (account, spaced):
+            assert pii.redact(f"konto {text}, bitte", pii.find_spans(f"konto {text}, bitte")) == "konto [IBAN], bitte"
+        wrong = account[:2] + f"{(int(account[2:4]) + 1) % 100:02d}" + account[4:]
+        assert "iban" not in [s[0] for s in pii.find_spans(f"konto {wrong}, bitte")]
+
+
 def test_pii_edge(edge, empty):
     out = pii.redact_texts(edge)
     assert out.columns == edge.columns
