@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from panelweave.llm import exact_dedup, near_dup, pii, quality, queries
 from panelweave.llm.common import bound_batches, materialize
 
+#: No document goes for one giant word, or for a script without blanks.
+QUALITY_POLICY = "v3"
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality policy."""
     bound_batches(spark)
-    return quality.keep_good(docs, queries.POLICY)
+    return quality.keep_good(docs, QUALITY_POLICY)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,8 +27,8 @@ from .common import chunks, utf8_list
 SYMBOLS = b"#*$%&|<>"
 
 _BATCH_BYTES = 8 << 20
-#: Measurements, all bigint.
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "longest_word")
+#: Measurements, all bigint; ``giant_chars`` is in ASCII words of over 1000 characters.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "longest_word", "word_bytes", "giant_chars")
 
 
 @dataclass(frozen=True)
@@ -48,13 +48,17 @@ RULES = (
     Rule(4, "short_words", "100 * word_chars < 250 * n_words"),
     Rule(5, "long_words", "word_chars > 12 * n_words"),
     Rule(6, "giant_word", "longest_word > 1000"),
+    # Where characters take more than 1.5 bytes on average, words need not be set apart by blanks.
+    Rule(7, "long_words_spaced", "word_chars - giant_chars > 12 * n_words and 2 * word_bytes <= 3 * word_chars"),
+    Rule(8, "giant_share", "100 * giant_chars > 50 * word_chars"),
 )
 
 #: Policy version -> names of the rules it applies.
 POLICIES = {
     "base": ("few_words", "repeated_words"),
     "v1": ("few_words", "repeated_words", "symbols", "repeated_lines", "short_words", "long_words"),
-    "v2": tuple(r.name for r in RULES),
+    "v2": ("few_words", "repeated_words", "symbols", "repeated_lines", "short_words", "long_words", "giant_word"),
+    "v3": ("few_words", "repeated_words", "symbols", "repeated_lines", "short_words", "long_words_spaced", "giant_share"),
 }
 
 
@@ -96,9 +100,11 @@ def _measure(text: bytes, n_chars: int) -> tuple:
             dups += line in seen
             seen.add(line)
     sizes = list(map(len, words))
-    blank = len(text) - sum(sizes)
+    size, longest = sum(sizes), max(sizes, default=0)
+    blank = len(text) - size
+    giant = sum(len(w) for w in words if len(w) > 1000 and w.isascii()) if longest > 1000 else 0
     symbols = len(text) - len(text.translate(None, SYMBOLS))
-    return len(words), n_chars - blank, symbols, dups, repeat_words(words), lines, max(sizes, default=0)
+    return len(words), n_chars - blank, symbols, dups, repeat_words(words), lines, longest, size, giant
 
 
 def _measure_udf():
@@ -164,7 +170,7 @@ def ablations(ledger_rows: DataFrame, policy: str) -> DataFrame:
     return each.groupBy("r.rule").agg(failed.alias("n_failed"), only.alias("n_only"))
 
 
-def keep_good(docs: DataFrame, policy: str = "v2", text: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, policy: str = "v3", text: str = "text") -> DataFrame:
     """Rows that pass the policy, with the columns of ``docs``."""
     found = docs.withColumn("_pw_m", _measure_udf()(F.col(f"`{text}`")))
     found = found.withColumn("_pw_bits", bits("_pw_m."))

@@ -139,6 +139,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- 9 -------------------------------------------------------------------- #
+#: The policy that the query's SQL states; the pipeline applies a later one.
 POLICY = "v2"
 
 
@@ -153,7 +154,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_repeat_words",
         quality.fails("base").alias("base_failed"),
         (~quality.fails(POLICY)).alias("kept"),
-        "failed_bits",
+        F.col("failed_bits").bitwiseAND(F.lit(quality.mask(POLICY)).cast("long")).alias("failed_bits"),
     )
 
 

@@ -40,6 +40,18 @@ def test_run(spark):
     assert per_doc == dict.fromkeys(want, True)
 
 
+def test_quality_stage_keeps_clean_documents(spark):
+    plain = " ".join(f"word{i}" for i in range(3000))
+    run, more = "QUJD" * 500, "REVG" * 6000
+    spaceless = " ".join(chr(0x4E00 + i) * 5 + "漢字仮名交文" * 4 for i in range(80))
+    texts = {1: plain, 2: f"{plain} {run}", 3: f"{plain} {more}", 4: spaceless, 5: " ".join(f"{i:032x}" for i in range(100)), 6: spaceless.replace(" ", "漢" * 400 + " ", 1), 7: None, 8: f"{plain} {more[:16000]}"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, SF).collect()}
+    assert kept == {1, 2, 4, 6, 8}
+    # The earlier policies mean what they meant.
+    assert {r.doc_id for r in quality.keep_good(docs, "v2").collect()} == {1}
+
+
 def test_stages_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
