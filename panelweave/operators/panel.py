@@ -95,6 +95,23 @@ def sort_panel_table(df: DataFrame) -> DataFrame:
     return select_panel_columns(df).orderBy("observation", "elapsed_time", "time_identifier", "feature")
 
 
+def canonical_position(df: DataFrame) -> DataFrame:
+    """The whole table with ``position``, each row's place in the canonical order, from 1.
+
+    Without a global sort: windows over the observations' sizes, dealt by the
+    head of their names, give each observation's first place.
+    """
+    rows = select_panel_columns(df)
+    sizes = rows.groupBy("observation").agg(F.count(F.lit(1)).alias("_n")).withColumn("_head", F.substring("observation", 1, 3))
+    heads = sizes.groupBy("_head").agg(F.sum("_n").alias("_m"))
+    above = F.coalesce(F.sum("_m").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = Window.partitionBy("_head").orderBy("observation").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.join(heads.select("_head", above.alias("_above")), "_head")
+    first = first.select("observation", (F.col("_above") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_first"))
+    own = F.row_number().over(Window.partitionBy("observation").orderBy("elapsed_time", "time_identifier", "feature"))
+    return rows.join(first, "observation").select(*REQUIRED, (F.col("_first") + own).alias("position"))
+
+
 def time_identifier(index: Column | int) -> Column:
     return F.format_string("time_%03d", index if isinstance(index, Column) else F.lit(index))
 

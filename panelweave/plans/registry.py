@@ -178,6 +178,15 @@ def canonical_head(spark, d):
     return panel.sort_panel_table(panels.e_table(spark, d)).limit(100).withColumn("abundance_value", _r("abundance_value"))
 
 
+@_query(
+    "canonical_order",
+    f"with {panels.E_SQL}{_T_SQL} select * replace ({_sql_r('abundance_value')} as abundance_value), row_number() over (order by observation, elapsed_time, time_identifier, feature) as position from t",
+)
+def canonical_order(spark, d):
+    """Every row with its place; ``canonical_head`` reports the first 100 rows."""
+    return panel.canonical_position(panels.e_table(spark, d)).withColumn("abundance_value", _r("abundance_value"))
+
+
 @_query(
     "time_bins",
     """with b as (select o_custkey % 5 as g, cast(floor(date_diff('day', date '1995-01-01', cast(o_orderdate as date)) / 365.0) + 1 as integer) as time_index, o_orderpriority as feature, avg(o_totalprice) as raw

@@ -48,6 +48,14 @@ def test_wide_pivot_all_holds_every_cell(spark):
     assert got == cells
 
 
+def test_canonical_order_is_whole(spark):
+    table = panels.e_table(spark, SF)
+    rows = registry.QUERIES["canonical_order"](spark, SF).orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(1, table.count() + 1)) and len(rows) > 100
+    key = lambda r: (r.observation, r.elapsed_time, r.time_identifier, r.feature)
+    assert [key(r) for r in rows] == sorted(map(key, table.collect()))
+
+
 def test_sql_only_for_registered_queries():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
 
