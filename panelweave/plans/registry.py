@@ -160,6 +160,17 @@ def unmatched_anti(spark, d):
     return panel.unmatched_keys(long, known)
 
 
+@_query(
+    "unmatched_suppliers",
+    "select distinct cast(user_id as varchar) as observation from events where user_id not in (select s_suppkey from supplier)",
+)
+def unmatched_suppliers(spark, d):
+    """Against a whole table that lacks keys; ``unmatched_anti`` knows every third customer only."""
+    long = panels.table(spark, d, "events").select(F.col("user_id").cast("string").alias("observation"))
+    known = panels.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("observation_id"))
+    return panel.unmatched_keys(long, known)
+
+
 @_query(
     "panel_summary",
     f"""with {panels.E_SQL} select count(*) as n_cells, {_sql_r('avg((x = 0)::integer)')} as zero_share, {_sql_r('min(x)')} as min_value, {_sql_r('max(x)')} as max_value,

@@ -56,6 +56,13 @@ def test_canonical_order_is_whole(spark):
     assert [key(r) for r in rows] == sorted(map(key, table.collect()))
 
 
+def test_unmatched_suppliers_knows_the_whole_table(spark):
+    users = {str(r[0]) for r in panels.table(spark, SF, "events").select("user_id").collect()}
+    known = {str(r[0]) for r in panels.table(spark, SF, "supplier").select("s_suppkey").collect()}
+    got = [r.observation for r in registry.QUERIES["unmatched_suppliers"](spark, SF).collect()]
+    assert sorted(got) == sorted(users - known) and users & known and users - known
+
+
 def test_sql_only_for_registered_queries():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
 
