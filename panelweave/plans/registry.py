@@ -486,7 +486,7 @@ def _estimate(name: str, **spec):
 _estimate("did_inference", method="did")
 _estimate("pooled_inference", method="pooled_ols")
 _estimate("event_inference", method="event_study")
-_estimate("did_bootstrap", method="did", bootstrap=True, bootstrap_samples=200)
+_estimate("did_bootstrap", method="did", bootstrap=True)
 
 
 def _b_design(spark, d) -> causal.Design:

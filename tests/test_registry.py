@@ -7,6 +7,7 @@ import sys
 import duckdb
 import pytest
 
+from panelweave.operators import causal, preprocess
 from panelweave.plans import panels, registry
 
 SF = "/root/testdata/sf0.001"
@@ -63,6 +64,15 @@ def test_unmatched_suppliers_knows_the_whole_table(spark):
     assert sorted(got) == sorted(users - known) and users & known and users - known
 
 
+def test_did_bootstrap_has_the_default_draws(spark):
+    p = panels.e_panel(spark, SF)
+    p = p.with_values(preprocess.normalize(p.long, "clr"))
+    want = causal.estimate("abundance ~ group | unit + time", p, "did", bootstrap=True, bootstrap_samples=500).effects
+    bounds = lambda df: {r.feature: pytest.approx((r.bootstrap_lower, r.bootstrap_upper), rel=1e-9) for r in df.collect()}
+    got = {r.feature: (r.bootstrap_lower, r.bootstrap_upper) for r in registry.QUERIES["did_bootstrap"](spark, SF).collect()}
+    assert got == bounds(want)
+
+
 def test_sql_only_for_registered_queries():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
 
