@@ -314,6 +314,18 @@ def preprocess_pipeline(spark, d):
     return _cells(out)
 
 
+_KEPT = ", f as (select feature from p group by feature having avg((x > 0.0401)::integer) >= 0.45)"
+_KEPT_Z = f"{_KEPT}, z as (select observation, time_index, feature, {_ZERO['half_min']} as x from p join f using (feature))"
+
+
+@_query("preprocess_filtered", f"with {panels.B_SQL}{_KEPT_Z}{_CLR} select observation, time_index, feature, {_sql_r('c')} as value from c")
+def preprocess_filtered(spark, d):
+    """The chain with a filter that drops features; every feature meets the bound of ``preprocess_pipeline``."""
+    spec = {"min_prevalence": 0.45, "min_abundance": 0.0401}
+    out, _ = preprocess.preprocess(panels.b_cells(spark, d), filter=spec, zero={"method": "half_min"}, normalize_="clr")
+    return _cells(out)
+
+
 # --------------------------------------------------------------------------- #
 # smoothing
 # --------------------------------------------------------------------------- #

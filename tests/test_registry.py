@@ -73,6 +73,13 @@ def test_did_bootstrap_has_the_default_draws(spark):
     assert got == bounds(want)
 
 
+def test_preprocess_filtered_drops_features(spark):
+    every = {r.feature for r in panels.b_cells(spark, SF).select("feature").distinct().collect()}
+    kept = {r.feature for r in registry.QUERIES["filter_prevalence"](spark, SF).select("feature").distinct().collect()}
+    got = {r.feature for r in registry.QUERIES["preprocess_filtered"](spark, SF).select("feature").distinct().collect()}
+    assert got == kept and got < every
+
+
 def test_sql_only_for_registered_queries():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
 
