@@ -540,7 +540,7 @@ def archive_round_trip(spark, d):
 
 @_query("simulate_probe")
 def simulate_probe(spark, d):
-    return simulate.probe(simulate.generate(spark, ["A1", "A11"], 2))
+    return simulate.probe(simulate.generate(spark))
 
 
 def simulated_effects(spark: SparkSession, names: list[str], replicates: int) -> DataFrame:
@@ -560,8 +560,7 @@ def simulated_effects(spark: SparkSession, names: list[str], replicates: int) ->
 
 @_query("simulate_metrics")
 def simulate_metrics(spark, d):
-    names = ["A2", "A11"]
-    return metrics.summarize(simulated_effects(spark, names, 3), simulate.truth(spark, names, 3))
+    return metrics.summarize(simulated_effects(spark, list(simulate.SCENARIOS), 30), simulate.truth(spark))
 
 
 @_query(
@@ -586,7 +585,7 @@ def intervention_flag(spark, d):
 
 @_query("simulate_truth")
 def simulate_truth(spark, d):
-    return simulate.truth_table(spark, ["A1", "A11"], 3)
+    return simulate.truth_table(spark)
 
 
 def _grid_query(name: str, configs: dict[str, experiments.Config], method: str):

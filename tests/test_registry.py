@@ -7,7 +7,7 @@ import sys
 import duckdb
 import pytest
 
-from panelweave.operators import causal, preprocess
+from panelweave.operators import causal, preprocess, simulate
 from panelweave.plans import panels, registry
 
 SF = "/root/testdata/sf0.001"
@@ -80,6 +80,16 @@ def test_preprocess_filtered_drops_features(spark):
     assert got == kept and got < every
 
 
+@pytest.mark.parametrize("name", ["simulate_probe", "simulate_truth"])
+def test_simulations_have_every_scenario_and_replicate(spark, name):
+    got = sorted((r.dataset, r.rep) for r in registry.QUERIES[name](spark, SF).select("dataset", "rep").collect())
+    assert got == sorted((k, rep) for k in simulate.SCENARIOS for rep in range(1, 31))
+
+
+def test_simulate_metrics_has_every_scenario(spark):
+    assert {r.dataset for r in registry.QUERIES["simulate_metrics"](spark, SF).collect()} == set(simulate.SCENARIOS)
+
+
 def test_sql_only_for_registered_queries():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
 
