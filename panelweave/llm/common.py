@@ -182,11 +182,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class IntTable:
-    """int64 keys (>= 0) to int32 values by open addressing, in two arrays."""
+    """Distinct int64 keys (>= 0) to int32 values by open addressing, in two arrays."""
 
-    def __init__(self, keys: np.ndarray, vals: np.ndarray, missing: int):
+    def __init__(self, keys: np.ndarray, vals: np.ndarray, missing: int, spare: int = 4):
         self.missing = np.int32(missing)
-        self.bits = max(8, int(4 * len(keys)).bit_length())
+        self.bits = max(8, int(spare * len(keys)).bit_length())
         self.mask = np.int64((1 << self.bits) - 1)
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.vals = np.full(1 << self.bits, missing, np.int32)
@@ -194,12 +194,11 @@ class IntTable:
         self.longest = 0
         while len(keys):
             self.longest += 1
-            free = self.keys[slots] == -1
-            at, first = np.unique(slots[free], return_index=True)
-            take = np.flatnonzero(free)[first]
-            self.keys[at], self.vals[at] = keys[take], vals[take]
-            rest = np.ones(len(keys), bool)
-            rest[take] = False
+            free = np.flatnonzero(self.keys[slots] == -1)
+            self.keys[slots[free]] = keys[free]  # of several keys for a slot the last one stays
+            took = self.keys[slots] == keys
+            self.vals[slots[took]] = vals[took]
+            rest = ~took
             keys, vals, slots = keys[rest], vals[rest], (slots[rest] + 1) & self.mask
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:

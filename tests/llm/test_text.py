@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -24,18 +25,20 @@ def lower(t):
 def brute_lm(rows, mu):
     docs = [(i, [*WORD.findall(lower(t)), None]) for i, t in rows]
     train = [zlib.crc32(str(i).encode()) % 10 != 0 if i is not None else False for i, _ in docs]
-    uni, pair, hist = Counter(), Counter(), Counter()
+    uni, pair, triple = Counter(), Counter(), Counter()
     for (_, ws), t in zip(docs, train, strict=True):
         if t:
             uni.update(ws)
             pair.update(zip([None, *ws], ws, strict=False))
-            hist.update([None, *ws[:-1]])
+            triple.update(zip([None, *ws], ws, ws[1:], strict=False))
     n, v = sum(uni.values()), len(uni)
     p1 = lambda w: (uni[w] + 0.1) / (n + 0.1 * (v + 1))
+    p2 = lambda h, w: (pair[h, w] + mu[0] * p1(w)) / (uni[h] + mu[0])
+    p3 = lambda g, h, w: (triple[g, h, w] + mu[1] * p2(h, w)) / (pair[g, h] + mu[1])
     out = []
     for (i, ws), t in zip(docs, train, strict=True):
         base = sum(math.log10(p1(w)) for w in ws)
-        full = sum(math.log10((pair[h, w] + mu * p1(w)) / (hist[h] + mu)) for h, w in zip([None, *ws], ws, strict=False))
+        full = math.log10(p2(None, ws[0])) + sum(math.log10(p3(*x)) for x in zip([None, *ws], ws, ws[1:], strict=False))
         out.append((i, not t, len(ws), sum(uni[w] > 0 for w in ws), n, base, full))
     return out
 
@@ -49,9 +52,9 @@ def same_scores(got, want):
         assert g[5:] == pytest.approx(w[5:], rel=1e-9, abs=1e-9)
 
 
-@pytest.mark.parametrize("block", [200, None])
-def test_lm_edge(edge, block):
-    same_scores(lm_score.score(edge, mu=3.0, block_bytes=block).collect(), brute_lm(EDGE, 3.0))
+@pytest.mark.parametrize(("block", "bits"), [(200, 64), (200, 48), (None, None)])
+def test_lm_edge(edge, block, bits):
+    same_scores(lm_score.score(edge, mu=(3.0, 2.0), block_bytes=block, bits=bits).collect(), brute_lm(EDGE, (3.0, 2.0)))
 
 
 def test_lm_documents(documents):
@@ -59,11 +62,58 @@ def test_lm_documents(documents):
     same_scores(lm_score.score(documents, block_bytes=100_000).collect(), brute_lm(rows, lm_score.MU))
 
 
+def test_lm_query(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    same_scores(queries.op4_lm_score(spark, SF).select(*names).collect(), brute_lm(rows, lm_score.MU))
+
+
+def test_lm_traversal_does_not_depend_on_pieces(documents):
+    texts = [(r.text or "").encode() for r in documents.collect()]
+    train = np.arange(len(texts)) % 3 > 0
+    t = lm_score.Tokens(texts)
+    words, grams = t.counts(train)
+    auto = lm_score.BackoffAutomaton(t, words, grams, int(words.sum()), int((words > 0).sum()), lm_score.MU)
+    whole = auto.traverse(t, piece=1 << 40)
+    for piece in (2, 7, 256):
+        assert np.allclose(auto.traverse(t, piece), whole, rtol=1e-12)
+
+
+def test_lm_models_are_distributions():
+    texts = [b"a b a b c", b"b c a", b"", b"c c c b a"]
+    t = lm_score.Tokens(texts)
+    words, grams = t.counts(np.array([True, True, True, False]))
+    v, n = int((words > 0).sum()), int(words.sum())
+    auto = lm_score.BackoffAutomaton(t, words, grams, n, v, (3.0, 2.0))
+    every = np.arange(len(words))
+    unknown = 0.1 / (n + 0.1 * (v + 1))
+    for state in {auto.start, *auto.to_word.tolist(), *auto.target.tolist()}:
+        if auto.fail[state] == auto.start != state:
+            continue  # after a document's end nothing is read
+        here = np.full(len(every), state)
+        at, weight = state, 0.0
+        while at != 0:
+            weight, at = weight + auto.fail_weight[at], int(auto.fail[at])
+        rest = unknown * 10.0**weight  # one further, unseen word
+        assert (10.0 ** auto.read(here, every)[1]).sum() + rest == pytest.approx(1.0)
+
+
 def test_lm_block_size():
-    assert lm_score.block_size(10**9) == lm_score.BLOCK_BYTES
-    for total in (10**12, 10**14):
-        size = lm_score.block_size(total)
-        assert 0.14 * size * size / total >= 255 and size < 500 << 20
+    assert lm_score.block_size(10**10) == lm_score.BLOCK_BYTES
+    assert lm_score.block_size(10**12) > lm_score.BLOCK_BYTES
+    for total in (10**13, 10**14):
+        assert lm_score.block_size(total) <= lm_score.MOST_BYTES
+    assert (lm_score.key_bits(10**9), lm_score.key_bits(10**14)) == (48, 64)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 2**64 - 1), st.integers(2**63, 2**63 + 40)), min_size=1, max_size=80))
+def test_lm_distinct(numbers):
+    keys = np.array(numbers, np.uint64)
+    found, index, first = lm_score.distinct(keys)
+    want, at, back = np.unique(keys, return_index=True, return_inverse=True)
+    assert found.tolist() == want.tolist() and index.tolist() == back.tolist() and first.tolist() == at.tolist()
+    assert lm_score._unpack(lm_score._pack(keys)).tolist() == numbers
 
 
 def test_lm_empty(empty):
