@@ -1,14 +1,15 @@
 """Byte-level BPE with length-bucketed padded numpy matrices.
 
-Distinct pre-tokens of a batch are grouped by byte length into matrices of
-token ids, one row a pre-token, padded to the bucket's width.  Each round every
-row merges its leftmost pair of minimum rank; pair ranks come from an
-open-addressing hash table held in two arrays, and the row is compacted by one
-column.  Rows without a mergeable pair leave the matrix.  Results equal merging
-one pair at a time, lowest rank first, leftmost among equals.
-
-Pre-tokens beyond ``MATRIX_BYTES`` bytes (a run of one letter, say) would need
-as many rounds as bytes; they are merged with a heap, in the same order.
+Distinct pre-tokens of a batch are cut between bytes that no token holds next to
+each other, which no merge can cross, and grouped by length into matrices of
+token ids, one row a piece, padded to the bucket's width.  Each round every row
+merges its leftmost pair of minimum rank; pair ranks come from an
+open-addressing hash table held in two arrays, and rows are compacted.  Where no
+pair with the merged token ranks below it, the same pair's next occurrences to
+the right would be merged in the following rounds; they are merged in the same
+one, so that a long run takes few rounds.  Rows without a mergeable pair leave
+the matrix.  Results equal merging one pair at a time, lowest rank first,
+leftmost among equals, for pieces of every length.
 
 Defined results: null text encodes like the empty text, to no ids; decoding a
 null id list gives empty bytes; an id outside the vocabulary is an error;
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +31,11 @@ from pyspark.sql import types as T
 
 from .common import IntTable, chunks, str_list
 
-MATRIX_BYTES = 256
 _NONE = np.int32(0x7FFFFFFF)
 _BATCH_BYTES = 6 << 20
 _DECODE_IDS = 1 << 20
-#: Widths of the buckets; a pre-token goes to the smallest that holds it.
-_WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 192, MATRIX_BYTES)
+#: Widths of the first buckets, each further one twice as wide; a piece goes to the smallest that holds it.
+_WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 16, 20, 24, 32, 48, 64)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -66,8 +65,12 @@ class PairTable:
                     left.append(a)
                     right.append(b)
                     merged.append(rank)
-        keys = (np.array(left, np.int64) << 32) | np.array(right, np.int64)
-        self.table = IntTable(keys, np.array(merged, np.int32), int(_NONE))
+        left, right, merged = np.array(left, np.int64), np.array(right, np.int64), np.array(merged, np.int32)
+        self.table = IntTable((left << 32) | right, merged, int(_NONE))
+        #: Tokens that some pair holds whose rank is lower than the token's own.
+        self.sinking = np.zeros(max(ranks.values()) + 1, bool)
+        for part in (left, right):
+            self.sinking[part[merged < part]] = True
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair; ``_NONE`` where it does not merge (or is padding)."""
@@ -86,6 +89,9 @@ class ByteBPE:
         self.pairs = PairTable(ranks)
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.tokens = {i: t for t, i in ranks.items()}
+        self.inside = np.zeros((256, 256), bool)
+        for t in ranks:
+            self.inside[list(t[:-1]), list(t[1:])] = True
         sizes = np.zeros(max(self.tokens) + 1, np.int64)
         for i, t in self.tokens.items():
             sizes[i] = len(t)
@@ -94,39 +100,52 @@ class ByteBPE:
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words back to back, number of ids of each)."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(words), np.uint8)
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        cut = np.empty(len(data), bool)
+        cut[:-1] = ~self.inside[data[:-1], data[1:]]
+        cut[ends[ends > 0] - 1] = True
+        stops = np.flatnonzero(cut) + 1
+        sizes = np.diff(stops, prepend=0)
+        starts = stops - sizes
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows, ids matrix, lengths
-        lo = 0
-        for width in _WIDTHS:
+        lo = width = 0
+        for width in self._widths(int(sizes.max())):
             rows = np.flatnonzero((sizes > lo) & (sizes <= width))
             lo = width
             if len(rows):
-                parts += self._merge(rows, [words[i] for i in rows.tolist()], sizes[rows], width)
-        for i in np.flatnonzero(sizes > MATRIX_BYTES).tolist():
-            ids = np.array(self._heap(words[i]), np.int32)
-            parts.append((np.array([i]), ids[None, :], np.array([len(ids)])))
-        counts = np.zeros(len(words), np.int64)
+                parts += self._merge(rows, data, starts[rows], sizes[rows], width)
+        counts = np.zeros(len(sizes), np.int64)
         for rows, _, n in parts:
             counts[rows] = n
-        starts = np.cumsum(counts) - counts
+        at = np.cumsum(counts) - counts
         flat = np.empty(int(counts.sum()), np.int32)
         for rows, ids, n in parts:
             col = np.arange(ids.shape[1])
             inside = col < n[:, None]
-            flat[(starts[rows][:, None] + col)[inside]] = ids[inside]
-        return flat, counts
-
-    def _merge(self, rows, words, sizes, width):
+            flat[(at[rows][:, None] + col)[inside]] = ids[inside]
+        until = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(stops, ends, side="right")]
+        return flat, np.diff(until, prepend=0)
+
+    @staticmethod
+    def _widths(longest: int) -> Iterator[int]:
+        yield from _WIDTHS
+        width = _WIDTHS[-1]
+        while width < longest:
+            width *= 2
+            yield width
+
+    def _merge(self, rows, data, starts, size, width):
         col = np.arange(width)
-        inside = col < sizes[:, None]
-        ids = np.full((len(words), width), -1, np.int32)
-        ids[inside] = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-        rank = self.pairs.lookup(ids[:, :-1], ids[:, 1:])
-        size, done = sizes.copy(), []
+        real = col < size[:, None]
+        ids = np.full((len(rows), width), -1, np.int32)
+        ids[real] = self.byte_ids[data[(starts[:, None] + col)[real]]]
+        rank = np.full(ids.shape, _NONE, np.int32)  # of each token and the one after it
+        rank[:, :-1] = self.pairs.lookup(ids[:, :-1], ids[:, 1:])
+        done = []
         while True:
-            if rank.shape[1] == 0:
-                done.append((rows, ids, size))
-                return done
             at = rank.argmin(axis=1)
             best = rank[np.arange(len(rows)), at]
             go = best != _NONE
@@ -136,44 +155,37 @@ class ByteBPE:
                 rows, ids, rank, size, at, best = rows[go], ids[go], rank[go], size[go], at[go], best[go]
                 if not len(rows):
                     return done
-            each = np.arange(len(rows))
-            col = np.arange(ids.shape[1] - 1)
-            ids = np.take_along_axis(ids, col + (col > at[:, None]), 1)
-            ids[each, at] = best
-            size = size - 1
-            if ids.shape[1] == 1:
-                rank = rank[:, :0]
-                continue
-            col = np.arange(rank.shape[1] - 1)
-            rank = np.take_along_axis(rank, col + (col > at[:, None]), 1)
-            has = np.flatnonzero(at > 0)
-            rank[has, at[has] - 1] = self.pairs.lookup(ids[has, at[has] - 1], best[has])
-            has = np.flatnonzero(at < ids.shape[1] - 1)
-            rank[has, at[has]] = self.pairs.lookup(best[has], ids[has, at[has] + 1])
-
-    def _heap(self, word: bytes) -> list[int]:
-        ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
-        n = len(ids)
-        nxt, prv = list(range(1, n)) + [-1], list(range(-1, n - 1))
-        merged = self._rank_of
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := merged(ids[i], ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = nxt[i] if ids[i] == a else -1
-            if j < 0 or ids[j] != b:
-                continue
-            ids[i], ids[j] = r, -1
-            nxt[i] = nxt[j]
-            if nxt[i] >= 0:
-                prv[nxt[i]] = i
-            for x, y in ((prv[i], i), (i, nxt[i])):
-                if x >= 0 and y >= 0 and (q := merged(ids[x], ids[y])) is not None:
-                    heapq.heappush(heap, (q, x, ids[x], ids[y]))
-        return [x for x in ids if x >= 0]
-
-    def _rank_of(self, a: int, b: int) -> int | None:
-        return self.ranks.get(self.tokens[a] + self.tokens[b])
+            ids, rank, size = self._round(ids, rank, size, at, best)
+
+    def _round(self, ids, rank, size, at, best):
+        """Every row's merge, or merges, of one round."""
+        each = np.arange(len(ids))
+        hit = np.zeros(ids.shape, bool)
+        hit[each, at] = True
+        more = np.flatnonzero(~self.pairs.sinking[best])
+        if ids.shape[1] > 3 and len(more):
+            same = rank[more] == best[more, None]
+            if len(more) < np.count_nonzero(same):
+                # of occurrences that overlap (a run of one token) every second, from the left
+                col = np.arange(ids.shape[1])
+                before = np.maximum.accumulate(np.where(same, -1, col), axis=1)
+                hit[more] = same & ((col - before) % 2 == 1)
+        gone = np.zeros(ids.shape, bool)
+        gone[:, 1:] = hit[:, :-1]
+        ids = np.where(hit, best[:, None], ids)
+        size = size - np.count_nonzero(hit, axis=1)
+        keep = ~gone & (ids >= 0)
+        into = np.arange(int(size.max())) < size[:, None]
+        new_ids = np.full(into.shape, -1, np.int32)
+        new_rank = np.full(into.shape, _NONE, np.int32)
+        merged = np.zeros((len(ids), into.shape[1] + 1), bool)
+        new_ids[into], new_rank[into], merged[:, :-1][into] = ids[keep], rank[keep], hit[keep]
+        i, j = np.nonzero(merged[:, :-1] | merged[:, 1:])  # pairs with a merged token
+        last = j + 1 == new_ids.shape[1]
+        new_rank[i[last], j[last]] = _NONE
+        i, j = i[~last], j[~last]
+        new_rank[i, j] = self.pairs.lookup(new_ids[i, j], new_ids[i, j + 1])
+        return new_ids, new_rank, size
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts back to back, offsets)."""
