@@ -219,3 +219,13 @@ class IntTable:
                 break
             todo, keys, slots = todo[on], keys[on], (slots[on] + 1) & self.mask
         return out
+
+    def get(self, key: int) -> int:
+        """Value of one key."""
+        slot = ((key * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
+        mask = int(self.mask)
+        while (found := int(self.keys[slot])) != key:
+            if found == -1:
+                return int(self.missing)
+            slot = (slot + 1) & mask
+        return int(self.vals[slot])

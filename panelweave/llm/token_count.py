@@ -5,8 +5,9 @@ stands for what is left after greedy longest matching has popped pieces off,
 and the number of those pieces, both computed once, breadth first (the LinMaxMatch
 construction).  A word's count is then one walk over its symbols: follow an
 edge, or add the node's popped count and follow its failure link.  No piece is
-ever built.  Distinct words of a batch are walked together, one symbol position
-at a time, with the automaton in numpy arrays.
+ever built.  Distinct words of a batch are walked together, longest first, one symbol
+position at a time over the words that reach it, with the automaton in numpy
+arrays; so the cost is linear in their bytes.
 
 Words are the maximal runs outside ``[\\x20\\x09-\\x0D]`` as UTF-8 bytes, ``A-Z``
 lower-cased where asked.  Every word is matched with ``prefix`` before it (a
@@ -34,7 +35,8 @@ from .common import IntTable, chunks, utf8_list
 
 _BATCH_BYTES = 8 << 20
 _SYMBOLS = 256
-_WIDTHS = (2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 20, 24, 32, 48, 64, 128)
+#: So few words are walked one by one.
+_FEW = 16
 
 
 class LongestMatch:
@@ -87,22 +89,24 @@ class LongestMatch:
     def count(self, words: list[bytes]) -> np.ndarray:
         """Pieces of each word; 0 where greedy matching cannot cover it."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        out = np.zeros(len(words), np.int64)
-        lo = 0
-        for width in (*_WIDTHS, None):
-            rows = np.flatnonzero((sizes > lo) & ((sizes <= width) if width else True))
-            lo = width
-            if len(rows):
-                out[rows] = self._walk([words[i] for i in rows.tolist()], sizes[rows])
+        order = np.argsort(-sizes, kind="stable")
+        out = np.empty(len(words), np.int64)
+        out[order] = self._walk([words[i] for i in order.tolist()], sizes[order])
         return out
 
     def _walk(self, words: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """Counts of words sorted by falling length: each position costs its live rows only."""
         data = np.frombuffer(b"".join(words), np.uint8)
         start = np.cumsum(sizes) - sizes
         n = np.zeros(len(words), np.int64)
         node = np.zeros(len(words), np.int64)
-        for pos in range(int(sizes.max())):
-            live = np.flatnonzero((pos < sizes) & (node >= 0))
+        longer = np.searchsorted(-sizes, -np.arange(int(sizes.max(initial=0))), side="left").tolist()
+        for pos, rows in enumerate(longer):
+            if rows <= _FEW:
+                for i in range(rows):
+                    n[i], node[i] = self._rest(words[i], pos, int(n[i]), int(node[i]))
+                break
+            live = np.flatnonzero(node[:rows] >= 0)
             sym = data[start[live] + pos].astype(np.int64)
             while len(live):
                 to = self.edges.lookup(node[live] * _SYMBOLS + sym)
@@ -121,6 +125,21 @@ class LongestMatch:
         n[node < 0] = 0
         return n
 
+    def _rest(self, word: bytes, pos: int, n: int, node: int) -> tuple[int, int]:
+        """The walk over one word from ``pos`` on, for the few longest words of a batch."""
+        edge = self.edges.get
+        for c in word[pos:]:
+            while node >= 0:
+                to = edge(node * _SYMBOLS + c)
+                if to >= 0:
+                    node = to
+                    break
+                n += int(self.pops[node])
+                node = int(self.fail[node])
+            else:
+                break
+        return n, node
+
 
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> LongestMatch:
