@@ -76,14 +76,16 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(keys)
     low = _U64(max(1, n).bit_length())
     mask = (_U64(1) << low) - _U64(1)
-    packed = (keys & ~mask) | np.arange(n, dtype=_U64)
+    packed = keys & ~mask
+    packed |= np.arange(n, dtype=_U64)
     packed.sort()
-    order = (packed & mask).astype(np.int64)
+    packed &= mask
+    order = packed.astype(np.int32) if n < 1 << 31 else packed.astype(np.int64)
     del packed
     found = keys[order]
     wrong = np.flatnonzero(found[1:] < found[:-1])
     if len(wrong) > 1000:
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys, kind="stable").astype(order.dtype)
         found = keys[order]
     elif len(wrong):
         lead = found >> low
@@ -93,8 +95,8 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         found = keys[order]
     new = np.ones(n, bool)
     new[1:] = found[1:] != found[:-1]
-    index = np.empty(n, np.int64)
-    index[order] = np.cumsum(new) - 1
+    index = np.empty_like(order)
+    index[order] = np.cumsum(new, dtype=order.dtype) - 1
     return found[new], index, order[new]
 
 
@@ -163,15 +165,22 @@ class Tokens:
         later = np.ones(n, bool)
         later[self.starts] = False
         self.later = later
+        two = np.flatnonzero(later).astype(np.int32)
+        keys = np.empty(n + len(two), _U64)
         with np.errstate(over="ignore"):
-            pair = mix64(before[:-1] * _U64(0x9E3779B97F4A7C15) + mix64(h))
-            two = np.flatnonzero(later)
-            triple = mix64(before[two - 1] * _U64(0xC2B2AE3D27D4EB4F) + pair[two])
-        drop = _U64(64 - bits)
-        self.grams, index, self.first = distinct((np.concatenate([pair, triple]) >> drop) << drop)
-        self.pair, self.triple = index[:n], np.full(n, -1, np.int64)
+            keys[:n] = mix64(before[:-1] * _U64(0x9E3779B97F4A7C15) + mix64(h))
+            keys[n:] = mix64(before[two - 1] * _U64(0xC2B2AE3D27D4EB4F) + keys[two])
+        del h, before
+        keys &= ~((_U64(1) << _U64(64 - bits)) - _U64(1)) if bits < 64 else ~_U64(0)
+        self.grams, index, first = distinct(keys)
+        del keys
+        self.pair, self.triple = index[:n].copy(), np.full(n, -1, index.dtype)
         self.triple[two] = index[n:]
-        self.two = two
+        del index
+        #: whether each n-gram is a pair, and the token it first ends with
+        self.is_pair, self.at = first < n, first
+        last = first[~self.is_pair] - n
+        self.at[~self.is_pair] = two[last]
 
     def counts(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences of each word and each n-gram in the documents flagged."""
@@ -190,44 +199,48 @@ class BackoffAutomaton:
     def __init__(self, t: Tokens, words: np.ndarray, grams: np.ndarray, n: int, v: int, mu: tuple[float, float]):
         size, (mu2, mu3) = len(words), mu
         self.base = np.log10(words + ADD) - math.log10(n + ADD * (v + 1))
-        self.to_word = np.where(words > 0, 1 + np.arange(size), _ROOT)
+        self.to_word = np.where(words > 0, 1 + np.arange(size, dtype=np.int32), np.int32(_ROOT))
         end = int(np.searchsorted(t.words, _END))
         self.start = int(self.to_word[end]) if size and t.words[min(end, size - 1)] == _END else _ROOT
         # histories: failure arcs
-        self.fail = np.zeros(1 + size + len(grams), np.int64)
+        self.fail = np.zeros(1 + size + len(grams), np.int32)
         self.fail_weight = np.zeros(len(self.fail))
         self.fail_weight[1 : 1 + size] = math.log10(mu2) - np.log10(words + mu2)
-        # where each distinct n-gram is first read: positions of pairs, then of triples
-        pairs = t.first < len(t.word)
-        at = np.where(pairs, t.first, 0)
-        at[~pairs] = t.two[t.first[~pairs] - len(t.word)]
-        k = np.flatnonzero(pairs & (grams > 0))
-        w, c = t.word[at[k]], grams[k]
-        h = np.where(t.later[at[k]], t.word[at[k] - 1], end)
-        weight2 = np.log10(c + mu2 * 10.0 ** self.base[w]) - np.log10(words[h] + mu2)
-        state2 = 1 + size + k
-        self.fail[state2] = self.to_word[w]
-        self.fail_weight[state2] = math.log10(mu3) - np.log10(c + mu3)
-        keys2 = self._key(self.to_word[h], w)
+        # pairs: arcs from words' states to their own
+        known = grams > 0
+        k = np.flatnonzero(t.is_pair & known).astype(np.int32)
+        at = t.at[k]
+        w, c = t.word[at], grams[k]
+        h = np.where(t.later[at], t.word[at - 1], end)
+        self.fail[1 + size + k] = self.to_word[w]
+        self.fail_weight[1 + size + k] = math.log10(mu3) - np.log10(c + mu3)
+        j = np.flatnonzero(~t.is_pair & known).astype(np.int32)
+        pairs, many = len(k), len(k) + len(j)
+        self.weight, self.target, keys = np.empty(many), np.empty(many, np.int32), np.empty(many, np.int64)
+        self.weight[:pairs] = np.log10(c + mu2 * 10.0 ** self.base[w]) - np.log10(words[h] + mu2)
+        self.target[:pairs] = 1 + size + k
+        keys[:pairs] = self._key(self.to_word[h], w)
         # triples: the pair they end with gives the lower order and the state they lead to
         lower = np.zeros(len(grams))
-        lower[k] = weight2
-        j = np.flatnonzero(~pairs & (grams > 0))
-        w, last, history = t.word[at[j]], t.pair[at[j]], t.pair[at[j] - 1]
-        weight3 = np.log10(grams[j] + mu3 * 10.0 ** lower[last]) - np.log10(grams[history] + mu3)
-        keys3 = self._key(1 + size + history, w)
-        self.weight = np.concatenate([weight2, weight3])
-        self.target = np.concatenate([state2, 1 + size + last])
-        keys = np.concatenate([keys2, keys3])
-        self.arcs = IntTable(keys, np.arange(len(keys), dtype=np.int32), -1, spare=2)
+        lower[k] = self.weight[:pairs]
+        del k, at, w, c, h
+        at = t.at[j]
+        last, history = t.pair[at], t.pair[at - 1]
+        self.weight[pairs:] = np.log10(grams[j] + mu3 * 10.0 ** lower[last]) - np.log10(grams[history] + mu3)
+        self.target[pairs:] = 1 + size + last
+        keys[pairs:] = self._key(1 + size + history, t.word[at])
+        del lower, j, at, last, history
+        self.arcs = IntTable(keys, np.arange(many, dtype=np.int32), -1, spare=2)
 
     @staticmethod
     def _key(state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return (state.astype(np.int64) << 31) | word
+        out = state.astype(np.int64) << 31
+        out |= word
+        return out
 
     def read(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(states after reading a word each, weights of the arcs taken)."""
-        weight, after = np.zeros(len(state)), np.empty(len(state), np.int64)
+        weight, after = np.zeros(len(state)), np.empty(len(state), np.int32)
         todo = np.arange(len(state))
         while len(todo):
             root = state == _ROOT
@@ -254,7 +267,7 @@ class BackoffAutomaton:
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
         lo = t.starts[doc] + nth * piece
         length = np.minimum(piece, t.ends[doc] - lo)
-        state = np.where(nth == 0, self.start, _ROOT)
+        state = np.where(nth == 0, self.start, _ROOT).astype(np.int32)
         run_up = np.flatnonzero(nth > 0)
         for back in (2, 1):
             state[run_up], _ = self.read(state[run_up], t.word[lo[run_up] - back])
@@ -381,13 +394,15 @@ def _score(ranges: int, bits: int, n: int, v: int, mu: tuple[float, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches, "block"):
             docs = _documents(rows[0]["data"])
-            t = Tokens(_texts(docs), bits)
             none = np.zeros(0, np.uint64)
             words = np.concatenate([none, *(_unpack(r["data"]) for r in rows[1:] if r["part"] < ranges)]).astype(np.int64)
             grams = np.concatenate([none, *(_unpack(r["data"]) for r in rows[1:] if r["part"] >= ranges)]).astype(np.int64)
             rows.clear()
+            t = Tokens(_texts(docs), bits)
+            docs = docs.drop_columns("text")
             if (len(words), len(grams)) != (len(t.words), len(t.grams)):
                 raise ValueError("a block did not get an answer for each of its n-grams")
+            del t.grams
             auto = BackoffAutomaton(t, words, grams, n, v, mu)
             known = np.concatenate([[0], np.cumsum(words[t.word] > 0)])
             yield pa.RecordBatch.from_arrays(
