@@ -1,13 +1,13 @@
 """Exact duplicates by progressive refinement: length, prefix hash, full hash.
 
 Texts are equal when identical after deleting every character of
-``[\\x20\\x09-\\x0D]``.  One aggregation over (length, hash of the first bytes)
-gives the first two refinements: lengths that occur once are dropped, then
-(length, prefix) pairs that occur once.  A bounded bitmap of the surviving
-pairs decides, per row and inside the scan, whether the full hash is computed;
-rows it rules out never enter a shuffle.  Grouping by the full hash uses
-partial aggregation, so a group holding a third of all rows costs one partial
-row per task.
+``[\\x20\\x09-\\x0D]``.  Each refinement looks only at rows that the one before
+could not rule out: rows are counted by length; where a length repeats, by length
+and a hash of the first characters; where that repeats, by the full hash.  What a
+refinement found travels as a bitmap of bounded size and is applied inside the next
+scan, so rows that are ruled out never enter a shuffle.  All groupings use partial
+aggregation, so a group holding a third of all rows costs one partial row per
+task.  Everything is built-in column functions.
 
 Defined results: null text equals the empty text; a null id sorts after every
 other id; rows that repeat the winner's id and length are all marked ``kept``
@@ -17,79 +17,55 @@ table gives an empty result; extra columns pass through untouched.
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashFilter, discard, materialize, utf8_list
+from .common import HashFilter, discard, materialize
 
 #: Deleted before texts are compared.
-WHITESPACE = b" \t\n\x0b\x0c\r"
-#: Normalised bytes that the second refinement looks at.
-PREFIX_BYTES = 64
-
-
-def _prefix(text: bytes, n: int = PREFIX_BYTES) -> bytes:
-    """The first ``n`` normalised bytes, without normalising the rest."""
-    cut = n
-    while True:
-        out = text[:cut].translate(None, WHITESPACE)
-        if len(out) >= n or cut >= len(text):
-            return out[:n]
-        cut *= 4
-
-
-def _key_udf():
-    @F.arrow_udf("struct<len:bigint,prefix:bigint>")
-    def key(text: pa.Array) -> pa.Array:
-        rows = utf8_list(text)  # bounded by the session's Arrow batch
-        lens = [len(t) - sum(map(t.count, (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))) for t in rows]
-        pre = [xxhash.xxh3_64_intdigest(_prefix(t)) - (1 << 63) for t in rows]
-        return pa.StructArray.from_arrays([pa.array(lens, pa.int64()), pa.array(pre, pa.int64())], ["len", "prefix"])
-
-    return key
-
+WHITESPACE = " \t\n\x0b\x0c\r"
+#: Normalised characters that the second refinement looks at.
+PREFIX_CHARS = 64
 
-def _digest_udf():
-    @F.arrow_udf("string")
-    def digest(text: pa.Array) -> pa.Array:
-        out = [None if t is None else hashlib.sha256(t.translate(None, WHITESPACE)).hexdigest() for t in text.cast(pa.binary()).to_pylist()]
-        return pa.array(out, pa.string())
 
-    return digest
+def normalized(text: Column) -> Column:
+    """The text without white space; null: empty."""
+    out = F.coalesce(text, F.lit(""))
+    for c in WHITESPACE:
+        out = F.replace(out, F.lit(c), F.lit(""))
+    return out
 
 
-def normalized_sha256(text):
-    """Column: lowercase hex SHA-256 of the normalised text (null: empty)."""
-    return _digest_udf()(F.coalesce(text, F.lit("")))
+def normalized_sha256(text: Column) -> Column:
+    """Lowercase hex SHA-256 of the normalised text (null: empty)."""
+    return F.sha2(normalized(text), 256)
 
 
 def _split(docs: DataFrame, text: str, filter_bits: int | None):
     """(rows that cannot have a copy, rows that may, scratch to discard)."""
-    key = _key_udf()
-    keyed = docs.withColumn("_pw_key", key(F.col(text)))
-    pairs = keyed.groupBy("_pw_key").agg(F.count(F.lit(1)).alias("_pw_n"))
-    pairs = materialize(pairs.select("_pw_key.len", "_pw_key.prefix", "_pw_n"), "dedup-prefix", reduced=True)
-    lengths = pairs.groupBy("len").agg(F.sum("_pw_n").alias("_pw_of_len")).where("_pw_of_len > 1")
-    survivors = pairs.join(lengths, "len").where("_pw_n > 1")
-    wanted = HashFilter(survivors.select(F.xxhash64("len", "prefix").alias("k")), "k", filter_bits)
-    keyed = keyed.withColumn("_pw_k", F.xxhash64("_pw_key.len", "_pw_key.prefix"))
-    flagged = wanted.flag(keyed, "_pw_k", "_pw_may").drop("_pw_key", "_pw_k")
-    return flagged.where(~F.col("_pw_may")).drop("_pw_may"), flagged.where("_pw_may").drop("_pw_may"), pairs
+    norm = normalized(F.col(text))
+    sized = docs.withColumn("_pw_len", F.octet_length(norm))
+    lengths = sized.groupBy("_pw_len").agg(F.count(F.lit(1)).alias("_pw_n")).where("_pw_n > 1").select("_pw_len")
+    lengths = materialize(lengths, "dedup-lengths", reduced=True)
+    second = HashFilter(lengths, "_pw_len", filter_bits)
+    prefix = F.when(F.col("_pw_may_len"), F.xxhash64("_pw_len", F.left(norm, F.lit(PREFIX_CHARS))))
+    keyed = second.flag(sized, "_pw_len", "_pw_may_len").withColumn("_pw_key", prefix).drop("_pw_len", "_pw_may_len")
+    heads = keyed.where("_pw_key is not null").groupBy("_pw_key").agg(F.count(F.lit(1)).alias("_pw_n")).where("_pw_n > 1").select("_pw_key")
+    heads = materialize(heads, "dedup-prefix", reduced=True)
+    third = HashFilter(heads, "_pw_key", filter_bits)
+    flagged = third.flag(keyed, "_pw_key", "_pw_may").drop("_pw_key")
+    scratch = (lengths, heads)
+    return flagged.where(~F.col("_pw_may")).drop("_pw_may"), flagged.where("_pw_may").drop("_pw_may"), scratch
 
 
 def _ledgers(docs: DataFrame, id_col: str, text: str, filter_bits: int | None) -> tuple[DataFrame, DataFrame]:
-    alone, maybe, pairs = _split(docs, text, filter_bits)
-    # in the JVM: one Python worker a task is enough, and few rows get here
-    norm = F.translate(F.coalesce(F.col(text), F.lit("")), WHITESPACE.decode(), "")
-    maybe = maybe.withColumn("_pw_sha", F.sha2(norm, 256)).withColumn("_pw_len", F.coalesce(F.char_length(text), F.lit(0)))
+    alone, maybe, scratch = _split(docs, text, filter_bits)
+    maybe = maybe.withColumn("_pw_sha", normalized_sha256(F.col(text))).withColumn("_pw_len", F.coalesce(F.char_length(text), F.lit(0)))
     best = F.min(F.struct((-F.col("_pw_len")).alias("l"), F.col(id_col).isNull().alias("x"), F.col(id_col).alias("i")))
     groups = maybe.groupBy("_pw_sha").agg(best.alias("_pw_best"), F.count(F.lit(1)).alias("group_size"))
     groups = materialize(groups, "dedup-groups", reduced=True)
-    discard(pairs)
+    for t in scratch:
+        discard(t)
     copies = (
         maybe.join(groups, "_pw_sha")  # all of a text's copies, so at most the repeated part of the table
         .withColumn("keep_id", F.col("_pw_best.i"))
