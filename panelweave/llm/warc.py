@@ -31,7 +31,7 @@ from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import HashFilter, chunks, discard, materialize, scratch_path, utf8_list
@@ -141,12 +141,13 @@ def iso_date(stamp: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def record_id(uri: str, date: str, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{uri} {date} {digest}')}>"
+def record_id(uri: str, date: str, digest: str, place: str = "") -> str:
+    """``place`` (a file and a number in it) tells records apart that are equal in all else."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{uri} {date} {digest} {place}'.rstrip())}>"
 
 
-def arc_to_warc(record: ArcRecord) -> WarcRecord:
-    """The WARC record that says the same."""
+def arc_to_warc(record: ArcRecord, place: str = "") -> WarcRecord:
+    """The WARC record that says the same; ``place`` as in :func:`record_id`."""
     f = record.fields
     uri, date = f["URL"], iso_date(f["Archive-date"])
     if uri.startswith("filedesc:"):
@@ -161,7 +162,7 @@ def arc_to_warc(record: ArcRecord) -> WarcRecord:
             kind = "response" if uri.startswith("dns:") else "resource"
             ctype, payload = f["Content-type"] or "application/octet-stream", block
     digest = base32_sha1(payload)
-    h = {"WARC-Type": kind, "WARC-Record-ID": record_id(uri, date, digest), "WARC-Date": date}
+    h = {"WARC-Type": kind, "WARC-Record-ID": record_id(uri, date, digest, place), "WARC-Date": date}
     if filename is None:
         h |= {"WARC-Target-URI": uri, "WARC-IP-Address": f["IP-address"], "WARC-Payload-Digest": f"sha1:{digest}"}
     else:
@@ -171,13 +172,15 @@ def arc_to_warc(record: ArcRecord) -> WarcRecord:
 
 
 def as_revisit(record: WarcRecord, uri: str, date: str) -> WarcRecord:
-    """``record`` without its payload, referring to the response at ``uri``."""
+    """``record`` without its payload, referring to the response at ``uri`` of ``date``.
+
+    The response is named by its URI and date; its id depends on its place in
+    a file that another task writes.
+    """
     head, _ = record.http()
-    digest = record.headers["WARC-Payload-Digest"]
     h = record.headers | {
         "WARC-Type": "revisit",
         "WARC-Profile": REVISIT_PROFILE,
-        "WARC-Refers-To": record_id(uri, date, digest[5:]),
         "WARC-Refers-To-Target-URI": uri,
         "WARC-Refers-To-Date": date,
         "WARC-Block-Digest": f"sha1:{base32_sha1(head)}",
@@ -252,7 +255,13 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def page_uri(page_id, url) -> str:
     """Target of a page: its id, then its URL, both reversible."""
-    return f"urn:page:{'' if page_id is None else page_id}:{'' if url is None else 'u' + urllib.parse.quote(url, safe='/:?=&%')}"
+    return f"urn:page:{'' if page_id is None else page_id}:{'' if url is None else 'u' + urllib.parse.quote(url, safe='/:?=&')}"
+
+
+def url_of(uri: str) -> str | None:
+    """The URL that :func:`page_uri` was given."""
+    part = uri.split(":", 3)[3]
+    return urllib.parse.unquote(part[1:]) if part else None
 
 
 def page_of(uri: str) -> int | None:
@@ -264,39 +273,48 @@ def _http_body(payload: bytes) -> bytes:
     return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
 
 
-def _writer(folder: str, date: str, file_bytes: int):
-    """Task: rows -> ARC segments -> WARC files; returns the manifest's rows."""
+def _writer(folder: str, file_bytes: int):
+    """Task: rows -> ARC segments -> WARC files; returns the manifest's rows.
+
+    Of each batch every second row goes into an ARC file of either version.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(folder)
         fs.create_dir(root, recursive=True)
         out, path, records, size = None, None, 0, 0
         done = []
-        iso = iso_date(date)
-        for big in batches:
-            for b in chunks(big, "html", _BATCH_BYTES):
-                ids, urls = b.column("page_id").to_pylist(), b.column("url").to_pylist()
-                refs, ref_urls, twin = (b.column(c).to_pylist() for c in ("ref_id", "ref_url", "revisit"))
-                bodies = [_http_body(x) for x in utf8_list(b.column("html"))]
-                version = 1 + len(bodies) % 2  # both versions are in use
-                rows = [{"url": page_uri(i, u), "date": date, "type": "text/html", "body": x} for i, u, x in zip(ids, urls, bodies, strict=True)]
-                arc = read_arc(io.BytesIO(write_arc(rows, version, "pages.arc", date)))
-                info = arc_to_warc(next(arc))
-                for i, r in enumerate(arc):
-                    record = arc_to_warc(r)
-                    if twin[i]:
-                        record = as_revisit(record, page_uri(refs[i], ref_urls[i]), iso)
-                    if out is None:
-                        path = f"{folder}/{uuid.uuid4().hex}.warc.gz"
-                        out = fs.open_output_stream(_filesystem(path)[1], compression=None)
-                        size = out.write(gzip_member(warc_bytes(info)))
-                    data = gzip_member(warc_bytes(record))
-                    out.write(data)
-                    size, records = size + len(data), records + 1
-                    if size >= file_bytes:
-                        out.close()
-                        done.append((path, records, size))
-                        out, records = None, 0
+
+        def converted() -> Iterator[tuple[ArcRecord, tuple | None]]:
+            """ARC records, and for a revisit its response's id, URL and date."""
+            for big in batches:
+                for b in chunks(big, "html", _BATCH_BYTES):
+                    rows = list(zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "date", "ref_id", "ref_url", "ref_date", "revisit")), utf8_list(b.column("html")), strict=True))
+                    for version in FIELDS:
+                        own = rows[version - 1 :: len(FIELDS)]
+                        if own:
+                            segment = [{"url": page_uri(r[0], r[1]), "date": r[2], "type": "text/html", "body": _http_body(r[7])} for r in own]
+                            arc = read_arc(io.BytesIO(write_arc(segment, version, f"pages-{version}.arc", own[0][2])))
+                            yield next(arc), None
+                            yield from ((record, r[3:6] if r[6] else None) for record, r in zip(arc, own, strict=True))
+
+        for arc, ref in converted():
+            info = arc.fields["URL"].startswith("filedesc:")
+            if out is None:
+                name = uuid.uuid4().hex
+                path = f"{folder}/{name}.warc.gz"
+                out = fs.open_output_stream(_filesystem(path)[1], compression=None)
+                size, members = 0, 0
+            record = arc_to_warc(arc, f"{name} {members}")
+            if ref is not None:
+                record = as_revisit(record, page_uri(ref[0], ref[1]), iso_date(ref[2]))
+            data = gzip_member(warc_bytes(record))
+            out.write(data)
+            size, members, records = size + len(data), members + 1, records + (not info)
+            if size >= file_bytes and not info:
+                out.close()
+                done.append((path, records, size))
+                out, records = None, 0
         if out is not None:
             out.close()
             done.append((path, records, size))
@@ -306,26 +324,30 @@ def _writer(folder: str, date: str, file_bytes: int):
     return run
 
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", folder: str | None = None, min_revisit_bytes: int = 0, date: str = "20000101000000", file_bytes: int = FILE_BYTES, filter_bits: int | None = None) -> DataFrame:
+def write_archives(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", folder: str | None = None, min_revisit_bytes: int = 0, date: Column | str = "20000101000000", file_bytes: int = FILE_BYTES, filter_bits: int | None = None) -> DataFrame:
     """Writes one WARC record a row; returns the manifest (path, records, bytes).
 
     Of records with equal payloads of at least ``min_revisit_bytes``, the one
-    with the largest id is a response and the others revisit it.
+    with the largest id is a response and the others revisit it.  ``date`` is
+    the time of retrieval as ARC writes it, for all rows or a column (null: 1970).
     """
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("html"))
-    rows = rows.withColumn("key", F.sha1("html"))
+    when = F.lit(date) if isinstance(date, str) else F.coalesce(date, F.lit("19700101000000"))
+    rows = pages.select(
+        F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), when.alias("date"), F.coalesce(F.col(payload), F.lit("")).alias("html")
+    ).withColumn("key", F.sha1("html"))
     long_enough = rows.where(F.octet_length("html") >= min_revisit_bytes)
-    groups = long_enough.groupBy("key").agg(F.max(F.struct("page_id", "url")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = materialize(groups.select("key", F.col("top.page_id").alias("ref_id"), F.col("top.url").alias("ref_url")), "warc-twins", reduced=True)
+    groups = long_enough.groupBy("key").agg(F.max(F.struct("page_id", "url", "date")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = groups.select("key", F.col("top.page_id").alias("ref_id"), F.col("top.url").alias("ref_url"), F.col("top.date").alias("ref_date"))
+    groups = materialize(groups, "warc-twins", reduced=True)
     flagged = HashFilter(groups, "key", filter_bits).flag(rows, "key", "may")
-    alone = flagged.where(~F.col("may")).select("page_id", "url", "html", F.lit(None).cast("long").alias("ref_id"), F.lit(None).cast("string").alias("ref_url"), F.lit(False).alias("revisit"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("ref_id", "long"), ("ref_url", "string"), ("ref_date", "string"))]
+    alone = flagged.where(~F.col("may")).select("page_id", "url", "date", "html", *none, F.lit(False).alias("revisit"))
+    differs = F.col("ref_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("ref_id")) & (F.octet_length("html") >= min_revisit_bytes)
     paired = flagged.where("may").join(groups, "key", "left")
-    differs = ~F.col("page_id").eqNullSafe(F.col("ref_id"))
-    grouped = F.octet_length("html") >= min_revisit_bytes
-    paired = paired.select("page_id", "url", "html", "ref_id", "ref_url", F.coalesce(F.col("ref_id").isNotNull() & differs & grouped, F.lit(False)).alias("revisit"))
-    manifest = alone.unionByName(paired).mapInArrow(_writer(folder, date, file_bytes), "path string, records bigint, bytes bigint")
+    paired = paired.select("page_id", "url", "date", "html", "ref_id", "ref_url", "ref_date", F.coalesce(differs, F.lit(False)).alias("revisit"))
+    manifest = alone.unionByName(paired).mapInArrow(_writer(folder, file_bytes), "path string, records bigint, bytes bigint")
     out = materialize(manifest, "warc-manifest")
     discard(groups)
     return out
@@ -337,8 +359,9 @@ RECORDS = "page_id bigint, payload_bytes bigint, payload_digest string, record_t
 def read_archives(manifest: DataFrame) -> DataFrame:
     """One row a response or revisit record of the manifest's files.
 
-    Digests of stored payloads are computed again and compared; a revisit's
-    length is the one its HTTP head declares.
+    Digests of stored payloads are computed again and compared, and each file's
+    records are counted against the manifest, so that a file cut off between
+    two records is an error; a revisit's length is the one its HTTP head declares.
     """
     names = [x.split()[0] for x in RECORDS.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
@@ -367,15 +390,19 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = []
         for b in batches:
-            for path in b.column("path").to_pylist():
+            for path, records in zip(b.column("path").to_pylist(), b.column("records").to_pylist(), strict=True):
+                found = 0
                 for row in rows_of(path):
+                    found += 1
                     done.append(row)
                     if len(done) >= 10000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names)
                         done = []
+                if found != records:
+                    raise ValueError(f"{path} has {found} records, not {records} as its manifest says")
         cols = zip(*done, strict=True) if done else [[]] * len(types)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     # an explicit width: the rows are tiny, so adaptive execution would put all files in one task
     width = max(1, manifest.count())
-    return manifest.select("path").repartition(width, "path").mapInArrow(run, RECORDS)
+    return manifest.select("path", "records").repartition(width, "path").mapInArrow(run, RECORDS)

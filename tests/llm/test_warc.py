@@ -1,8 +1,10 @@
 import base64
 import hashlib
 import io
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelweave.llm import warc
 
@@ -54,6 +56,30 @@ def test_edge(spark, bits):
     assert run(df, filter_bits=bits, file_bytes=2000) == brute([(r[0], r[2]) for r in rows])
 
 
+def test_ids_dates_and_urls(spark):
+    rows = [(1, "http://a/a b", "x", "19990102030405"), (2, "http://a/a%20b", "x", None), (3, "u", "y", "2001"), (3, "u", "y", "2001"), (4, None, "z", "20020304050607")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, at string").repartition(2)
+    got = warc.read_archives(warc.write_archives(df, date=F.col("at"))).collect()
+    assert len({r.record_id for r in got}) == len(rows)
+    assert sorted((r.page_id, warc.url_of(r.target_uri) or "") for r in got) == sorted((r[0], r[1] or "") for r in rows)
+    assert {r.page_id: r.warc_date for r in got} == {1: "1999-01-02T03:04:05Z", 2: "1970-01-01T00:00:00Z", 3: "2001-01-01T00:00:00Z", 4: "2002-03-04T05:06:07Z"}
+
+
+def test_both_versions_and_a_cut_file(spark):
+    df = spark.createDataFrame([(i, "u", f"text {i}") for i in range(6)], "page_id bigint, url string, html string").coalesce(1)
+    manifest = warc.write_archives(df)
+    path = manifest.first().path.removeprefix("file://")
+    with open(path, "rb") as f:
+        data = f.read()
+    records = list(warc.read_warc(io.BytesIO(data)))
+    assert {re.search(rb"from ARC (.)", r.block)[1] for r in records if r.headers["WARC-Type"] == "warcinfo"} == {b"1", b"2"}
+    last = len(warc.gzip_member(warc.warc_bytes(records[-1])))
+    with open(path, "wb") as f:
+        f.write(data[:-last])  # a whole record less: every remaining member is sound
+    with pytest.raises(Exception, match="5 records, not 6"):
+        warc.read_archives(manifest).collect()
+
+
 def test_empty(spark):
     assert run(spark.createDataFrame([], "page_id bigint, url string, html string")) == []
 
