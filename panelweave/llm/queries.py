@@ -28,7 +28,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- 1 -------------------------------------------------------------------- #
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = warc.write_archives(_table(spark, sf_dir, "pages"))
+    pages = _table(spark, sf_dir, "pages")
+    # the table has no time of retrieval: a second a page from 2000 on
+    date = F.date_format(F.timestamp_seconds(F.lit(946684800) + F.pmod("page_id", F.lit(10**9))), "yyyyMMddHHmmss")
+    manifest = warc.write_archives(pages, date=date)
     return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -47,14 +50,8 @@ from g
 # ---- 2 -------------------------------------------------------------------- #
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.find_duplicates(_documents(spark, sf_dir))
-    digest = F.when(F.col("_pw_sha").isNull(), F.col("text"))
-    return found.select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        "kept",
-        F.coalesce("_pw_sha", exact_dedup.normalized_sha256(digest)).alias("text_sha256"),
-    )
+    digest = F.coalesce("_pw_sha", exact_dedup.normalized_sha256(F.col("text")))
+    return found.select("doc_id", "keep_id", "group_size", "kept", digest.alias("text_sha256"))
 
 
 OP2_SQL = r"""
