@@ -4,7 +4,8 @@ A document's set is its distinct 5-word shingles (64-bit hashes); the ``k``
 smallest hashes are its sketch.  The stages:
 
 1.  One pass over the texts writes (set size, set digest, sketch) per row.
-    Rows with equal sets collapse into one class, whatever their number.
+    Rows with equal sets (128-bit digests) collapse into one class, whatever
+    their number.
 2.  Inverted lists of the retained values: a value held by one class only can
     not be shared, so a class with too many of those has no partner and is
     done ("too many" is exact where sketches are whole sets, otherwise six
@@ -35,13 +36,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import HashFilter, chunks, discard, materialize, mix64, utf8_list
 
 #: Standard deviations that sampling may move a sketch before a pair is lost.
 SIGMAS = 6.0
+#: More values than any set holds.
+_WHOLE = (1 << 31) - 1
 _BATCH_BYTES = 8 << 20
 
 
@@ -69,29 +72,61 @@ def _list_array(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def _fingerprints(width: int, keep: int | None):
-    """Batches of (row, id, n, cls, values); ``keep`` None: the whole set."""
+def _fingerprints(width: int, keep: int | None, bits: int = 64):
+    """Batches of (row, row2, id, n, cls, chk, values); ``keep`` None: the whole set.
+
+    ``cls`` and ``chk`` are the two halves of a 128-bit digest of the set; of
+    ``cls`` the leading ``bits`` are used.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in chunks(big, "text", _BATCH_BYTES):
                 sets = [shingles(t, width) for t in utf8_list(b.column("text"))]
-                cls = [xxhash.xxh3_64_intdigest(s) - (1 << 63) if len(s) else None for s in sets]
+                digest = [xxhash.xxh3_128_intdigest(s) if len(s) else None for s in sets]
+                cls = [None if d is None else (d >> (128 - bits)) - (1 << (bits - 1)) for d in digest]
+                chk = [None if d is None else (d & 0xFFFFFFFFFFFFFFFF) - (1 << 63) for d in digest]
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("row"),
+                        b.column("row2"),
                         b.column("id"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(cls, pa.int64()),
+                        pa.array(chk, pa.int64()),
                         _list_array([s[:keep] for s in sets]),
                     ],
-                    ["row", "id", "n", "cls", "vals"],
+                    ["row", "row2", "id", "n", "cls", "chk", "vals"],
                 )
 
     return run
 
 
-_SCHEMA = "row bigint, id bigint, n bigint, cls bigint, vals array<bigint>"
+_SCHEMA = "row bigint, row2 bigint, id bigint, n bigint, cls bigint, chk bigint, vals array<bigint>"
+
+
+def _row_keys(id_col: str, text: str) -> list[Column]:
+    """A row's 128-bit key, as two columns."""
+    return [F.xxhash64(id_col, text), F.xxhash64(F.lit(1), text, id_col)]
+
+
+def _told_apart(classes: DataFrame):
+    """Function that gives classes of equal ``cls`` but different ``chk`` keys of their own.
+
+    Two 64-bit halves of different sets agree about once in 10**10 sets, so this
+    is nearly always the identity, but then no pair of sets is taken for one.
+    """
+    twins = materialize(classes.groupBy("cls").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("cls"), "near-twins", reduced=True)
+    if twins.isEmpty():
+        discard(twins)
+        return lambda df: df
+    flags = twins.select("cls", F.lit(True).alias("_pw_twin"))
+
+    def apart(df: DataFrame) -> DataFrame:
+        out = df.join(flags, "cls", "left")
+        return out.withColumn("cls", F.when(F.col("_pw_twin"), F.xxhash64("cls", "chk")).otherwise(F.col("cls"))).drop("_pw_twin").select(*df.columns)
+
+    return apart
 
 
 def _allowed(num: int, den: int, k: int) -> str:
@@ -185,23 +220,28 @@ def near_duplicates(
     sketch_size: int = 64,
     fine_size: int = 1024,
     filter_bits: int | None = None,
+    exact: bool = False,
+    class_bits: int = 64,
 ) -> DataFrame:
-    """One row per row of ``docs``: row, id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: row, row2, id, n_shingles, component_id, kept.
 
-    ``row`` is ``xxhash64(id, text)``.  Documents are linked when
+    ``row`` and ``row2`` hash id and text.  Documents are linked when
     ``den * |A & B| >= num * |A | B|`` over full shingle sets; the component's
-    id is the smallest id in it and that document is ``kept``.
+    id is the smallest id in it and that document is ``kept``.  ``exact`` retains
+    every value instead of the smallest ones: all bounds are exact then, at the
+    price of inverted lists over whole sets.
     """
-    source = docs.select(
-        F.xxhash64(id_col, text).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")
-    )
-    rows = materialize(source.mapInArrow(_fingerprints(width, sketch_size), _SCHEMA), "near-rows")
+    if exact:
+        sketch_size = fine_size = _WHOLE
+    source = docs.select(*(k.alias(c) for k, c in zip(_row_keys(id_col, text), ("row", "row2"), strict=True)), F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = materialize(source.mapInArrow(_fingerprints(width, sketch_size, class_bits), _SCHEMA), "near-rows")
 
     # 1. classes of equal sets
-    classes = materialize(
-        rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("first_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("vals").alias("vals")),
-        "near-classes",
-    )
+    first = [F.min("id").alias("first_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("vals").alias("vals")]
+    classes = materialize(rows.where("n > 0").groupBy("cls", "chk").agg(*first), "near-classes")
+    apart = _told_apart(classes.select("cls"))
+    rows, same = apart(rows), apart(classes.select("cls", "chk", "first_id", "row", "n", "vals"))
+    classes, made = same.drop("chk"), classes
 
     # 2. classes that share enough retained values to have a partner at all
     held = _shared_values(classes).groupBy("cls").agg(F.count(F.lit(1)).cast("int").alias("held"))
@@ -211,8 +251,8 @@ def near_duplicates(
 
     # 3. their whole sets, rarest shared values first
     wanted = HashFilter(alive, "row", filter_bits)
-    chosen = wanted.flag(source, "row", "_pw_may").where("_pw_may").select("row", "id", "text")
-    whole = chosen.mapInArrow(_fingerprints(width, None), _SCHEMA).join(alive.select("cls"), "cls", "left_semi")
+    chosen = wanted.flag(source, "row", "_pw_may").where("_pw_may").select("row", "row2", "id", "text")
+    whole = apart(chosen.mapInArrow(_fingerprints(width, None, class_bits), _SCHEMA)).join(alive.select("cls"), "cls", "left_semi")
     sets = materialize(whole.groupBy("cls").agg(F.first("n").alias("n"), F.first("vals").alias("vals")), "near-sets")
 
     fine = sets.select("cls", "n", F.slice("vals", 1, fine_size).alias("vals"))
@@ -270,12 +310,12 @@ def near_duplicates(
         .select("cls", F.coalesce("component_id", "first_id").alias("component_id"))
     )
     by_class = materialize(by_class, "near-by-class", reduced=True)
-    for t in (alive, sets, nodes, proposed, links, grouped, more, comp, classes):
+    for t in (alive, sets, nodes, proposed, links, grouped, more, comp, made):
         discard(t)
-    out = rows.select("row", "id", "n", "cls").join(by_class, "cls", "left")
+    out = rows.select("row", "row2", "id", "n", "cls").join(by_class, "cls", "left")
     found = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(
-        "row", "id", F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(F.col("id") == found, found.isNull()).alias("kept")
+        "row", "row2", "id", F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(F.col("id") == found, found.isNull()).alias("kept")
     )
 
 
@@ -286,8 +326,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     anti-join; the others never leave their scan.
     """
     ledger = near_duplicates(docs, id_col, text, filter_bits=filter_bits, **params)
-    gone = materialize(ledger.where(~F.col("kept")).select(F.col("row").alias("_pw_row")).distinct(), "near-gone", reduced=True)
-    keyed = HashFilter(gone, "_pw_row", filter_bits).flag(docs.withColumn("_pw_row", F.xxhash64(id_col, text)), "_pw_row", "_pw_may")
+    one, two = _row_keys(id_col, text)
+    gone = ledger.where(~F.col("kept")).select(F.col("row").alias("_pw_row"), F.col("row2").alias("_pw_row2")).distinct()
+    gone = materialize(gone, "near-gone", reduced=True)
+    keyed = HashFilter(gone, "_pw_row", filter_bits).flag(docs.withColumns({"_pw_row": one, "_pw_row2": two}), "_pw_row", "_pw_may")
     sure = keyed.where(~F.col("_pw_may"))
-    doubtful = keyed.where("_pw_may").join(gone, "_pw_row", "left_anti")
+    doubtful = keyed.where("_pw_may").join(gone, ["_pw_row", "_pw_row2"], "left_anti")
     return sure.unionByName(doubtful).select(*[F.col(f"`{c}`") for c in docs.columns])

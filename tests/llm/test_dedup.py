@@ -111,7 +111,8 @@ def planted(seed=3):
     return rows
 
 
-@pytest.mark.parametrize("params", [{}, {"sketch_size": 16, "fine_size": 64}, {"num": 85}])
+# class_bits: sets of equal leading digest bits must still be told apart
+@pytest.mark.parametrize("params", [{}, {"sketch_size": 16, "fine_size": 64, "class_bits": 3}, {"num": 85, "exact": True}])
 def test_near_planted(spark, params):
     rows = planted()
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
