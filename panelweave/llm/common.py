@@ -10,6 +10,7 @@ Conventions every operator of this subpackage follows:
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 _U64 = np.uint64
 #: Bits held by one row of ``bitmap_construct_agg``.
 _BITMAP_BITS = 32768
+_CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ARROW_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 ARROW_BYTES = "8m"
 
@@ -33,13 +35,16 @@ ARROW_BYTES = "8m"
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (plain local tests) a folder of our own is
-    created and recorded in the session, so that later calls agree on it.
+    Only where the setting is absent and Spark runs in one local process (plain
+    tests) a folder of our own is created and recorded in the session, so that
+    later calls agree on it; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="panelweave-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -53,20 +58,25 @@ def materialize(df: DataFrame, name: str, reduced: bool = False) -> DataFrame:
     """Cut the lineage of ``df`` with a Parquet table in the shared folder.
 
     ``reduced``: the rows are what is left of far larger shuffles; they are
-    written by an eighth of the shuffle partitions (16 at least), for fewer and
-    larger files.  While it runs, batches to Python hold at most ``ARROW_BYTES``, so that wide
-    rows (whole texts, pairs of sets) do not fill the workers.
+    dealt out once more to an eighth of the shuffle partitions (16 at least), for
+    fewer and larger files, while the stages before keep their width.  While it
+    runs, batches to Python hold at most ``ARROW_BYTES``, so that wide rows (whole
+    texts, pairs of sets) do not fill the workers.  The job's shuffle files are
+    removed at its end; from then on the table stands for them.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     if reduced:
-        df = df.coalesce(max(16, shuffle_width(spark) // 8))
-    before = spark.conf.get(_ARROW_CONF)
-    spark.conf.set(_ARROW_CONF, ARROW_BYTES)
+        df = df.repartition(max(16, shuffle_width(spark) // 8))
+    own = {_ARROW_CONF: ARROW_BYTES, _CLEANUP_CONF: "true"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_ARROW_CONF, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._pw_path = path
     return out
