@@ -52,10 +52,10 @@ MU = (500.0, 5.0)
 #: Added to every word's count.
 ADD = 0.1
 #: Least and most text in a block (and text per range of hashes).
-BLOCK_BYTES, MOST_BYTES = 8 << 20, 128 << 20
+BLOCK_BYTES, MOST_BYTES = 4 << 20, 128 << 20
 #: Distinct n-grams per byte of text, about, and how many a (block, range) row
 #: should hold at least, so that the rows' own cost stays small.
-_KEYS_PER_BYTE, _KEYS_PER_ROW = 0.27, 256
+_KEYS_PER_BYTE, _KEYS_PER_ROW = 0.27, 64
 #: Tokens a vectorised traversal reads in one go.
 PIECE = 256
 
@@ -422,13 +422,13 @@ def _score(ranges: int, bits: int, n: int, v: int, mu: tuple[float, float]):
 
 
 def block_size(total: int) -> int:
-    """Text in a block: ``BLOCK_BYTES`` up to some 70 GB of text, then its square root, ``MOST_BYTES`` at most.
+    """Text in a block: ``BLOCK_BYTES`` up to some 70 GB of text, then by its square root, ``MOST_BYTES`` at most.
 
     There are about total / size blocks and as many ranges, so a (block, range)
     row holds ``_KEYS_PER_BYTE * size ** 2 / total`` n-grams; below
     ``BLOCK_BYTES`` the number of rows, not of n-grams, would grow with the
-    square of the input.  From some 18 TB on blocks stay at ``MOST_BYTES``, about
-    2 GB in a task, and rows hold fewer n-grams: 45 at 100 TB.
+    square of the input.  From some 75 TB on blocks stay at ``MOST_BYTES``, about
+    4 GB in a task, and rows hold fewer n-grams: 48 at 100 TB.
     """
     return min(MOST_BYTES, max(BLOCK_BYTES, math.isqrt(int(total * _KEYS_PER_ROW / _KEYS_PER_BYTE))))
 
