@@ -11,12 +11,14 @@ from __future__ import annotations
 import dataclasses
 import functools
 import re
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bh_adjust, normal_p_value
-from .panel import Panel, PanelError, to_series
+from ..functions import bh_adjust, bh_adjust_large, normal_p_value
+from .panel import Panel, PanelError, as_panel, to_series
 
 METHODS = ("did", "pooled_ols", "event_study", "scm")
 EFFECTS = (
@@ -130,9 +132,10 @@ def series(d: Design) -> DataFrame:
     return to_series(d.rows, "value", ("feature", "observation", "is_treated", "is_control"))
 
 
-def unit_means(d: Design) -> DataFrame:
+def unit_means(d: Design, keep: bool = False) -> DataFrame:
     """Per series: pre and post means, their difference, the value before the
-    onset, and ``within``, the sum of squares around the series' mean."""
+    onset, and ``within``, the sum of squares around the series' mean;
+    with ``keep`` also the series."""
     total = "aggregate({}, 0D, (s, x) -> s + x)"
     out = series(d).selectExpr(
         "feature",
@@ -145,26 +148,8 @@ def unit_means(d: Design) -> DataFrame:
         f"{total.format('xs')} / {d.n_layers}D as mean",
         "xs",
     )
-    return out.withColumn("within", F.expr("aggregate(xs, 0D, (s, x) -> s + (x - mean) * (x - mean))")).withColumn("delta", F.col("post") - F.col("pre")).drop("xs")
-
-
-def layer_means(d: Design) -> DataFrame:
-    """Per (feature, layer): means and variances of the groups.
-
-    ``t`` treated, ``c`` chosen controls, ``o`` all that are not treated, ``a`` all.
-    """
-    rows = series(d).select("feature", "is_treated", "is_control", F.posexplode("xs").alias("i", "x"))
-    t, c, x = F.col("is_treated"), F.col("is_control"), F.col("x")
-    return rows.groupBy("feature", (F.col("i") + 1).alias("time_index")).agg(
-        F.avg(F.when(t, x)).alias("mean_t"),
-        F.avg(F.when(c, x)).alias("mean_c"),
-        F.avg(F.when(~t, x)).alias("mean_o"),
-        F.avg(x).alias("mean_a"),
-        F.var_samp(F.when(t, x)).alias("var_t"),
-        F.var_samp(F.when(c, x)).alias("var_c"),
-        F.count_if(t).alias("n_t"),
-        F.count_if(c).alias("n_c"),
-    )
+    out = out.withColumn("within", F.expr("aggregate(xs, 0D, (s, x) -> s + (x - mean) * (x - mean))")).withColumn("delta", F.col("post") - F.col("pre"))
+    return out if keep else out.drop("xs")
 
 
 def group_means(units: DataFrame) -> DataFrame:
@@ -191,48 +176,99 @@ def _ratio(a: Column, b: Column) -> Column:
     return a / F.when(b != 0, b)
 
 
-def time_path(d: Design, method: str = "did", inference: bool = True) -> DataFrame:
-    """Per (feature, layer): treated minus control mean with its error."""
-    se = F.sqrt(F.col("var_t") / F.col("n_t") + F.col("var_c") / F.col("n_c"))
-    out = layer_means(d).select(
-        "feature", "time_index", (F.col("time_index") - d.t0).alias("relative_time"), F.lit(method).alias("method"), (F.col("mean_t") - F.col("mean_c")).alias("estimate"), se.alias("standard_error")
-    )
-    return with_statistic(out, inference)
-
-
 def with_statistic(df: DataFrame, inference: bool = True) -> DataFrame:
     out = df.withColumn("statistic", _ratio(F.col("estimate"), F.col("standard_error")))
     return out.withColumn("p_value", normal_p_value(F.col("statistic"))) if inference else out
 
 
-def _effects(means: DataFrame, path: DataFrame, d: Design, method: str, inference: bool) -> DataFrame:
-    """Means joined with the path's range, counts, statistic and p-values."""
-    spread = path.groupBy("feature").agg((F.max("estimate") - F.min("estimate")).alias("effect_range"))
-    out = means.join(spread, "feature").withColumns({"method": F.lit(method), "n_treated": F.col("n_treated").cast("int"), "n_control": F.col("n_control").cast("int")})
+def finish_effects(rows: DataFrame, method: str, inference: bool) -> DataFrame:
+    """Counts as integers, method, statistic and p-values, in the order of ``EFFECTS``."""
+    out = rows.withColumns({"method": F.lit(method), "n_treated": F.col("n_treated").cast("int"), "n_control": F.col("n_control").cast("int")})
     out = with_statistic(out, inference)
     if not inference:
         return out.select(*[c for c in EFFECTS if c not in ("p_value", "fdr")])
-    return bh_adjust(out).select(*EFFECTS)
+    return bh_adjust_large(out).select(*EFFECTS)
 
 
-def did(d: Design, inference: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Difference in differences of group means; (effects, per-layer path)."""
-    g = group_means(unit_means(d))
-    estimate = (F.col("mean_post_treated") - F.col("mean_pre_treated")) - (F.col("mean_post_control") - F.col("mean_pre_control"))
-    se = F.sqrt(F.col("var_treated") / F.col("n_treated") + F.col("var_control") / F.col("n_control"))
-    path = time_path(d, "did", inference)
-    return _effects(g.withColumn("estimate", estimate).withColumn("standard_error", se), path, d, "did", inference), path
+def profile(d: Design) -> DataFrame:
+    """Per (feature, ``k``): means and variances of the groups; k = 0 is the whole series.
 
+    Suffixes: ``t`` treated, ``c`` chosen controls, ``o`` all that are not treated,
+    ``a`` all.  Row 0 holds the pre and post means of both
+    groups, the moments of the units' differences and the sum of squares within
+    series; rows 1.. the layers' values.  So one shuffle over the series and one
+    over features and layers serve an estimator and its path.
+    """
+    units = unit_means(d, keep=True)
+    empty = F.lit(None).cast("double")
+    fields = ("x", "pre", "post", "within")
+    head = F.struct(F.col("delta").alias("x"), *(F.col(c) for c in fields[1:]))
+    rest = F.transform("xs", lambda v: F.struct(v.alias("x"), *(empty.alias(c) for c in fields[1:])))
+    rows = units.select("feature", "is_treated", "is_control", F.posexplode(F.concat(F.array(head), rest)).alias("k", "v"))
+    t, c, x = F.col("is_treated"), F.col("is_control"), F.col("v.x")
+
+    def mean(flag: Column, of: str, name: str) -> Column:
+        return F.avg(F.when(flag, F.col(f"v.{of}"))).alias(name)
+
+    return rows.groupBy("feature", "k").agg(
+        mean(t, "x", "mean_t"),
+        mean(c, "x", "mean_c"),
+        mean(~t, "x", "mean_o"),
+        F.avg(x).alias("mean_a"),
+        F.var_samp(F.when(t, x)).alias("var_t"),
+        F.var_samp(F.when(c, x)).alias("var_c"),
+        F.count_if(t).alias("n_t"),
+        F.count_if(c).alias("n_c"),
+        F.count(F.lit(1)).alias("n_a"),
+        mean(t, "pre", "mean_pre_treated"),
+        mean(t, "post", "mean_post_treated"),
+        mean(c, "pre", "mean_pre_control"),
+        mean(c, "post", "mean_post_control"),
+        F.sum("v.within").alias("within"),
+    )
 
-def _two_way_ss(d: Design, units: DataFrame) -> DataFrame:
-    """Per feature: sum of squares of the two-way demeaned values.
 
-    Balanced, so demeaning is exact in one pass: squares around the series'
-    means less N times the squares of the layers' means around the whole.
-    """
-    layers = layer_means(d).groupBy("feature").agg((F.var_pop("mean_a") * d.n_layers).alias("between"))
-    within = units.groupBy("feature").agg(F.sum("within").alias("within"), F.count(F.lit(1)).alias("n"))
-    return within.join(layers, "feature").select("feature", (F.col("within") - F.col("n") * F.col("between")).alias("ss"))
+def _one(c: str, k: Column) -> Column:
+    """The value of ``c`` in the group's row ``k``."""
+    return F.max(F.when(k, F.col(c)))
+
+
+def _folded(p: DataFrame, *more: Column) -> DataFrame:
+    """One row a feature of :func:`profile`: its row 0 and ``more`` aggregates over the layers."""
+    head = F.col("k") == 0
+    names = {"n_t": "n_treated", "n_c": "n_control", "n_a": "n_all", "within": "within"} | {m: m for m in EFFECTS if m.startswith("mean_")}
+    return p.groupBy("feature").agg(*(_one(c, head).alias(name) for c, name in names.items()), *more)
+
+
+def _layer_rows(p: DataFrame, d: Design, method: str, estimate: Column, se: Column) -> DataFrame:
+    return p.select(
+        "feature", F.col("k").alias("time_index"), (F.col("k") - d.t0).alias("relative_time"), F.lit(method).alias("method"), estimate.alias("estimate"), se.alias("standard_error")
+    )
+
+
+def _gap_path(p: DataFrame, d: Design, method: str, inference: bool) -> DataFrame:
+    """Per (feature, layer): treated minus control mean with its error."""
+    se = F.sqrt(F.col("var_t") / F.col("n_t") + F.col("var_c") / F.col("n_c"))
+    return with_statistic(_layer_rows(p.where("k > 0"), d, method, F.col("mean_t") - F.col("mean_c"), se), inference)
+
+
+def _gap_range() -> Column:
+    gap = F.when(F.col("k") > 0, F.col("mean_t") - F.col("mean_c"))
+    return (F.max(gap) - F.min(gap)).alias("effect_range")
+
+
+def time_path(d: Design, method: str = "did", inference: bool = True) -> DataFrame:
+    """Per (feature, layer): treated minus control mean with its error."""
+    return _gap_path(profile(d), d, method, inference)
+
+
+def did(d: Design, inference: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Difference in differences of group means; (effects, per-layer path)."""
+    p, head = profile(d), F.col("k") == 0
+    g = _folded(p, _gap_range(), _one("var_t", head).alias("vt"), _one("var_c", head).alias("vc"))
+    estimate = (F.col("mean_post_treated") - F.col("mean_pre_treated")) - (F.col("mean_post_control") - F.col("mean_pre_control"))
+    se = F.sqrt(F.col("vt") / F.col("n_treated") + F.col("vc") / F.col("n_control"))
+    return finish_effects(g.withColumn("estimate", estimate).withColumn("standard_error", se), "did", inference), _gap_path(p, d, "did", inference)
 
 
 def pooled_ols(d: Design, inference: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -240,22 +276,22 @@ def pooled_ols(d: Design, inference: bool = True) -> tuple[DataFrame, DataFrame]
 
     The coefficient is a DiD against all observations that are not treated;
     its error comes from the residual sum of squares
-    ``SS(demeaned y) - b^2 N p (1-p) T q (1-q)``.
+    ``SS(demeaned y) - b^2 N p (1-p) T q (1-q)``.  Balanced, so the first term is
+    the squares around the series' means less N times those of the layers'
+    means around the whole.
     """
     t = d.n_layers
     q = (t - d.t0 + 1) / t
-    n, p = F.col("n_all"), F.col("n_treated") / F.col("n_all")
-    dd = n * p * (1 - p) * F.lit(t * q * (1 - q))
+    p, head = profile(d), F.col("k") == 0
+    n, share = F.col("n_all"), F.col("n_treated") / F.col("n_all")
+    dd = n * share * (1 - share) * F.lit(t * q * (1 - q))
     dof = (n * t - (n + (t - 1)) - 1).cast("double")
-    units = unit_means(d)
-    other = units.groupBy("feature").agg(
-        (F.avg(F.when(F.col("is_treated"), F.col("delta"))) - F.avg(F.when(~F.col("is_treated"), F.col("delta")))).alias("estimate")
-    )
-    rss = F.greatest(F.lit(0.0), F.col("ss") - F.col("estimate") * F.col("estimate") * dd)
-    g = group_means(units).join(other, "feature").join(_two_way_ss(d, units), "feature")
+    between = (F.var_pop(F.when(~head, F.col("mean_a"))) * t).alias("between")
+    g = _folded(p, _gap_range(), between, (_one("mean_t", head) - _one("mean_o", head)).alias("estimate"))
+    ss = F.col("within") - n * F.col("between")
+    rss = F.greatest(F.lit(0.0), ss - F.col("estimate") * F.col("estimate") * dd)
     g = g.withColumn("standard_error", F.sqrt(rss / F.when(dof > 0, dof) / dd))
-    path = time_path(d, "pooled_ols", inference)
-    return _effects(g, path, d, "pooled_ols", inference), path
+    return finish_effects(g, "pooled_ols", inference), _gap_path(p, d, "pooled_ols", inference)
 
 
 def event_study(d: Design, inference: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -266,30 +302,27 @@ def event_study(d: Design, inference: bool = True) -> tuple[DataFrame, DataFrame
     mean of the coefficients from onset on.
     """
     t = d.n_layers
-    units, layer = unit_means(d), layer_means(d)
-    base = layer.where(F.col("time_index") == d.t0 - 1).select("feature", (F.col("mean_t") - F.col("mean_o")).alias("base_gap"))
+    p, k = profile(d), F.col("k")
+    gap = F.col("mean_t") - F.col("mean_o")
+    layer, after, other = k > 0, k >= d.t0, (k > 0) & (k != d.t0 - 1)
     # residuals y_it - mean_i - mean_gt + mean_g: squares around the series' means less those of the groups' layer means
-    between = layer.groupBy("feature").agg((t * F.var_pop("mean_t")).alias("between_t"), (t * F.var_pop("mean_o")).alias("between_o"))
-    sizes = units.groupBy("feature").agg(F.sum("within").alias("within"), F.count_if("is_treated").alias("n1"), F.count_if(~F.col("is_treated")).alias("n0"))
-    n1, n0 = F.col("n1"), F.col("n0")
+    g = _folded(
+        p,
+        F.max(F.when(k == d.t0 - 1, gap)).alias("base_gap"),
+        (t * F.var_pop(F.when(layer, F.col("mean_t")))).alias("between_t"),
+        (t * F.var_pop(F.when(layer, F.col("mean_o")))).alias("between_o"),
+        F.avg(F.when(after, gap)).alias("after"),
+        (F.max(F.when(other, gap)) - F.min(F.when(other, gap))).alias("effect_range"),
+    )
+    n1, n0 = F.col("n_treated"), F.col("n_all") - F.col("n_treated")
     left = F.greatest(F.lit(0.0), F.col("within") - n1 * F.col("between_t") - n0 * F.col("between_o"))
     # without spare degrees of freedom there is no error
     dof = ((n1 + n0) * t - (n1 + n0 + (t - 1)) - (t - 1)).cast("double")
-    se = F.sqrt(2.0 * (1 / n1 + 1 / n0) * left / F.when(dof > 0, dof))
-    error = sizes.join(between, "feature").select("feature", se.alias("standard_error"))
-    path = (
-        layer.where(F.col("time_index") != d.t0 - 1)
-        .join(base, "feature")
-        .join(error, "feature")
-        .select("feature", "time_index", (F.col("time_index") - d.t0).alias("relative_time"), F.lit("event_study").alias("method"), (F.col("mean_t") - F.col("mean_o") - F.col("base_gap")).alias("estimate"), "standard_error")
-    )
-    path = with_statistic(path, inference)
-    head = path.groupBy("feature").agg(
-        F.avg(F.when(F.col("relative_time") >= 0, F.col("estimate"))).alias("estimate"),
-        F.sqrt(F.avg(F.when(F.col("relative_time") >= 0, F.col("standard_error") * F.col("standard_error")))).alias("standard_error"),
-    )
-    g = group_means(units).join(head, "feature")
-    return _effects(g, path, d, "event_study", inference), path
+    g = g.withColumn("standard_error", F.sqrt(2.0 * (1 / n1 + 1 / n0) * left / F.when(dof > 0, dof)))
+    effects = finish_effects(g.withColumn("estimate", F.col("after") - F.col("base_gap")), "event_study", inference)
+    path = p.where(other).join(g.select("feature", "base_gap", "standard_error"), "feature")
+    path = _layer_rows(path, d, "event_study", gap - F.col("base_gap"), F.col("standard_error"))
+    return effects, with_statistic(path, inference)
 
 
 @dataclasses.dataclass(frozen=True)
@@ -319,7 +352,7 @@ class CausalResult:
 
 def estimate(
     formula: str,
-    panel: Panel,
+    data: Panel | DataFrame | np.ndarray,
     method: str = "did",
     treatment_level: str | None = None,
     control_level: str | tuple[str, ...] | None = None,
@@ -332,9 +365,15 @@ def estimate(
     bootstrap_level: float = 0.95,
     pre_fit: bool = False,
     seed: int = 1,
+    observation_meta: DataFrame | None = None,
+    time_meta: DataFrame | None = None,
 ) -> CausalResult:
     """The one entry point: parse, bind groups and onset, run, add inference.
 
+    ``data``: a panel, a seven-column long table, or a dense (observation, feature,
+    layer) array with both metadata tables in the array's order.  Placebo tests
+    need two controls and pre-fit needs synthetic controls; without them a
+    warning says so and the result lacks them.
     Fixed effects named in the formula are checked; the two-way estimators
     always use both.  Placebo inference always refits synthetic controls.
     """
@@ -344,10 +383,15 @@ def estimate(
     if method not in METHODS:
         raise PanelError(f"method {method!r} is not one of {', '.join(METHODS)}")
     if pre_fit and method != "scm":
-        raise PanelError("pre_fit is available for scm only")
+        warnings.warn("pre_fit is defined for scm only; skipped", stacklevel=2)
+        pre_fit = False
+    panel = as_panel(data, observation_meta, time_meta)
     d = design(panel, treatment_level, control_level, intervention_index)
     if not all(d.sizes):
         raise PanelError("both groups need at least one observation")
+    if placebo and d.n_control < 2:
+        warnings.warn("placebo needs at least two control observations; skipped", stacklevel=2)
+        placebo = False
     weights = weight_sum = None
     if method == "scm":
         effects, path, weights, weight_sum = scm.synthetic_control(d, scm_constraint, scm_offset)

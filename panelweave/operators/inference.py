@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bh_adjust
+from ..functions import bh_adjust_large
 from .causal import Design, unit_means
 from .panel import PanelError
-from .scm import _arrays, check, fit_unit, unit_series
+from .scm import _arrays, block_count, check, fit_unit, unit_series
 
-#: Placebo refits per task and feature.
-BLOCK = 64
+#: Bootstrap units per task and feature, while these are at most so many tasks.
+UNITS, MAX_BLOCKS = 4096, 512
 
 
 def placebo(d: Design, effects: DataFrame, constraint: str = "simplex", offset: bool = True) -> DataFrame:
@@ -32,7 +32,7 @@ def placebo(d: Design, effects: DataFrame, constraint: str = "simplex", offset:
     if d.n_control < 2:
         raise PanelError("placebo needs at least two control observations")
     t0 = d.t0
-    blocks = max(1, -(-d.n_control // BLOCK))
+    blocks = block_count(d.n_control, d.n_control)
     pool = unit_series(d).where("not is_treated")
     pool = pool.select("feature", "observation", "xs", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
@@ -50,7 +50,7 @@ def placebo(d: Design, effects: DataFrame, constraint: str = "simplex", offset:
         real = synthetic_control(d, constraint, offset, inference=False)[0].select("feature", "estimate")
     hits = F.sum((F.abs("placebo") >= F.abs("estimate")).cast("double"))
     out = fits.join(real, "feature").groupBy("feature").agg(((hits + 1) / (d.n_control + 1)).alias("placebo_p_value"))
-    return bh_adjust(out, "placebo_p_value", "placebo_fdr")
+    return bh_adjust_large(out, "placebo_p_value", "placebo_fdr")
 
 
 def draws(rng: np.random.Generator, n: int, samples: int) -> np.ndarray:
@@ -73,7 +73,9 @@ def bootstrap(
     Treated and control units are resampled with replacement, the same units
     for every feature; the interval holds ``level`` of the draws.  For the
     estimators with closed forms a draw is a weighted mean of per-unit
-    contrasts; synthetic control is fitted again on the drawn donors.
+    contrasts: units are dealt into blocks, a draw is split among the blocks (the
+    same split in every task) and then among a block's units, and the blocks' sums
+    add up.  Synthetic control is fitted again on the drawn donors.
     """
     if not 0 < level < 1 or samples < 1:
         raise PanelError("level must lie in (0, 1) and samples be positive")
@@ -81,20 +83,31 @@ def bootstrap(
     if method == "scm":
         return _bootstrap_scm(d, samples, tail, seed, constraint, offset)
     contrast = F.col("post") - (F.col("base") if method == "event_study" else F.col("pre"))
-    units = unit_means(d).where("is_treated or is_control").select("feature", "observation", "is_treated", contrast.alias("x"))
+    blocks = min(MAX_BLOCKS, max(1, -(-max(d.sizes) // UNITS)))
+    block = F.pmod(F.xxhash64("observation"), F.lit(blocks)).cast("int").alias("block")
+    units = unit_means(d).where("is_treated or is_control").select("feature", "observation", "is_treated", contrast.alias("x"), block)
+    found = d.flags.where("is_treated or is_control").groupBy("is_treated", block).count().collect()  # at most two a block
+    sizes = {flag: np.zeros(blocks) for flag in (True, False)}
+    for r in found:
+        sizes[r.is_treated][r.block] = r["count"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Sums of the drawn units' contrasts, of one block of units, for every draw."""
         pdf = pdf.sort_values("observation", kind="stable")
-        mask = pdf["is_treated"].to_numpy(bool)
-        x = pdf["x"].to_numpy(float)
-        rng, est = np.random.default_rng(seed), []
-        for at in range(0, samples, batch):
-            k = min(batch, samples - at)
-            est.append((draws(rng, int(mask.sum()), k) @ x[mask]) / mask.sum() - (draws(rng, int((~mask).sum()), k) @ x[~mask]) / (~mask).sum())
-        low, high = np.quantile(np.concatenate(est), [tail, 1 - tail])
-        return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "bootstrap_lower": [low], "bootstrap_upper": [high]})
-
-    return units.groupBy("feature").applyInPandas(run, "feature string, bootstrap_lower double, bootstrap_upper double")
+        which, mask = int(pdf["block"].iloc[0]), pdf["is_treated"].to_numpy(bool)
+        sums = {}
+        for flag in (True, False):
+            x, total = pdf["x"].to_numpy(float)[mask == flag], sizes[flag].sum()
+            share = np.random.default_rng([seed, int(flag)]).multinomial(int(total), sizes[flag] / total, size=samples)[:, which]
+            rng = np.random.default_rng([seed, int(flag), 1 + which])
+            parts = [rng.multinomial(share[at : at + batch], np.full(len(x), 1.0 / len(x))) @ x for at in range(0, samples, batch)] if len(x) else [np.zeros(samples)]
+            sums[flag] = np.concatenate(parts) / total
+        return pd.DataFrame({"feature": [pdf["feature"].iloc[0]], "draws": [sums[True] - sums[False]]})
+
+    drawn = units.groupBy("feature", "block").applyInPandas(run, "feature string, draws array<double>")
+    each = drawn.select("feature", F.posexplode("draws").alias("k", "x")).groupBy("feature", "k").agg(F.sum("x").alias("draw"))
+    lower, upper = (F.percentile("draw", F.lit(q)) for q in (tail, 1 - tail))
+    return each.groupBy("feature").agg(lower.alias("bootstrap_lower"), upper.alias("bootstrap_upper"))
 
 
 def _bootstrap_scm(d: Design, samples: int, tail: float, seed: int, constraint: str, offset: bool) -> DataFrame:

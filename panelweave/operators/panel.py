@@ -11,6 +11,8 @@ from __future__ import annotations
 import dataclasses
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -195,13 +197,42 @@ def from_array(spark: SparkSession, array: np.ndarray, observations: list[tuple[
         raise PanelError("the array's shape does not match its names")
     if not np.isfinite(array).all():
         raise PanelError("the array has missing values")
-    rows = [
-        (o, t, e, f, float(array[i, j, k]), lab, fl)
-        for k, (t, e, fl) in enumerate(layers)
-        for i, (o, lab) in enumerate(observations)
-        for j, f in enumerate(features)
-    ]
-    return from_long(spark.createDataFrame(rows, LONG_SCHEMA), tuple(dict.fromkeys(lab for _, lab in observations)))
+    n, m, t = array.shape
+    cells = {
+        "observation": np.repeat([o for o, _ in observations], m * t),
+        "time_identifier": np.tile([x[0] for x in layers], n * m),
+        "elapsed_time": np.tile([float(x[1]) for x in layers], n * m),
+        "feature": np.tile(np.repeat(features, t), n),
+        "abundance_value": np.ascontiguousarray(array, float).ravel(),
+        "label": np.repeat([x for _, x in observations], m * t),
+        "is_intervention": np.tile([bool(x[2]) for x in layers], n * m),
+    }
+    table = pa.table({k: pa.array(v) for k, v in cells.items()})
+    return from_long(spark.createDataFrame(table, LONG_SCHEMA), tuple(dict.fromkeys(lab for _, lab in observations)))
+
+
+def as_panel(data: Panel | DataFrame | np.ndarray, observation_meta: DataFrame | None = None, time_meta: DataFrame | None = None, features: list[str] | None = None) -> Panel:
+    """A panel from a panel, a long table, or a dense array with its metadata.
+
+    For an array the metadata tables (rows in the array's order, kept by an Arrow
+    round trip) need observation_id and label; time_identifier, elapsed_time and
+    is_intervention_timepoint.
+    """
+    if isinstance(data, Panel):
+        return data
+    if isinstance(data, DataFrame):
+        from .validate import validate_long
+
+        validate_long(data, composition=False)
+        return from_long(data)
+    if not isinstance(data, np.ndarray) or data.ndim != 3:
+        raise PanelError("data must be a panel, a long table or a three-dimensional array")
+    if observation_meta is None or time_meta is None:
+        raise PanelError("an array needs observation_meta and time_meta")
+    obs = [tuple(r) for r in observation_meta.select("observation_id", "label").limit(data.shape[0] + 1).collect()]
+    layers = [tuple(r) for r in time_meta.select("time_identifier", "elapsed_time", "is_intervention_timepoint").limit(data.shape[2] + 1).collect()]
+    names = features or [f"feature_{j + 1:03d}" for j in range(data.shape[1])]
+    return from_array(observation_meta.sparkSession, data, obs, names, layers)
 
 
 def to_array(panel: Panel, max_cells: int = 10_000_000) -> tuple[np.ndarray, list[str], list[str], list[str]]:
@@ -211,9 +242,9 @@ def to_array(panel: Panel, max_cells: int = 10_000_000) -> tuple[np.ndarray, lis
         raise PanelError(f"{n * d * t} cells are more than max_cells")
     names = {k: [r[0] for r in v.collect()] for k, v in panel.dimnames().items()}
     out = np.full((n, d, t), np.nan)
-    oi, fi = ({x: i for i, x in enumerate(names[k])} for k in ("observation", "feature"))
-    for r in panel.long.collect():
-        out[oi[r.observation], fi[r.feature], r.time_index - 1] = r.abundance_value
+    cells = panel.long.select("observation", "feature", "time_index", "abundance_value").toArrow()
+    at = [pc.index_in(cells.column(k), pa.array(names[k])).to_numpy() for k in ("observation", "feature")]
+    out[at[0], at[1], cells.column("time_index").to_numpy() - 1] = cells.column("abundance_value").to_numpy()
     return out, names["observation"], names["feature"], names["time_identifier"]
 
 

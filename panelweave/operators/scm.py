@@ -14,13 +14,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .causal import Design, _effects, group_means, series, unit_means, with_statistic
+from .causal import Design, finish_effects, group_means, series, unit_means, with_statistic
 from .panel import PanelError
 
 CONSTRAINTS = ("nnls", "simplex")
 SNR_EPS = 1e-10
-#: Treated units per task and feature.
-BLOCK = 256
+#: Least number of units that a task fits for a feature.
+BLOCK = 64
+
+
+def block_count(units: int, donors: int) -> int:
+    """Blocks that a feature's fits are dealt into; each gets a copy of the donors.
+
+    A block has at least a sixteenth as many units as there are donors, so the
+    copies add up to at most sixteen times the units' own rows.
+    """
+    return max(1, -(-units // max(BLOCK, -(-donors // 16))))
 
 
 # --------------------------------------------------------------------------- #
@@ -151,7 +160,7 @@ def fit_units(d: Design, constraint: str = "simplex", offset: bool = True) -> Da
     check(constraint)
     t0 = d.t0
     units = unit_series(d)
-    blocks = max(1, -(-d.n_treated // BLOCK))
+    blocks = block_count(d.n_treated, d.n_control)
     block = F.pmod(F.xxhash64("observation"), F.lit(blocks))
     treated = units.where("is_treated").select("feature", "observation", "xs", block.alias("block"))
     every = F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))
@@ -172,22 +181,30 @@ def fit_units(d: Design, constraint: str = "simplex", offset: bool = True) -> Da
     return treated.toDF(*names).groupBy("feature", "block").cogroup(donors.toDF(*names).groupBy("feature", "block")).applyInPandas(run, schema)
 
 
-def gap_rows(fits: DataFrame, d: Design) -> DataFrame:
-    """(feature, treated_unit, time_index, gap) of the layers from onset on."""
-    rows = fits.select("feature", "treated_unit", F.posexplode("gaps").alias("i", "gap"))
-    return rows.where(F.col("i") >= d.t0 - 1).select("feature", "treated_unit", (F.col("i") + 1).alias("time_index"), "gap")
-
-
 def synthetic_control(d: Design, constraint: str = "simplex", offset: bool = True, inference: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(effects, per-layer path, weights, weight sums)."""
     fits = fit_units(d, constraint, offset)
-    gaps = gap_rows(fits, d)
-    unit = gaps.groupBy("feature", "treated_unit").agg(F.avg("gap").alias("att"))
-    head = unit.groupBy("feature").agg(F.avg("att").alias("estimate"), F.sqrt(F.var_samp("att") / F.count(F.lit(1))).alias("standard_error"))
-    path = gaps.groupBy("feature", "time_index").agg(F.avg("gap").alias("estimate"), F.sqrt(F.var_samp("gap") / F.count(F.lit(1))).alias("standard_error"))
-    path = path.select("feature", "time_index", (F.col("time_index") - d.t0).alias("relative_time"), F.lit("scm").alias("method"), "estimate", "standard_error")
+    # per feature and layer the units' mean gap, and as layer 0 that of their gaps' means:
+    # one pass over the fits gives the effect and its path
+    after = F.slice("gaps", d.t0, d.n_layers)
+    each = fits.select("feature", F.posexplode(F.concat(F.array(F.aggregate(after, F.lit(0.0), lambda a, g: a + g) / F.size(after)), after)).alias("k", "gap"))
+    means = each.groupBy("feature", "k").agg(F.avg("gap").alias("estimate"), F.sqrt(F.var_samp("gap") / F.count(F.lit(1))).alias("standard_error"))
+    path = means.where("k > 0").select(
+        "feature",
+        (F.col("k") + F.lit(d.t0 - 1)).alias("time_index"),
+        (F.col("k") - 1).alias("relative_time"),
+        F.lit("scm").alias("method"),
+        "estimate",
+        "standard_error",
+    )
     path = with_statistic(path, inference)
-    effects = _effects(group_means(unit_means(d)).join(head, "feature"), path, d, "scm", inference)
+    zero = F.col("k") == 0
+    head = means.groupBy("feature").agg(
+        F.max(F.when(zero, F.col("estimate"))).alias("estimate"),
+        F.max(F.when(zero, F.col("standard_error"))).alias("standard_error"),
+        (F.max(F.when(~zero, F.col("estimate"))) - F.min(F.when(~zero, F.col("estimate")))).alias("effect_range"),
+    )
+    effects = finish_effects(group_means(unit_means(d)).join(head, "feature"), "scm", inference)
     pairs = fits.select("feature", "treated_unit", F.explode(F.arrays_zip("donors", "weights")).alias("p"))
     weights = pairs.select("feature", "treated_unit", F.col("p.donors").alias("donor_unit"), F.col("p.weights").alias("weight"))
     sums = fits.select("feature", "treated_unit", F.expr("aggregate(weights, 0D, (a, b) -> a + b)").alias("weight_sum"))

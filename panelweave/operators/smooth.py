@@ -181,8 +181,21 @@ def onset(panel: Panel) -> int | None:
     return panel.time_meta.agg(flagged).first()[0]
 
 
-def smooth_panel(panel: Panel, method: str = "ekf", breakpoints: list[int] | None = None, **params) -> Panel:
-    """The panel smoothed; without breakpoints the onset is the only one."""
+def smooth_panel(panel: Panel, method: str = "ekf", breakpoints: list[int] | None = None, model: str = "gaussian", library_size: DataFrame | None = None, time_scaling: bool = False, **params) -> Panel:
+    """The panel smoothed; without breakpoints the onset is the only one.
+
+    ``model="nb"``: counts with negative-binomial noise, by ekf or rts over whole
+    series; ``library_size``: (observation, time_index, library_size), by default
+    the samples' sums; ``time_scaling``: innovations grow with the sampling
+    intervals; ``params``: dispersion, qratio, hierarchical, em_iterations.
+    """
+    if model == "nb":
+        from .smooth_nb import sampling_intervals, smooth_nb
+
+        gaps = sampling_intervals(panel) if time_scaling else None
+        return panel.with_values(smooth_nb(panel.long, panel.time_meta.count(), method, library_size, intervals=gaps, **params))
+    if model != "gaussian" or library_size is not None or time_scaling:
+        raise PanelError("model is gaussian or nb; library_size and time_scaling belong to nb")
     if breakpoints is None:
         t0 = onset(panel)
         breakpoints = [t0] if t0 else []

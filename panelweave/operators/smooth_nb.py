@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 from .panel import Panel, PanelError, from_series
 
 FLOOR = -16.0
-# A share does not exceed 1, nor the largest observed one where libraries are given smaller
-# than that; without the bound a linearized step from a tiny mean can overflow.
 MIN_DISPERSION, MAX_DISPERSION = 1e-4, 1e3
 MIN_INNOVATION = 1e-6
 EM_TOLERANCE = 1e-6
@@ -29,26 +27,30 @@ EM_ITERATIONS = 80
 
 
 def run_filter(x: np.ndarray, lib: np.ndarray, first: np.ndarray, q, phi, dt: np.ndarray, smooth: bool) -> np.ndarray:
-    """Latent states of series in rows; ``q`` and ``phi`` scalar or per row."""
+    """Latent states of series in rows; ``q`` and ``phi`` scalar or per row.
+
+    States have a floor and no ceiling: a linearized step from a tiny mean may
+    overshoot, up to infinite or undefined states, as the recursion defines it.
+    """
     n, t = x.shape
-    top = np.maximum(0.0, start_states(x, lib).max(axis=1))
     z, p, ahead = np.empty((n, t)), np.empty((n, t)), np.empty((n, t))
     z[:, 0], p[:, 0], ahead[:, 0] = first, np.maximum(q, MIN_INNOVATION), 0.0
     phi = np.maximum(phi, MIN_DISPERSION)
-    for k in range(1, t):
-        pred = p[:, k - 1] + q * dt[k]
-        mean = lib[:, k] * np.exp(np.maximum(z[:, k - 1], FLOOR))
-        spread = mean * mean * pred + mean + mean * mean / phi
-        gain = pred * mean / np.maximum(spread, 1e-300)
-        z[:, k] = np.minimum(z[:, k - 1] + gain * (x[:, k] - mean), top)
-        p[:, k] = (1.0 - gain * mean) * pred
-        ahead[:, k] = pred
+    with np.errstate(over="ignore", invalid="ignore"):
+        for k in range(1, t):
+            pred = p[:, k - 1] + q * dt[k]
+            mean = lib[:, k] * np.exp(np.maximum(z[:, k - 1], FLOOR))
+            spread = mean * mean * pred + mean + mean * mean / phi
+            gain = pred * mean / np.maximum(spread, 1e-300)
+            z[:, k] = z[:, k - 1] + gain * (x[:, k] - mean)
+            p[:, k] = (1.0 - gain * mean) * pred
+            ahead[:, k] = pred
     if not smooth:
         return z
     out = z.copy()
     for k in range(t - 2, -1, -1):
         back = p[:, k] / np.maximum(ahead[:, k + 1], 1e-30)
-        out[:, k] = np.minimum(z[:, k] + back * (out[:, k + 1] - z[:, k]), top)
+        out[:, k] = z[:, k] + back * (out[:, k + 1] - z[:, k])
     return out
 
 

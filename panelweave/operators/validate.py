@@ -59,15 +59,21 @@ def check_labels(df: DataFrame) -> None:
 
 
 def balance(df: DataFrame) -> DataFrame:
-    """One row: rows, axis sizes, expected rows and the two pair counts."""
-    sizes = df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
+    """One row: rows, axis sizes, expected rows and the two pair counts.
+
+    Two aggregations reduce the cells to samples and to series; the axes are
+    counted on those.
+    """
+    samples = df.groupBy("observation", "time_identifier").agg(F.count(F.lit(1)).alias("n"))
+    series = df.select("observation", "feature").distinct()
+    sizes = samples.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
         F.count_distinct("observation").alias("n_observations"),
-        F.count_distinct("feature").alias("n_features"),
         F.count_distinct("time_identifier").alias("n_layers"),
-        F.count_distinct("observation", "time_identifier").alias("n_samples"),
-        F.count_distinct("observation", "feature").alias("n_series"),
+        F.count("observation").alias("n_samples"),
     )
+    both = sizes.crossJoin(series.agg(F.count_distinct("feature").alias("n_features"), F.count("feature").alias("n_series")))
+    sizes = both.select("n_rows", "n_observations", "n_features", "n_layers", "n_samples", "n_series")
     return sizes.withColumn("n_expected", F.col("n_observations") * F.col("n_features") * F.col("n_layers"))
 
 
@@ -163,13 +169,12 @@ def is_sound(df: DataFrame, composition: bool = True) -> bool:
         F.sum("bad").alias("bad"),
         F.max(F.abs(F.col("total") - 1)).alias("off"),
         *(f(c).alias(f"{f.__name__}_{c}") for c in ("n", "x", "y") for f in (F.min, F.max)),
-        F.collect_set("label_low").alias("low"),
-        F.collect_set("label_high").alias("high"),
     ).first()
     names = df.select("feature").distinct()
     d = names.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("feature")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "feature")).alias("y")).first()
     same = all(r[f"{e}_{c}"] == d[c] for c in ("n", "x", "y") for e in ("min", "max"))
-    labels = len({*r.low, *r.high}) <= MAX_GROUPS
+    ends = facts.select(F.explode(F.array("label_low", "label_high")).alias("label")).where("label is not null")
+    labels = len(ends.distinct().limit(MAX_GROUPS + 1).collect()) <= MAX_GROUPS
     closed = not composition or (r.off is not None and r.off <= SUM_TOLERANCE)
     return bool(r.samples) and not r.bad and same and labels and closed and r.samples == r.observations * r.layers
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -117,23 +116,9 @@ def feature_index(spark, d):
 
 @_query(
     "wide_pivot",
-    f"with {panels.E_SQL}, top as (select distinct feature from p order by feature limit 2), n as (select list(feature order by feature) as f from top) "
-    f"select observation, time_index, {_sql_r('max(x) filter (where feature = f[1])')} as first_feature, {_sql_r('max(x) filter (where feature = f[2])')} as second_feature "
-    "from p, n group by observation, time_index, f",
-)
-def wide_pivot(spark, d):
-    cells = panels.e_cells(spark, d)
-    names = [r[0] for r in cells.select("feature").distinct().orderBy("feature").limit(2).collect()]
-    wide = panel.long_to_wide(cells, names)
-    return wide.select("observation", "time_index", _r(F.col(f"`{names[0]}`")).alias("first_feature"), _r(F.col(f"`{names[1]}`")).alias("second_feature"))
-
-
-@_query(
-    "wide_pivot_all",
     f"with {panels.E_SQL}, r as (select observation, time_index, feature, {_sql_r('x')} as v from p) pivot r on feature using max(v) group by observation, time_index",
 )
-def wide_pivot_all(spark, d):
-    """A column for every feature; ``wide_pivot`` reports the first two only."""
+def wide_pivot(spark, d):
     cells = panels.e_cells(spark, d)
     names = [r[0] for r in cells.select("feature").distinct().orderBy("feature").collect()]
     wide = panel.long_to_wide(cells, names)
@@ -152,20 +137,9 @@ def long_unpivot(spark, d):
 
 @_query(
     "unmatched_anti",
-    "select distinct cast(user_id as varchar) as observation from events where user_id not in (select c_custkey from customer where c_custkey % 3 = 0)",
-)
-def unmatched_anti(spark, d):
-    long = panels.table(spark, d, "events").select(F.col("user_id").cast("string").alias("observation"))
-    known = panels.table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("observation_id"))
-    return panel.unmatched_keys(long, known)
-
-
-@_query(
-    "unmatched_suppliers",
     "select distinct cast(user_id as varchar) as observation from events where user_id not in (select s_suppkey from supplier)",
 )
-def unmatched_suppliers(spark, d):
-    """Against a whole table that lacks keys; ``unmatched_anti`` knows every third customer only."""
+def unmatched_anti(spark, d):
     long = panels.table(spark, d, "events").select(F.col("user_id").cast("string").alias("observation"))
     known = panels.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("observation_id"))
     return panel.unmatched_keys(long, known)
@@ -181,20 +155,11 @@ def panel_summary(spark, d):
     return out.withColumns({c: _r(c) for c in ("zero_share", "min_value", "max_value")})
 
 
-@_query(
-    "canonical_head",
-    f"with {panels.E_SQL}{_T_SQL} select * replace ({_sql_r('abundance_value')} as abundance_value) from t order by observation, elapsed_time, time_identifier, feature limit 100",
-)
-def canonical_head(spark, d):
-    return panel.sort_panel_table(panels.e_table(spark, d)).limit(100).withColumn("abundance_value", _r("abundance_value"))
-
-
 @_query(
     "canonical_order",
     f"with {panels.E_SQL}{_T_SQL} select * replace ({_sql_r('abundance_value')} as abundance_value), row_number() over (order by observation, elapsed_time, time_identifier, feature) as position from t",
 )
 def canonical_order(spark, d):
-    """Every row with its place; ``canonical_head`` reports the first 100 rows."""
     return panel.canonical_position(panels.e_table(spark, d)).withColumn("abundance_value", _r("abundance_value"))
 
 
@@ -308,19 +273,12 @@ for _m in _NORM:
     _norm_query(_m)
 
 
-@_query("preprocess_pipeline", f"with {panels.B_SQL}{_Z}{_CLR} select observation, time_index, feature, {_sql_r('c')} as value from c")
-def preprocess_pipeline(spark, d):
-    out, _ = preprocess.preprocess(panels.b_cells(spark, d), filter={"min_prevalence": 0.0}, zero={"method": "half_min"}, normalize_="clr")
-    return _cells(out)
-
-
 _KEPT = ", f as (select feature from p group by feature having avg((x > 0.0401)::integer) >= 0.45)"
 _KEPT_Z = f"{_KEPT}, z as (select observation, time_index, feature, {_ZERO['half_min']} as x from p join f using (feature))"
 
 
-@_query("preprocess_filtered", f"with {panels.B_SQL}{_KEPT_Z}{_CLR} select observation, time_index, feature, {_sql_r('c')} as value from c")
-def preprocess_filtered(spark, d):
-    """The chain with a filter that drops features; every feature meets the bound of ``preprocess_pipeline``."""
+@_query("preprocess_pipeline", f"with {panels.B_SQL}{_KEPT_Z}{_CLR} select observation, time_index, feature, {_sql_r('c')} as value from c")
+def preprocess_pipeline(spark, d):
     spec = {"min_prevalence": 0.45, "min_abundance": 0.0401}
     out, _ = preprocess.preprocess(panels.b_cells(spark, d), filter=spec, zero={"method": "half_min"}, normalize_="clr")
     return _cells(out)
@@ -337,12 +295,19 @@ _SERIES = f"{_Z}{_CLR}, s as (select observation, feature, time_index as t, time
 _PAIR = "from s a join s b on a.observation = b.observation and a.feature = b.feature and a.seg = b.seg"
 
 
-def _matrix_sql(matrix: np.ndarray) -> str:
-    values = ", ".join(f"({i + 1}, {j + 1}, {float(v)!r}::double)" for (i, j), v in np.ndenumerate(matrix) if v)
-    return (
-        f"with {panels.E_SQL}{_SERIES}, w(o, i, v) as (values {values}) "
-        f"select observation, o as time_index, feature, {_sql_r('sum(w.v * s.v)')} as value from s join w on s.t = w.i group by all"
-    )
+# Sums over the window of a local fit, offsets from its centre as x; ``loess`` weighs them by
+# the tricube of the distance, ``savgol`` takes the nearest two on either side.
+_TRICUBE = """, l as (select seg, count(distinct t) as n from s group by seg), h as (select seg, 0.75 * (n - 1) / 2 as half from l),
+  j as (select a.observation, a.feature, a.t, (b.t - a.t)::double as x, b.v as y, power(greatest(1 - power(abs(a.t - b.t) / greatest(1.0, half), 3), 0), 3) as w
+    from s a join s b on a.observation = b.observation and a.feature = b.feature and a.seg = b.seg join h on h.seg = a.seg where abs(a.t - b.t) <= greatest(1, floor(half))),
+  q as (select observation, feature, t, sum(w) as s0, sum(w * x) as s1, sum(w * x * x) as s2, sum(w * y) as t0, sum(w * x * y) as t1 from j group by all)"""
+_QUADRATIC = f""", q as (select a.observation, a.feature, a.t, count(*)::double as s0, sum(b.t - a.t)::double as s1, sum((b.t - a.t) ** 2) as s2, sum((b.t - a.t) ** 3) as s3, sum((b.t - a.t) ** 4) as s4,
+  sum(b.v) as t0, sum((b.t - a.t) * b.v) as t1, sum((b.t - a.t) ** 2 * b.v) as t2 {_PAIR} where abs(a.t - b.t) <= 2 group by all)"""
+_FORWARD = """, k as (select observation, feature, t, v as m, 100.0::double as q from s where t = 1 union all
+  select s.observation, s.feature, s.t, k.m + (k.q + 0.1) / (k.q + 1.1) * (s.v - k.m), (1 - (k.q + 0.1) / (k.q + 1.1)) * (k.q + 0.1)
+  from k join s on s.observation = k.observation and s.feature = k.feature and s.t = k.t + 1)"""
+_BACKWARD = f""", b as (select observation, feature, t, m as y from k where t = {panels.E_LAYERS} union all
+  select k.observation, k.feature, k.t, k.m + k.q / (k.q + 0.1) * (b.y - k.m) from b join k on k.observation = b.observation and k.feature = b.feature and k.t = b.t - 1)"""
 
 
 _SMOOTH_SQL = {
@@ -352,17 +317,22 @@ _SMOOTH_SQL = {
     "ewma": f"with {panels.E_SQL}{_SERIES}, f as (select seg, min(t) as t0 from s group by seg), "
     f"g as (select a.observation, a.feature, a.t, sum(power(0.7, a.t - b.t) * case when b.t = f.t0 then 1 else 0.3 end * b.v) as y {_PAIR} and b.t <= a.t join f on f.seg = a.seg group by all) "
     f"select observation, t as time_index, feature, {_sql_r('y')} as value from g",
-    "ekf": f"with recursive {panels.E_SQL}{_SERIES}, k as (select observation, feature, t, v as m, 100.0::double as q from s where t = 1 union all "
-    "select s.observation, s.feature, s.t, k.m + (k.q + 0.1) / (k.q + 1.1) * (s.v - k.m), (1 - (k.q + 0.1) / (k.q + 1.1)) * (k.q + 0.1) "
-    f"from k join s on s.observation = k.observation and s.feature = k.feature and s.t = k.t + 1) select observation, t as time_index, feature, {_sql_r('m')} as value from k",
+    "ekf": f"with recursive {panels.E_SQL}{_SERIES}{_FORWARD} select observation, t as time_index, feature, {_sql_r('m')} as value from k",
+    "rts": f"with recursive {panels.E_SQL}{_SERIES}{_FORWARD}{_BACKWARD} select observation, t as time_index, feature, {_sql_r('y')} as value from b",
+    "loess": f"with {panels.E_SQL}{_SERIES}{_TRICUBE} select observation, t as time_index, feature, {_sql_r('case when s0 * s2 - s1 * s1 > 1e-9 then (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) else t0 / s0 end')} as value from q",
+    "savgol": f"with {panels.E_SQL}{_SERIES}{_QUADRATIC} select observation, t as time_index, feature, "
+    + _sql_r("(t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2))")
+    + " as value from q",
+    # both segments have three layers, so one second difference d: (I + d d')^-1 = I - d d' / (1 + d'd)
+    "spline": f"with {panels.E_SQL}{_SERIES}, c3 as (select *, case when t - min(t) over w = 1 then -2 else 1 end as d from s window w as (partition by seg)) "
+    f"select observation, t as time_index, feature, {_sql_r('v - d * sum(d * v) over (partition by observation, feature, seg) / 7.0')} as value from c3",
 }
 
 
 def _smooth_query(method: str):
     breaks = [panels.E_ONSET]
-    sql = _SMOOTH_SQL.get(method) or _matrix_sql(smooth.weight_matrix(method, panels.E_LAYERS, breaks))
 
-    @_query(f"smooth_{method}", sql)
+    @_query(f"smooth_{method}", _SMOOTH_SQL[method])
     def run(spark, d):
         return _cells(smooth.smooth(_clr_cells(spark, d), panels.E_LAYERS, method, breaks))
 
@@ -371,8 +341,21 @@ for _m in ("moving_average", "gaussian", "loess", "savgol", "spline", "ekf", "rt
     _smooth_query(_m)
 
 
+_NB = f""", x as (select observation, feature, time_index as t, raw as x, sum(raw) over (partition by observation, time_index) as lib from p),
+z as (select observation, feature, t, lib, ln((x + 0.5) / lib) as z, 0.1::double as v from x where t = 1 union all
+  select observation, feature, t, lib, z + (v + 0.1) * mean / s * (x - mean), (1 - (v + 0.1) * mean / s * mean) * (v + 0.1)
+  from (select *, mean * mean * (v + 0.1) + mean + mean * mean as s
+    from (select x.*, z.z, z.v, x.lib * exp(greatest(z.z, -16)) as mean from z join x on x.observation = z.observation and x.feature = z.feature and x.t = z.t + 1)))"""
+_NB_BACK = f""", b as (select observation, feature, t, lib, z as y from z where t = {panels.E_LAYERS} union all
+  select z.observation, z.feature, z.t, z.lib, z.z + z.v / greatest(z.v + 0.1, 1e-30) * (b.y - z.z) from b join z on z.observation = b.observation and z.feature = b.feature and z.t = b.t - 1)"""
+_NB_SQL = {
+    "ekf": f"with recursive {panels.E_SQL}{_NB} select observation, t as time_index, feature, {_sql_r('lib * exp(greatest(z, -16))')} as value from z",
+    "rts": f"with recursive {panels.E_SQL}{_NB}{_NB_BACK} select observation, t as time_index, feature, {_sql_r('lib * exp(greatest(y, -16))')} as value from b",
+}
+
+
 def _nb_query(name: str, method: str, hierarchical: bool):
-    @_query(name)
+    @_query(name, None if hierarchical else _NB_SQL[method])
     def run(spark, d):
         counts = panels.e_counts(spark, d).withColumnRenamed("raw", "abundance_value")
         return _cells(smooth_nb.smooth_nb(counts, panels.E_LAYERS, method, hierarchical=hierarchical))
@@ -487,17 +470,39 @@ _bh_query("bh_fdr", bh_adjust)
 _bh_query("bh_fdr_large", bh_adjust_large)
 
 
-def _estimate(name: str, **spec):
-    @_query(name)
+# Two-sided normal p-value by the positive series of erf; beyond z = 6 it is 0 in the digits compared.
+_TERMS = "list_sum(list_transform(range(0, 200), lambda n: exp(n * ln(4.0) + lgamma(n + 1) + (2 * n + 1) * ln(z) - lgamma(2 * n + 2))))"
+_P = f"case when z is null then null when z > 6 then 0.0 when z = 0 then 1.0 else greatest(0.0, 1 - 2 / sqrt(pi()) * exp(-z * z) * {_TERMS}) end"
+
+
+def _inference_sql(method: str, ctes: str, estimate: str, se: str, source: str, spread: str = "effect_range") -> str:
+    numbers = (*_NUMBERS, "p_value", "fdr")
+    return (
+        f"with {panels.E_SQL}{_Y}{ctes}, i as (select feature, n1::integer as n_treated, n0::integer as n_control, ({estimate})::double as estimate, ({se})::double as standard_error, "
+        f"({estimate}) / nullif({se}, 0) as statistic, {', '.join(_MEANS)}, {spread} as effect_range from {source}), "
+        f"iz as (select *, abs(statistic) / sqrt(2.0) as z from i), ip as (select *, {_P} as p_value from iz), "
+        "ir as (select *, count(p_value) over (order by p_value) as rk, count(p_value) over () as m from ip), "
+        "io as (select *, case when p_value is not null then least(1.0, min(p_value * m / rk) over (order by p_value desc)) end as fdr from ir) "
+        f"select feature, '{method}' as method, n_treated, n_control, {', '.join(f'{_sql_r(c)} as {c}' for c in numbers)} from io"
+    )
+
+
+def _estimate(name: str, sql: str | None = None, **spec):
+    @_query(name, sql)
     def run(spark, d):
         p = panels.e_panel(spark, d)
         p = p.with_values(preprocess.normalize(p.long, "clr"))
-        return causal.estimate("abundance ~ group | unit + time", p, **spec).effects
+        effects = causal.estimate("abundance ~ group | unit + time", p, **spec).effects
+        return effects.withColumns({c: _r(c) for c in (*_NUMBERS, "p_value", "fdr")})
 
 
-_estimate("did_inference", method="did")
-_estimate("pooled_inference", method="pooled_ols")
-_estimate("event_inference", method="event_study")
+_estimate("did_inference", _inference_sql("did", "", _DID, "sqrt(vt / n1 + vc / n0)", "m join r using (feature)"), method="did")
+_estimate(
+    "pooled_inference",
+    _inference_sql("pooled_ols", _OLS, "beta", "sqrt(rss / (n * nt - (n + nt - 1) - 1) / d2)", "m join r using (feature) join q using (feature) cross join k"),
+    method="pooled_ols",
+)
+_estimate("event_inference", _inference_sql("event_study", f"{_EVENT}{_EVENT_HEAD}", "est", "hse", "m join h using (feature)", "spread"), method="event_study")
 _estimate("did_bootstrap", method="did", bootstrap=True)
 
 
@@ -516,6 +521,53 @@ def scm_nnls(spark, d):
     return scm.synthetic_control(_b_design(spark, d), "nnls", False)[0]
 
 
+_WEIGHT_SQL = f"with {panels.B_SQL}, n as (select printf('nation_%02d', n_nationkey) as observation, n_regionkey = 1 as treated from nation), c as (select distinct observation, feature from p) "
+
+
+def scm_conditions(d: causal.Design, weights: DataFrame, constraint: str, offset: bool) -> DataFrame:
+    """Per (feature, treated unit): do the weights meet the conditions of an optimum?
+
+    From the weights and the layers before the onset alone: signs, the sum on the simplex, and
+    slopes of the squared error that are equal where a weight is positive and not lower elsewhere.
+    """
+    pre = d.rows.where(F.col("time_index") < d.t0).select("feature", "observation", "time_index", "value")
+    if offset:
+        pre = pre.withColumn("value", F.col("value") - F.avg("value").over(Window.partitionBy("feature", "observation")))
+    x = pre.select("feature", F.col("observation").alias("donor_unit"), "time_index", F.col("value").alias("x"))
+    u = pre.select("feature", F.col("observation").alias("treated_unit"), "time_index", F.col("value").alias("u"))
+    both = weights.join(x, ["feature", "donor_unit"])
+    made = both.groupBy("feature", "treated_unit", "time_index").agg(F.sum(F.col("weight") * F.col("x")).alias("made"))
+    miss = made.join(u, ["feature", "treated_unit", "time_index"]).select("feature", "treated_unit", "time_index", (F.col("made") - F.col("u")).alias("r"))
+    slopes = both.join(miss, ["feature", "treated_unit", "time_index"]).groupBy("feature", "treated_unit", "donor_unit").agg(F.first("weight").alias("w"), F.sum(F.col("x") * F.col("r")).alias("s"))
+    level = F.sum(F.col("w") * F.col("s")).over(Window.partitionBy("feature", "treated_unit")) if constraint == "simplex" else F.lit(0.0)
+    slopes = slopes.withColumn("s", F.col("s") - level)
+    sums = (F.abs(F.sum("w") - 1) < 1e-9) if constraint == "simplex" else F.lit(True)
+    met = sums & (F.min("w") >= 0) & (F.min("s") > -1e-7) & (F.max(F.abs(F.col("w") * F.col("s"))) < 1e-7)
+    return slopes.groupBy("feature", "treated_unit").agg(F.count(F.lit(1)).alias("n_donors"), met.alias("optimal"))
+
+
+def _conditions_query(name: str, constraint: str, offset: bool):
+    sql = _WEIGHT_SQL + (
+        "select c.feature, c.observation as treated_unit, (select count(*) from n where not treated and observation in (select observation from c)) as n_donors, true as optimal "
+        "from c join n using (observation) where treated"
+    )
+
+    @_query(name, sql)
+    def run(spark, d):
+        dsn = _b_design(spark, d)
+        return scm_conditions(dsn, scm.synthetic_control(dsn, constraint, offset)[2], constraint, offset)
+
+
+_conditions_query("scm_simplex_weights", "simplex", True)
+_conditions_query("scm_nnls_weights", "nnls", False)
+_conditions_query("scm_nnls_offset_weights", "nnls", True)
+
+
+@_query("scm_path")
+def scm_path(spark, d):
+    return _path(scm.synthetic_control(_b_design(spark, d))[1])
+
+
 @_query("scm_pre_fit")
 def scm_pre_fit(spark, d):
     dsn = _b_design(spark, d)
@@ -533,7 +585,11 @@ def scm_placebo(spark, d):
 # --------------------------------------------------------------------------- #
 @_query("archive_round_trip", f"with {panels.E_SQL}{_T_SQL} select * replace ({_sql_r('abundance_value')} as abundance_value) from t")
 def archive_round_trip(spark, d):
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="panelweave-archive-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="panelweave-archive-")
     path = archive.write_panel_archive(panels.e_table(spark, d), "events", "v1", f"{root.rstrip('/')}/panelweave-archives")
     return archive.read_panel_table(spark, path).withColumn("abundance_value", _r("abundance_value"))
 
@@ -588,13 +644,17 @@ def simulate_truth(spark, d):
     return simulate.truth_table(spark)
 
 
-def _grid_query(name: str, configs: dict[str, experiments.Config], method: str):
+def _grid_query(name: str, configs: dict[str, experiments.Config], method: str, bootstrap: bool = False):
     @_query(name)
     def run(spark, d):
-        effects = experiments.run(spark, configs, ["A2"], 1, method)
-        return metrics.summarize(effects, simulate.truth(spark, ["A2"], 1), ("dataset", "config"))
+        effects = experiments.run(spark, configs, ["A2"], 1, method, bootstrap)
+        truth = simulate.truth(spark, ["A2"], 1)
+        return metrics.summarize_bootstrap(effects, truth, ("dataset", "config")) if bootstrap else metrics.summarize(effects, truth, ("dataset", "config"))
 
 
 _grid_query("ablation_grid", experiments.ABLATIONS, "scm")
 _grid_query("sensitivity_zero", experiments.SENSITIVITY["zero"], "did")
 _grid_query("sensitivity_normalize", experiments.SENSITIVITY["normalize"], "did")
+_grid_query("sensitivity_filter", experiments.SENSITIVITY["filter"], "did")
+_grid_query("sensitivity_band", experiments.SENSITIVITY["band"], "did")
+_grid_query("sensitivity_bootstrap", experiments.SENSITIVITY["bootstrap"], "did", bootstrap=True)

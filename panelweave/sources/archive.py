@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 from ..functions import format_number
-from ..operators.panel import LONG_SCHEMA, MAX_LAYERS, Panel, PanelError, from_long, index_layers
+from ..operators.panel import LONG_SCHEMA, MAX_GROUPS, MAX_LAYERS, Panel, PanelError, as_panel, from_long, index_layers, observation_meta, time_meta
 from ..operators.validate import REPORT, TIME_ID, check_delta_t, check_intervention, check_metadata
 
 MANIFEST = "manifest.txt"
@@ -332,8 +332,51 @@ def write_panel_archive(table: DataFrame, dataset: str, version: str, out_dir: s
     return target if "://" not in out_dir else f"{out_dir.rstrip('/')}/{dataset}_{version}.tar.gz"
 
 
-def verify_archive(spark: SparkSession, path: str, table: DataFrame) -> DataFrame:
-    """PASS/FAIL per check of an archive against the table it should hold."""
+def observation_meta_of(spark: SparkSession, x: Panel | DataFrame | str | list[str]) -> DataFrame:
+    """observation_id, label of a panel, a long table or a manifest's text (or lines)."""
+    if isinstance(x, Panel):
+        return x.observation_meta
+    if isinstance(x, DataFrame):
+        return observation_meta(x)
+    observations, _, _ = parse_manifest(x if isinstance(x, str) else "\n".join(x))
+    return spark.createDataFrame(observations, "observation_id string, label string")
+
+
+def time_meta_of(spark: SparkSession, x: Panel | DataFrame | str | list[str]) -> DataFrame:
+    """The layers of a panel, a long table or a manifest's text (or lines)."""
+    if isinstance(x, Panel):
+        return x.time_meta
+    if isinstance(x, DataFrame):
+        return time_meta(x)
+    _, layers, _ = parse_manifest(x if isinstance(x, str) else "\n".join(x))
+    return index_layers(spark.createDataFrame(layers, "time_identifier string, elapsed_time double, delta_t double, is_intervention_timepoint boolean"))
+
+
+def as_panel_table(spark: SparkSession, path: str | None = None, array=None, observations: DataFrame | None = None, layers: DataFrame | None = None, features: list[str] | None = None) -> DataFrame:
+    """The long table of an archive, or of an array with both metadata tables."""
+    if path is not None:
+        return read_panel_table(spark, path)
+    missing = [k for k, v in (("array", array), ("observations", observations), ("layers", layers)) if v is None]
+    if missing:
+        raise PanelError(f"without a path these are needed: {', '.join(missing)}")
+    return as_panel(array, observations, layers, features).table()
+
+
+def fingerprint(table: DataFrame) -> str:
+    """A mark of a long table's rows, whatever their order."""
+    row = F.xxhash64(*LONG_SCHEMA.names), F.xxhash64(F.lit(1), *LONG_SCHEMA.names)
+    r = table.agg(F.count(F.lit(1)), *(F.bit_xor(x) for x in row), F.sum(F.shiftrightunsigned(row[0], 16))).first()
+    return ":".join(map(str, r))
+
+
+def verify_archive(spark: SparkSession, path: str, table: DataFrame, truth: dict | None = None, mark: str | None = None) -> DataFrame:
+    """PASS, FAIL or SKIP per check of an archive against the table it should hold.
+
+    ``truth``: a row of the truth table (effect_taxa and effect_signs as text
+    joined by ``;``, n_effect_taxa, effect_size); ``mark``: the source's
+    :func:`fingerprint`.  Checks whose source is not given are skipped, and then
+    the archive does not count as authentic.
+    """
     got = read_panel_table(spark, path)
     columns = [f.name for f in LONG_SCHEMA.fields]
     a, b = got.select(*columns), table.select(*columns)
@@ -345,5 +388,18 @@ def verify_archive(spark: SparkSession, path: str, table: DataFrame) -> DataFram
     checks = [(f"n_{k}", x[k] == y[k]) for k in x]
     onset = [d.where("is_intervention").agg(F.min("elapsed_time")).first()[0] for d in (a, b)]
     checks += [("onset", onset[0] == onset[1]), ("nothing_missing", b.exceptAll(a).isEmpty()), ("nothing_added", a.exceptAll(b).isEmpty())]
+    flags = {k: sorted((r[0], r[1]) for r in d.select("elapsed_time", "is_intervention").distinct().collect()) for k, d in (("a", a), ("b", b))}
+    on = [f for _, f in flags["a"]]
+    checks += [("times", [t for t, _ in flags["a"]] == [t for t, _ in flags["b"]]), ("one_breakpoint", on == sorted(on) and not on[0])]
+    labels = [{r[0] for r in d.select("label").distinct().limit(MAX_GROUPS + 1).collect()} for d in (a, b)]
+    checks.append(("label_groups", labels[0] == labels[1]))
+    if truth is None:
+        checks += [(k, None) for k in ("effect_taxa", "effect_signs", "effect_size")]
+    else:
+        taxa, signs = ([p for p in str(truth[k] or "").split(";") if p] for k in ("effect_taxa", "effect_signs"))
+        n = int(truth["n_effect_taxa"])
+        checks += [("effect_taxa", len(taxa) == n), ("effect_signs", len(signs) == n), ("effect_size", (float(truth["effect_size"]) != 0) == (n > 0))]
+    checks.append(("fingerprint", None if mark is None else fingerprint(a) == mark))
     checks.append(("authentic", all(ok for _, ok in checks)))
-    return spark.createDataFrame([(c, "PASS" if ok else "FAIL") for c, ok in checks], "check string, result string")
+    named = {True: "PASS", False: "FAIL", None: "SKIP"}
+    return spark.createDataFrame([(c, named[ok]) for c, ok in checks], "check string, result string")

@@ -167,7 +167,7 @@ def test_many_treated_units_are_dealt_into_blocks(des, monkeypatch):
 def test_placebo(des, data, monkeypatch):
     x, treated = data
     real = by_feature(scm.synthetic_control(des)[0]).estimate
-    monkeypatch.setattr(inference, "BLOCK", 4)
+    monkeypatch.setattr(scm, "BLOCK", 4)
     got = by_feature(inference.placebo(des, causal.did(des)[0]))
     for j in range(3):
         c = x[~treated, j]
@@ -186,7 +186,9 @@ def test_bootstrap(des, method):
     assert ((wide.bootstrap_lower < point + 0.3) & (wide.bootstrap_upper > point - 0.3)).all()
 
 
-def test_bootstrap_width_follows_the_error(des):
+@pytest.mark.parametrize("units", [4096, 3])
+def test_bootstrap_width_follows_the_error(des, monkeypatch, units):
+    monkeypatch.setattr(inference, "UNITS", units)
     e = by_feature(causal.did(des)[0])
     b = by_feature(inference.bootstrap(des, "did", 2000, 0.95))
     assert np.allclose((b.bootstrap_upper - b.bootstrap_lower) / (2 * 1.96 * e.standard_error), 1, atol=0.25)
@@ -230,11 +232,33 @@ def test_estimate(pan):
     assert set(causal.EFFECTS) < set(r.effects.columns) and "placebo_fdr" in r.effects.columns and "bootstrap_upper" in r.effects.columns
     assert r.effects.count() == 3 and r.pre_fit.count() == 15 and "time_identifier" in r.time_effects.columns
     assert r.summary().first().n_features == 3
-    for bad in ({"method": "nope"}, {"method": "did", "pre_fit": True}, {"method": "did", "intervention_index": 1}, {"method": "scm", "scm_constraint": "nope"}):
+    for bad in ({"method": "nope"}, {"method": "did", "intervention_index": 1}, {"method": "scm", "scm_constraint": "nope"}):
         with pytest.raises(PanelError):
             causal.estimate("y ~ group", pan, **bad)
 
 
+def test_estimate_skips_what_is_not_defined(pan):
+    with pytest.warns(UserWarning, match="pre_fit"):
+        r = causal.estimate("y ~ group", pan, "did", pre_fit=True)
+    assert r.pre_fit is None
+    few = panel.from_long(pan.table().where("label = 'treat' or observation = 's05'"), ("ctrl", "treat"))
+    with pytest.warns(UserWarning, match="placebo"):
+        assert causal.estimate("y ~ group", few, "did", placebo=True).placebo is None
+
+
+def test_estimate_from_a_table_or_an_array(spark, pan, data):
+    want = by_feature(causal.estimate("y ~ group", pan, "did").effects)
+    table = by_feature(causal.estimate("y ~ group", pan.table(), "did", treatment_level="treat").effects)
+    x, treated = data
+    obs = spark.createDataFrame([(f"s{i:02d}", "treat" if f else "ctrl") for i, f in enumerate(treated)], "observation_id string, label string").coalesce(1)
+    layers = spark.createDataFrame([(f"time_{k + 1:03d}", 3.0 * k, k + 1 >= T0) for k in range(x.shape[2])], "time_identifier string, elapsed_time double, is_intervention_timepoint boolean").coalesce(1)
+    array = by_feature(causal.estimate("y ~ group", x, "did", treatment_level="treat", observation_meta=obs, time_meta=layers).effects)
+    for got in (table, array):
+        assert np.allclose(got.estimate, want.estimate) and np.allclose(got.p_value, want.p_value)
+    with pytest.raises(PanelError, match="needs"):
+        causal.estimate("y ~ group", x, "did")
+
+
 # ---- simulation and metrics -------------------------------------------------- #
 def test_simulate_is_seeded_and_shaped(spark):
     a, b = simulate.simulate(simulate.SCENARIOS["A1"], 7), simulate.simulate(simulate.SCENARIOS["A1"], 7)

@@ -40,9 +40,9 @@ def test_matches_sql(spark, duck, name):
     assert got == want
 
 
-def test_wide_pivot_all_holds_every_cell(spark):
+def test_wide_pivot_holds_every_cell(spark):
     cells = {(r.observation, r.time_index, r.feature): r.value for r in registry._cells(panels.e_cells(spark, SF)).collect()}
-    wide = registry.QUERIES["wide_pivot_all"](spark, SF)
+    wide = registry.QUERIES["wide_pivot"](spark, SF)
     features = wide.columns[2:]
     assert features == sorted({k[2] for k in cells}) and len(features) == 5
     got = {(r.observation, r.time_index, f): r[f] for r in wide.collect() for f in features}
@@ -57,10 +57,10 @@ def test_canonical_order_is_whole(spark):
     assert [key(r) for r in rows] == sorted(map(key, table.collect()))
 
 
-def test_unmatched_suppliers_knows_the_whole_table(spark):
+def test_unmatched_anti_knows_the_whole_table(spark):
     users = {str(r[0]) for r in panels.table(spark, SF, "events").select("user_id").collect()}
     known = {str(r[0]) for r in panels.table(spark, SF, "supplier").select("s_suppkey").collect()}
-    got = [r.observation for r in registry.QUERIES["unmatched_suppliers"](spark, SF).collect()]
+    got = [r.observation for r in registry.QUERIES["unmatched_anti"](spark, SF).collect()]
     assert sorted(got) == sorted(users - known) and users & known and users - known
 
 
@@ -73,10 +73,10 @@ def test_did_bootstrap_has_the_default_draws(spark):
     assert got == bounds(want)
 
 
-def test_preprocess_filtered_drops_features(spark):
+def test_preprocess_pipeline_drops_features(spark):
     every = {r.feature for r in panels.b_cells(spark, SF).select("feature").distinct().collect()}
     kept = {r.feature for r in registry.QUERIES["filter_prevalence"](spark, SF).select("feature").distinct().collect()}
-    got = {r.feature for r in registry.QUERIES["preprocess_filtered"](spark, SF).select("feature").distinct().collect()}
+    got = {r.feature for r in registry.QUERIES["preprocess_pipeline"](spark, SF).select("feature").distinct().collect()}
     assert got == kept and got < every
 
 
