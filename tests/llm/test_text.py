@@ -142,9 +142,16 @@ def test_pii_base_any_text(text):
 
 
 def test_pii_documents(spark, documents):
-    for r in queries.op5_pii(spark, SF).collect():
-        assert r.n_email >= 0
     texts = {r.doc_id: r.text for r in documents.collect()}
+    for r in queries.op5_pii(spark, SF).collect():
+        base = brute_base(texts[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(len(base[k]) for k in BASE)
+        spans = sorted((a, list(BASE).index(k), b) for k, found in base.items() for a, b in found)
+        joined = ",".join(f"{list(BASE)[k]}:{a}:{b}" for a, k, b in spans)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        every = [x.split(":") for x in r.spans.split(",") if x]
+        assert ",".join(":".join(x) for x in every if x[0] in BASE) == joined
+        assert [int(x[1]) for x in every] == sorted(int(x[1]) for x in every)
     for r in pii.detect(documents).collect():
         base = brute_base(texts[r.doc_id])
         for kind, want in base.items():

@@ -1,4 +1,4 @@
-import base64
+import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from panelweave.llm import byte_bpe, packing, queries, token_count
 
-from .conftest import EDGE
+from .conftest import SF
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +49,19 @@ def test_bpe_long_pieces(bpe, reference):
         assert ids[ends[i] : ends[i + 1]].tolist() == reference.encode_ordinary(t)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="abcABC  \n=-漢字é\U0001f600", min_size=1, max_size=6), st.integers(1, 60)), max_size=4))
+def test_bpe_repeated_text(bpe, reference, parts):
+    text = "".join(p * n for p, n in parts)
+    assert bpe.encode_batch([text])[0].tolist() == reference.encode_ordinary(text)
+
+
+def test_long_words_are_linear():
+    auto = token_count.LongestMatch([b"a", b"ab", b"abc", b"b", b"c", b" a"])
+    words = [b"abc" * 100_000, b"ab" * 5, b"x", b"cab" * 40_000 + b"x"]
+    assert auto.count(words * 6).tolist() == [100_000, 5, 0, 0] * 6
+
+
 def test_bpe_frames(edge, empty, documents, reference):
     for df in (edge, documents.limit(60)):
         out = byte_bpe.decode(byte_bpe.encode(df, queries.BPE_RANKS, P.PATTERN), queries.BPE_RANKS, P.PATTERN)
@@ -58,6 +71,15 @@ def test_bpe_frames(edge, empty, documents, reference):
     assert byte_bpe.encode(empty, queries.BPE_RANKS, P.PATTERN).count() == 0
 
 
+def test_bpe_query(spark, documents, reference):
+    want = {}
+    for r in documents.collect():
+        ids = reference.encode_ordinary(r.text or "")
+        want[r.doc_id] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op8_byte_bpe(spark, SF).collect()}
+    assert got == want
+
+
 # ---- longest match ---------------------------------------------------------- #
 def greedy(word, first, later, longest=99):
     """Pieces of a word by greedy longest match; 0 if stuck."""
@@ -136,8 +158,26 @@ def test_pack_edge(edge, empty):
     assert sum(got.values()) == sum(p.length for p in slow.collect())
     assert got[4] == got[5] == 1
     assert queries.pieces(empty).count() == 0
-    for p in packing.pack_documents(edge.where("doc_id = 8"), queries.BPE_JSON).collect():
-        assert zlib.crc32(bytes(p.ids)) >= 0
+
+
+def test_pack_query(spark, documents):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.BPE_JSON)
+    docs = {r.doc_id: np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4") for r in documents.collect()}
+    taken, filled = defaultdict(list), defaultdict(list)
+    for p in queries.op3_packing(spark, SF).collect():
+        ids = docs[p.doc_id]
+        assert p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes())
+        taken[p.doc_id].append((p.start, p.length))
+        filled[p.sequence_id].append((p.offset, p.length))
+    assert set(taken) == set(docs)
+    for parts, total in [(v, len(docs[k])) for k, v in taken.items()] + [(v, None) for v in filled.values()]:
+        at = 0
+        for start, length in sorted(parts):
+            assert start == at
+            at += length
+        assert at == total if total is not None else at <= 2048
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -183,5 +223,3 @@ def test_rank_file_matches_json(ranks):
     rest = [b for b in range(256) if b not in set(plain)]
     to_byte = {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
     assert {bytes(to_byte[c] for c in t): i for t, i in vocab.items() if i < 50256} == ranks
-    assert base64.b64encode(b"!") == b"IQ=="
-    assert EDGE
