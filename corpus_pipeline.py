@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.llm import exact_dedup, near_dup, pii, quality, queries
-from panelweave.llm.common import bound_batches, materialize
+from panelweave.llm.common import bound_batches, discard, materialize
 
 #: No document goes for one giant word, or for a script without blanks.
 QUALITY_POLICY = "v3"
@@ -63,8 +63,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; a stage's table goes once the next one's is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        done = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
