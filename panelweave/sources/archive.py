@@ -365,7 +365,7 @@ def as_panel_table(spark: SparkSession, path: str | None = None, array=None, obs
 def fingerprint(table: DataFrame) -> str:
     """A mark of a long table's rows, whatever their order."""
     row = F.xxhash64(*LONG_SCHEMA.names), F.xxhash64(F.lit(1), *LONG_SCHEMA.names)
-    r = table.agg(F.count(F.lit(1)), *(F.bit_xor(x) for x in row), F.sum(F.shiftrightunsigned(row[0], 16))).first()
+    r = table.agg(F.count(F.lit(1)), *(F.bit_xor(x) for x in row), F.sum(F.shiftrightunsigned(row[0], 40))).first()
     return ":".join(map(str, r))
 
 

@@ -4,8 +4,9 @@ import tarfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from panelweave.operators import panel
+from panelweave.operators import panel, smooth, smooth_nb
 from panelweave.operators.panel import PanelError
 from panelweave.sources import archive
 
@@ -99,7 +100,13 @@ def test_round_trip_is_exact(spark, tmp_path):
     assert path.endswith("p_v2.tar.gz")
     back = archive.read_panel_table(spark, path)
     assert sorted(map(tuple, back.collect())) == sorted(table)
-    assert {r.result for r in archive.verify_archive(spark, path, df).collect()} == {"PASS"}
+    truth = {"effect_taxa": "", "effect_signs": "", "n_effect_taxa": 0, "effect_size": 0.0}
+    mark = archive.fingerprint(df.repartition(5))
+    assert {r.result for r in archive.verify_archive(spark, path, df, truth, mark).collect()} == {"PASS"}
+    bare = {r.check: r.result for r in archive.verify_archive(spark, path, df).collect()}
+    assert {k for k, v in bare.items() if v == "SKIP"} == {"effect_taxa", "effect_signs", "effect_size", "fingerprint"} and bare["authentic"] == "FAIL"
+    wrong = {r.check: r.result for r in archive.verify_archive(spark, path, df, truth | {"effect_taxa": "1;2"}, "x").collect()}
+    assert {k for k, v in wrong.items() if v == "FAIL"} == {"effect_taxa", "fingerprint", "authentic"}
     assert (tmp_path / "new").exists() and len(list((tmp_path / "new").iterdir())) == 1
     other = frame(spark, [(*r[:4], r[4] + 1e-12, *r[5:]) for r in table])
     assert "FAIL" in {r.result for r in archive.verify_archive(spark, path, other).collect()}
@@ -130,3 +137,30 @@ def test_manifest_grammar():
     assert archive.infer_column(["TRUE", "false", None]) == [True, False, None]
     assert archive.infer_column(["1", "2.5e3"]) == [1.0, 2500.0]
     assert archive.infer_column(["1", "x"]) == ["1", "x"]
+
+
+def test_metadata_and_tables_from_any_source(spark):
+    rows = default_rows(t=3)
+    p = panel.from_long(frame(spark, rows), ("ctrl", "treat"))
+    obs = [tuple(r) for r in p.observation_meta.orderBy("observation_id").collect()]
+    layers = [tuple(r) for r in p.time_meta.orderBy("time_index").collect()]
+    text = archive.write_manifest(obs, [x[:4] for x in layers])
+    for source in (p, frame(spark, rows), text, text.split("\n")):
+        assert sorted(map(tuple, archive.observation_meta_of(spark, source).collect())) == obs
+        assert sorted(map(tuple, archive.time_meta_of(spark, source).collect())) == layers
+    cube, _, features, _ = panel.to_array(p)
+    metas = p.observation_meta.orderBy("observation_id").coalesce(1), p.time_meta.orderBy("time_index").coalesce(1)
+    back = archive.as_panel_table(spark, None, cube, *metas, features)
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    with pytest.raises(PanelError, match="layers"):
+        archive.as_panel_table(spark, None, cube, metas[0])
+
+
+def test_counts_through_the_one_smoothing_entry(spark):
+    p = panel.from_long(frame(spark, default_rows(t=4)), ("ctrl", "treat"))
+    counts = p.with_values(p.long.withColumn("abundance_value", F.round(F.col("abundance_value") * 100)))
+    got = smooth.smooth_panel(counts, "rts", model="nb", time_scaling=True).long
+    want = smooth_nb.smooth_nb(counts.long, 4, "rts", intervals=smooth_nb.sampling_intervals(counts))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(PanelError):
+        smooth.smooth_panel(p, "rts", time_scaling=True)
