@@ -35,6 +35,7 @@ class Config:
 
 
 _C = Config
+# The negative-binomial arms bound their states: overshooting ones have no synthetic control.
 # The ablation variants and sensitivity grids.
 ABLATIONS = {
     "base": _C(),
@@ -46,8 +47,8 @@ ABLATIONS = {
     "ab_no_filter": _C(filter=None),
     "ab_rclr_nofill": _C(zero=None, normalize="rclr"),
     "ab_no_normalize": _C(zero=None, normalize="none"),
-    "ab_nb_hier": _C(zero=None, normalize="none", counts=True, smooth={"method": "rts", "hierarchical": True, "em_iterations": 80}),
-    "ab_nb_nohier": _C(zero=None, normalize="none", counts=True, smooth={"method": "rts", "hierarchical": False}),
+    "ab_nb_hier": _C(zero=None, normalize="none", counts=True, smooth={"method": "rts", "hierarchical": True, "em_iterations": 80, "ceiling": True}),
+    "ab_nb_nohier": _C(zero=None, normalize="none", counts=True, smooth={"method": "rts", "hierarchical": False, "ceiling": True}),
 }
 SENSITIVITY = {
     "filter": {f"prev_{p:g}": _C(filter={"min_prevalence": p}) for p in (0.05, 0.1, 0.2)},

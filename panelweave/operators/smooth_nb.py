@@ -26,13 +26,16 @@ EM_TOLERANCE = 1e-6
 EM_ITERATIONS = 80
 
 
-def run_filter(x: np.ndarray, lib: np.ndarray, first: np.ndarray, q, phi, dt: np.ndarray, smooth: bool) -> np.ndarray:
+def run_filter(x: np.ndarray, lib: np.ndarray, first: np.ndarray, q, phi, dt: np.ndarray, smooth: bool, ceiling: bool = False) -> np.ndarray:
     """Latent states of series in rows; ``q`` and ``phi`` scalar or per row.
 
     States have a floor and no ceiling: a linearized step from a tiny mean may
     overshoot, up to infinite or undefined states, as the recursion defines it.
+    With ``ceiling`` they stay at most at a share of 1, or at the series' largest
+    observed one if libraries are given smaller than that.
     """
     n, t = x.shape
+    top = np.maximum(0.0, start_states(x, lib).max(axis=1)) if ceiling else np.inf
     z, p, ahead = np.empty((n, t)), np.empty((n, t)), np.empty((n, t))
     z[:, 0], p[:, 0], ahead[:, 0] = first, np.maximum(q, MIN_INNOVATION), 0.0
     phi = np.maximum(phi, MIN_DISPERSION)
@@ -42,7 +45,7 @@ def run_filter(x: np.ndarray, lib: np.ndarray, first: np.ndarray, q, phi, dt: np
             mean = lib[:, k] * np.exp(np.maximum(z[:, k - 1], FLOOR))
             spread = mean * mean * pred + mean + mean * mean / phi
             gain = pred * mean / np.maximum(spread, 1e-300)
-            z[:, k] = z[:, k - 1] + gain * (x[:, k] - mean)
+            z[:, k] = np.minimum(z[:, k - 1] + gain * (x[:, k] - mean), top)
             p[:, k] = (1.0 - gain * mean) * pred
             ahead[:, k] = pred
     if not smooth:
@@ -50,7 +53,7 @@ def run_filter(x: np.ndarray, lib: np.ndarray, first: np.ndarray, q, phi, dt: np
     out = z.copy()
     for k in range(t - 2, -1, -1):
         back = p[:, k] / np.maximum(ahead[:, k + 1], 1e-30)
-        out[:, k] = z[:, k] + back * (out[:, k + 1] - z[:, k])
+        out[:, k] = np.minimum(z[:, k] + back * (out[:, k + 1] - z[:, k]), top)
     return out
 
 
@@ -58,11 +61,11 @@ def start_states(x: np.ndarray, lib: np.ndarray) -> np.ndarray:
     return np.log((x + 0.5) / lib)
 
 
-def fit_feature(x: np.ndarray, lib: np.ndarray, q: float, phi: float, dt: np.ndarray, iterations: int = EM_ITERATIONS) -> tuple[np.ndarray, float, float, int]:
+def fit_feature(x: np.ndarray, lib: np.ndarray, q: float, phi: float, dt: np.ndarray, iterations: int = EM_ITERATIONS, ceiling: bool = False) -> tuple[np.ndarray, float, float, int]:
     """(states, q, phi, rounds) of one feature's series by EM."""
     states, rounds = start_states(x, lib), 0
     for rounds in range(1, iterations + 1):
-        states = np.maximum(run_filter(x, lib, states[:, 0], q, phi, dt, True), FLOOR)
+        states = np.maximum(run_filter(x, lib, states[:, 0], q, phi, dt, True, ceiling), FLOOR)
         new_q = max(float(np.mean(np.diff(states, axis=1) ** 2)) if x.shape[1] > 1 else 0.0, MIN_INNOVATION)
         mean = lib * np.exp(states)
         excess = (x - mean) ** 2 - mean
@@ -103,13 +106,15 @@ def smooth_nb(
     hierarchical: bool = False,
     em_iterations: int = EM_ITERATIONS,
     intervals: list[float] | None = None,
+    ceiling: bool = False,
     value: str = "abundance_value",
 ) -> DataFrame:
     """Smoothed means, same rows as ``long``.
 
     ``library``: (observation, time_index, library_size), by default the
     samples' sums; ``intervals``: time since the previous layer, used to scale
-    the innovation variance (default: 1 everywhere).
+    the innovation variance (default: 1 everywhere); ``ceiling``: see
+    :func:`run_filter`.
     """
     if method not in ("ekf", "rts"):
         raise PanelError("counts are smoothed by ekf or rts")
@@ -134,12 +139,12 @@ def smooth_nb(
         for pdf in batches:
             if len(pdf):
                 x, lib = arrays(pdf)
-                yield finish(pdf, lib, run_filter(x, lib, start_states(x, lib)[:, 0], qratio, dispersion, dt, smooth))
+                yield finish(pdf, lib, run_filter(x, lib, start_states(x, lib)[:, 0], qratio, dispersion, dt, smooth, ceiling))
 
     def feature(pdf: pd.DataFrame) -> pd.DataFrame:
         x, lib = arrays(pdf)
-        states, q, phi, _ = fit_feature(x, lib, qratio, dispersion, dt, em_iterations)
-        return finish(pdf, lib, run_filter(x, lib, states[:, 0], q, phi, dt, smooth))
+        states, q, phi, _ = fit_feature(x, lib, qratio, dispersion, dt, em_iterations, ceiling)
+        return finish(pdf, lib, run_filter(x, lib, states[:, 0], q, phi, dt, smooth, ceiling))
 
     schema = "observation string, feature string, xs array<double>"
     out = series.groupBy("feature").applyInPandas(feature, schema) if hierarchical else series.mapInPandas(each, schema)
