@@ -35,7 +35,7 @@ class Config:
 
 
 _C = Config
-# The negative-binomial arms bound their states: overshooting ones have no synthetic control.
+# The negative-binomial arms bound their states.
 # The ablation variants and sensitivity grids.
 ABLATIONS = {
     "base": _C(),
