@@ -1,18 +1,28 @@
 """Panel archives: ``{dataset}_{version}.tar.gz`` with a manifest and one CSV a layer.
 
 Read as a Spark data source (one input partition per layer, time filters prune
-layers), written by one task per layer plus a streaming tar on the driver.
+layers).  Each layer is written and compressed by one task as a gzip member of its
+own; the driver only strings the members together.  Readers note where gzip
+members begin, so that a layer's task starts at its own; in an archive of a single
+member it has to inflate what stands before.
 """
 
 from __future__ import annotations
 
+import bisect
 import csv
+import gzip
 import io
+import json
 import re
+import shutil
 import tarfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +37,8 @@ MANIFEST = "manifest.txt"
 BLOCKS = ("observation_meta", "time_meta", "file_index")
 _HEADER = re.compile(r"^\[([A-Za-z0-9_]+)\]$")
 _NUMBER = re.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
+#: Bytes per read, and cells per batch given to Spark.
+_CHUNK, _CELLS = 1 << 20, 1 << 16
 _TIME_FIELDS = ("time_identifier", "elapsed_time", "delta_t", "is_intervention_timepoint")
 
 
@@ -139,27 +151,90 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
-def _members(path: str) -> Iterator[tuple[str, io.BufferedIOBase]]:
-    """Members of a tar.gz, streamed; names without folders."""
+class _Inflated(io.RawIOBase):
+    """What a gzip file of one or many members holds, from a member's beginning at ``at``.
+
+    ``starts``: where each member met so far begins, in the inflated bytes and in the file.
+    """
+
+    def __init__(self, stream, at: int):
+        self.stream, self.at, self.out = stream, at, 0
+        self.raw, self.inflate, self.starts = b"", None, []
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while True:
+            ended = not self.raw
+            if ended:
+                self.raw = self.stream.read(_CHUNK)
+                ended = not self.raw
+            if self.inflate is None:
+                kept = self.raw.lstrip(b"\0")  # padding may stand between and after members
+                self.at += len(self.raw) - len(kept)
+                self.raw = kept
+                if ended:
+                    return 0
+                if not kept:
+                    continue
+                self.starts.append((self.out, self.at))
+                self.inflate = zlib.decompressobj(31)
+            try:
+                data = self.inflate.decompress(self.raw, len(buffer))
+            except zlib.error as e:
+                raise PanelError(f"the archive is damaged: {e}") from e
+            rest = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+            self.at += len(self.raw) - len(rest)
+            self.raw = rest
+            if self.inflate.eof:
+                self.inflate = None
+            elif ended and not data:
+                raise PanelError("the archive ends inside a file")
+            if data:
+                buffer[: len(data)] = data
+                self.out += len(data)
+                return len(data)
+
+
+def _members(path: str, place: tuple[int, int] = (0, 0)) -> Iterator[tuple[str, io.BufferedIOBase, tuple[int, int]]]:
+    """(name without folders, content, place) of a tar.gz's files, streamed from a place on.
+
+    A place is where a gzip member begins, and how many inflated bytes stand
+    between it and the file's header.
+    """
     fs, where = filesystem(path)
     try:
-        stream = fs.open_input_stream(where, compression=None)
+        stream = fs.open_input_file(where)
     except FileNotFoundError as e:
         raise PanelError(f"archive {path} does not exist") from e
-    with stream, tarfile.open(fileobj=stream, mode="r|gz") as tar:
-        for m in tar:
-            if m.isfile():
-                yield m.name.rsplit("/", 1)[-1], tar.extractfile(m)
-
-
-def read_metadata(path: str) -> tuple[list[tuple[str, str]], list[tuple], list[str], dict[str, list[str]]]:
-    """Manifest and the header of every layer (one streaming pass)."""
-    text, heads = None, {}
-    for name, f in _members(path):
+    first, skip = place
+    with stream:
+        stream.seek(first)
+        inflated = _Inflated(stream, first)
+        plain = io.BufferedReader(inflated, _CHUNK)
+        left = skip
+        while left:
+            got = len(plain.read(min(left, _CHUNK)))
+            if not got:
+                raise PanelError("the archive ends inside a file")
+            left -= got
+        with tarfile.open(fileobj=plain, mode="r|") as tar:
+            for m in tar:
+                if m.isfile():
+                    at = m.offset + skip
+                    out, begin = inflated.starts[bisect.bisect_right(inflated.starts, at, key=lambda x: x[0]) - 1]
+                    yield m.name.rsplit("/", 1)[-1], tar.extractfile(m), (begin, at - out)
+
+
+def read_metadata(path: str) -> tuple[list[tuple[str, str]], list[tuple], list[str], dict[str, tuple[int, int]]]:
+    """Manifest, checked headers and place of every layer (one streaming pass)."""
+    text, heads, places = None, {}, {}
+    for name, f, place in _members(path):
         if name == MANIFEST:
             text = f.read().decode("utf-8")
         elif name.endswith(".csv"):
-            heads[name] = next(csv.reader([f.readline().decode("utf-8")]), [])
+            heads[name], places[name] = next(csv.reader([f.readline().decode("utf-8")]), []), place
     if text is None:
         raise PanelError(f"archive {path} has no {MANIFEST}")
     observations, layers, files = parse_manifest(text)
@@ -173,18 +248,35 @@ def read_metadata(path: str) -> tuple[list[tuple[str, str]], list[tuple], list[s
     for f in files:
         if heads[f] != first:
             raise PanelError(f"{f} has other columns, or another order, than the first layer")
-    return observations, layers, files, heads
+    return observations, layers, files, places
 
 
-def layer_rows(path: str, layer: tuple, labels: dict[str, str]) -> Iterator[tuple]:
+def layer_batches(path: str, layer: tuple, labels: dict[str, str], place: tuple[int, int] = (0, 0)) -> Iterator[pa.RecordBatch]:
     """Long rows of one layer; the observation set must equal the manifest's."""
     time, elapsed, _, flag = layer
-    for name, f in _members(path):
+
+    def melt(rows: list[list[str]], features: list[str]) -> pa.RecordBatch:
+        n, d = len(rows), len(features)
+        each, many = np.repeat(np.arange(n, dtype=np.int32), d), n * d
+        names = [r[0] for r in rows]
+        values = np.array([list(map(float, r[1:])) for r in rows]).ravel()
+        cols = [
+            pa.array(names, pa.string()).take(pa.array(each)),
+            pa.repeat(pa.scalar(time, pa.string()), many),
+            pa.repeat(pa.scalar(float(elapsed), pa.float64()), many),
+            pa.array(features, pa.string()).take(pa.array(np.tile(np.arange(d, dtype=np.int32), n))),
+            pa.array(values, pa.float64()),
+            pa.array([labels[o] for o in names], pa.string()).take(pa.array(each)),
+            pa.repeat(pa.scalar(bool(flag)), many),
+        ]
+        return pa.RecordBatch.from_arrays(cols, LONG_SCHEMA.names)
+
+    for name, f, _ in _members(path, place):
         if name != f"{time}.csv":
             continue
         rows = csv.reader(line.decode("utf-8") for line in f)
         features = next(rows)[1:]
-        seen = set()
+        seen, held = set(), []
         for row in rows:
             if not row:
                 continue
@@ -192,34 +284,42 @@ def layer_rows(path: str, layer: tuple, labels: dict[str, str]) -> Iterator[tupl
             if obs not in labels or obs in seen or len(row) != len(features) + 1:
                 raise PanelError(f"{name}: observation {obs!r} is unknown, repeated or incomplete")
             seen.add(obs)
-            for feature, v in zip(features, row[1:], strict=True):
-                yield obs, time, elapsed, feature, float(v), labels[obs], flag
+            held.append(row)
+            if len(held) * len(features) >= _CELLS:
+                yield melt(held, features)
+                held = []
+        if held:
+            yield melt(held, features)
         if len(seen) != len(labels):
             raise PanelError(f"{name} lacks {len(labels) - len(seen)} observations")
         return
 
 
 class _Layer(InputPartition):
-    def __init__(self, layer: tuple):
+    def __init__(self, layer: tuple, place: tuple[int, int]):
         super().__init__(layer)
-        self.layer = layer
+        self.layer, self.place = layer, place
 
 
 class _Reader(DataSourceReader):
-    """``manifest``: its text, where the caller has checked the archive already."""
+    """``manifest`` and ``places``: where the caller has checked the archive already."""
 
-    def __init__(self, path: str, manifest: str | None = None):
+    def __init__(self, path: str, manifest: str | None = None, places: str | None = None):
         self.path = path
-        observations, self.layers, _ = parse_manifest(manifest) if manifest else read_metadata(path)[:3]
+        if manifest:
+            observations, self.layers, _ = parse_manifest(manifest)
+            self.places = json.loads(places or "{}")
+        else:
+            observations, self.layers, _, self.places = read_metadata(path)
         self.labels = dict(observations)
         self.wanted: set[str] | None = None
 
     def partitions(self):
-        return [_Layer(x) for x in self.layers if self.wanted is None or x[0] in self.wanted]
+        return [_Layer(x, tuple(self.places.get(f"{x[0]}.csv", (0, 0)))) for x in self.layers if self.wanted is None or x[0] in self.wanted]
 
     def read(self, partition):
         if isinstance(partition, _Layer):
-            yield from layer_rows(self.path, partition.layer, self.labels)
+            yield from layer_batches(self.path, partition.layer, self.labels, partition.place)
 
 
 class _PruningReader(_Reader):
@@ -246,12 +346,12 @@ class PanelArchiveSource(DataSource):
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         prune = self.options.get("prune", "false") == "true"
-        return (_PruningReader if prune else _Reader)(self.options["path"], self.options.get("manifest"))
+        return (_PruningReader if prune else _Reader)(self.options["path"], self.options.get("manifest"), self.options.get("places"))
 
 
 def _checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame, tuple[str, ...]]:
     """(long table, observation metadata, time metadata, labels in order)."""
-    observations, layers, _, _ = read_metadata(path)
+    observations, layers, _, places = read_metadata(path)
     obs = spark.createDataFrame(observations, "observation_id string, label string")
     times = spark.createDataFrame(layers, "time_identifier string, elapsed_time double, delta_t double, is_intervention_timepoint boolean")
     check_metadata(obs, times)
@@ -260,6 +360,7 @@ def _checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Data
     spark.dataSource.register(PanelArchiveSource)
     prune = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     source = spark.read.format("panel_archive").option("prune", prune).option("manifest", write_manifest(observations, layers))
+    source = source.option("places", json.dumps(places))
     return source.load(path), obs, times, tuple(dict.fromkeys(lab for _, lab in observations))
 
 
@@ -276,12 +377,38 @@ def read_panel(spark: SparkSession, path: str) -> Panel:
     return Panel(long.select("observation", "time_index", "feature", "abundance_value"), obs, layers, levels)
 
 
+class _LayerFile:
+    """A layer's CSV as one gzip member, padded to whole tar blocks."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str, features: list[str]):
+        self.path, self.sink = path, fs.open_output_stream(path, compression=None)
+        self.gz = gzip.GzipFile(filename="", mode="wb", fileobj=self.sink, mtime=0)
+        self.text = io.TextIOWrapper(self.gz, encoding="utf-8", newline="")
+        self.write = csv.writer(self.text, lineterminator="\n").writerow
+        self.write(["observation_id", *features])
+
+    def close(self) -> int:
+        """The CSV's size without padding."""
+        self.text.flush()
+        size = self.gz.tell()
+        self.gz.write(bytes(-size % tarfile.BLOCKSIZE))
+        self.text.close()
+        self.sink.close()
+        return size
+
+
+def _tar_header(name: str, size: int) -> bytes:
+    info = tarfile.TarInfo(name)
+    info.size = size
+    return info.tobuf()
+
+
 def write_panel_archive(table: DataFrame, dataset: str, version: str, out_dir: str, comments: list[str] | tuple[str, ...] = (), validate: bool = True) -> str:
     """Write the seven-column long table; returns the archive's path.
 
-    Each layer's CSV is written by one task from rows sorted by observation,
-    in bounded memory, into a folder beside the archive; the driver then
-    streams the files into the tar.
+    Each layer's CSV is written and compressed by one task from rows sorted by
+    observation, in bounded memory, into a folder beside the archive; the driver
+    then copies the files, as they are, between the tar's headers.
     """
     if validate:
         from ..operators.validate import validate_long
@@ -299,35 +426,35 @@ def write_panel_archive(table: DataFrame, dataset: str, version: str, out_dir: s
     wide = cells.selectExpr("time_identifier", "observation", "transform(cells, c -> c.abundance_value) xs")
     wide = wide.repartition(len(layers), "time_identifier").sortWithinPartitions("time_identifier", "observation")
 
-    def run(rows: Iterator) -> Iterator[tuple[str, str]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = filesystem(out_dir)
-        name = out = writer = path = None
-        for r in rows:
-            if r.time_identifier != name:
-                if out is not None:
-                    out.close()
-                    yield name, path
-                name, path = r.time_identifier, f"{folder}/{uuid.uuid4().hex}.csv"
-                out = io.TextIOWrapper(fs.open_output_stream(path, compression=None), encoding="utf-8", newline="")
-                writer = csv.writer(out, lineterminator="\n")
-                writer.writerow(["observation_id", *features])
-            writer.writerow([r.observation, *map(format_number, r.xs)])
+        name = out = None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"name": [name], "size": [out.close()], "path": [out.path]})
+
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                for r in b.slice(at, 256).to_pylist():
+                    if r["time_identifier"] != name:
+                        if out is not None:
+                            yield done()
+                        name, out = r["time_identifier"], _LayerFile(fs, f"{folder}/{uuid.uuid4().hex}", features)
+                    out.write([r["observation"], *map(format_number, r["xs"])])
         if out is not None:
-            out.close()
-            yield name, path
+            yield done()
 
-    written = dict(wide.rdd.mapPartitions(run).collect())  # one entry a layer
+    written = {r.name: r for r in wide.mapInArrow(run, "name string, size bigint, path string").collect()}  # one row a layer
     target = f"{root}/{dataset}_{version}.tar.gz"
-    with fs.open_output_stream(target, compression=None) as sink, tarfile.open(fileobj=sink, mode="w|gz") as tar:
+    with fs.open_output_stream(target, compression=None) as sink:
         text = write_manifest(observations, layers, comments).encode()
-        info = tarfile.TarInfo(MANIFEST)
-        info.size = len(text)
-        tar.addfile(info, io.BytesIO(text))
+        sink.write(gzip.compress(_tar_header(MANIFEST, len(text)) + text + bytes(-len(text) % tarfile.BLOCKSIZE), mtime=0))
         for layer in layers:
-            info = tarfile.TarInfo(f"{layer[0]}.csv")
-            info.size = fs.get_file_info(written[layer[0]]).size
-            with fs.open_input_stream(written[layer[0]], compression=None) as f:
-                tar.addfile(info, f)
+            done = written[layer[0]]
+            sink.write(gzip.compress(_tar_header(f"{layer[0]}.csv", done.size), mtime=0))
+            with fs.open_input_stream(done.path, compression=None) as f:
+                shutil.copyfileobj(f, sink, _CHUNK)
+        sink.write(gzip.compress(bytes(2 * tarfile.BLOCKSIZE), mtime=0))
     fs.delete_dir(folder)
     return target if "://" not in out_dir else f"{out_dir.rstrip('/')}/{dataset}_{version}.tar.gz"
 

@@ -121,6 +121,32 @@ def test_default_panel_round_trip(spark, tmp_path):
     assert np.allclose(got.sum(axis=1), 1)
 
 
+def test_layers_are_members_of_their_own(spark, tmp_path):
+    """A layer's task starts at its own gzip member; other tools read the whole file."""
+    rows = default_rows(n=6, d=5, t=4)
+    path = archive.write_panel_archive(frame(spark, rows), "d", "v1", str(tmp_path))
+    with tarfile.open(path, "r:gz") as tar:
+        names = tar.getnames()
+        first = tar.extractfile("time_001.csv").read().decode().splitlines()
+    assert names == ["manifest.txt", *(f"time_{k:03d}.csv" for k in range(1, 5))]
+    assert len(first) == 7 and first[0] == "observation_id," + ",".join(sorted({r[3] for r in rows}))
+    observations, layers, files, places = archive.read_metadata(path)
+    begins = [places[f][0] for f in files]
+    assert begins == sorted(set(begins)) and begins[0] > 0 and all(places[f][1] == 0 for f in files)
+    head = tmp_path / "head.tar.gz"
+    data = open(path, "rb").read()
+    head.write_bytes(bytes(begins[2]) + data[begins[2] :])  # nothing before the third layer is needed
+    got = [b.num_rows for b in archive.layer_batches(str(head), layers[2], dict(observations), places[files[2]])]
+    assert sum(got) == 30
+    cut = tmp_path / "cut.tar.gz"
+    cut.write_bytes(data[: begins[3] + 40])
+    with pytest.raises(Exception, match="ends|end of"):
+        list(archive.layer_batches(str(cut), layers[3], dict(observations), places[files[3]]))
+    (tmp_path / "bad.tar.gz").write_bytes(data[:40] + b"xxxx" + data[44:])
+    with pytest.raises(PanelError, match="damaged"):
+        archive.read_metadata(str(tmp_path / "bad.tar.gz"))
+
+
 def test_writer_validates(spark, tmp_path):
     with pytest.raises(PanelError):
         archive.write_panel_archive(frame(spark, default_rows()[:-1]), "d", "v1", str(tmp_path))
