@@ -4,8 +4,9 @@ Latent log relative abundance follows a random walk; counts have mean
 ``library * exp(z)`` and negative-binomial variance.  With fixed parameters each
 series is on its own: one Arrow pass, numpy over a batch of series.  The
 hierarchical variant shares the innovation variance and dispersion inside a
-feature and alternates smoothing and moment updates there, so a feature is one
-group (observations x layers doubles in one task).
+feature and alternates smoothing and moment updates.  A feature of at most
+``TASK_CELLS`` cells is fitted by one task; for larger ones every round is one pass
+over the series where they lie, and the driver sums up their moments.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import remove_table, write_table
 from .panel import Panel, PanelError, from_series
 
 FLOOR = -16.0
@@ -24,6 +26,8 @@ MIN_DISPERSION, MAX_DISPERSION = 1e-4, 1e3
 MIN_INNOVATION = 1e-6
 EM_TOLERANCE = 1e-6
 EM_ITERATIONS = 80
+#: Cells (series x layers) of a feature that one task fits by itself.
+TASK_CELLS = 1 << 22
 
 
 def run_filter(x: np.ndarray, lib: np.ndarray, first: np.ndarray, q, phi, dt: np.ndarray, smooth: bool, ceiling: bool = False) -> np.ndarray:
@@ -61,21 +65,28 @@ def start_states(x: np.ndarray, lib: np.ndarray) -> np.ndarray:
     return np.log((x + 0.5) / lib)
 
 
+def moments(x: np.ndarray, lib: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """Per series what the parameters are updated by: squared steps, and the two sums of the dispersion."""
+    mean = lib * np.exp(states)
+    excess = (x - mean) ** 2 - mean
+    use = (mean > 0) & (excess > 0)
+    share = np.divide(mean**3, excess, out=np.zeros_like(mean), where=use)
+    return np.stack([(np.diff(states, axis=1) ** 2).sum(axis=1), share.sum(axis=1), np.where(use, mean * mean, 0.0).sum(axis=1)])
+
+
+def update(q: float, phi: float, sums: np.ndarray, steps: int) -> tuple[float, float, float]:
+    """(new q, new phi, larger relative change) from a feature's moments over ``steps`` steps."""
+    new_q = max(float(sums[0]) / steps if steps else 0.0, MIN_INNOVATION)
+    new_phi = float(np.clip(sums[1] / sums[2], MIN_DISPERSION, MAX_DISPERSION)) if sums[2] != 0 else phi
+    return new_q, new_phi, max(abs(new_q - q) / max(q, 1e-30), abs(new_phi - phi) / max(phi, 1e-30))
+
+
 def fit_feature(x: np.ndarray, lib: np.ndarray, q: float, phi: float, dt: np.ndarray, iterations: int = EM_ITERATIONS, ceiling: bool = False) -> tuple[np.ndarray, float, float, int]:
     """(states, q, phi, rounds) of one feature's series by EM."""
     states, rounds = start_states(x, lib), 0
     for rounds in range(1, iterations + 1):
         states = np.maximum(run_filter(x, lib, states[:, 0], q, phi, dt, True, ceiling), FLOOR)
-        new_q = max(float(np.mean(np.diff(states, axis=1) ** 2)) if x.shape[1] > 1 else 0.0, MIN_INNOVATION)
-        mean = lib * np.exp(states)
-        excess = (x - mean) ** 2 - mean
-        use = (mean > 0) & (excess > 0)
-        new_phi = phi
-        if use.any():
-            m = mean[use]
-            new_phi = float(np.clip((m**3 / excess[use]).sum() / (m * m).sum(), MIN_DISPERSION, MAX_DISPERSION))
-        change = max(abs(new_q - q) / max(q, 1e-30), abs(new_phi - phi) / max(phi, 1e-30))
-        q, phi = new_q, new_phi
+        q, phi, change = update(q, phi, moments(x, lib, states).sum(axis=1), states[:, 1:].size)
         if change < EM_TOLERANCE:
             break
     return states, q, phi, rounds
@@ -108,6 +119,7 @@ def smooth_nb(
     intervals: list[float] | None = None,
     ceiling: bool = False,
     value: str = "abundance_value",
+    task_cells: int = TASK_CELLS,
 ) -> DataFrame:
     """Smoothed means, same rows as ``long``.
 
@@ -146,6 +158,59 @@ def smooth_nb(
         states, q, phi, _ = fit_feature(x, lib, qratio, dispersion, dt, em_iterations, ceiling)
         return finish(pdf, lib, run_filter(x, lib, states[:, 0], q, phi, dt, smooth, ceiling))
 
+    def rounds(large: DataFrame, sizes: dict[str, int]) -> DataFrame:
+        """EM of features too large for a task: a table of series and first states a round."""
+        spark, values = large.sparkSession, {f: (qratio, dispersion) for f in sizes}
+        columns = "observation string, feature string, xs array<double>, ls array<double>, z double, step double, top double, base double"
+        names = [c.split()[0] for c in columns.split(", ")]
+        now, path = write_table(large.selectExpr("observation", "feature", "xs", "ls", "cast(null as double) z", "0D step", "0D top", "0D base"), "nb-series")
+        open_ = set(sizes)
+
+        def first_of(pdf: pd.DataFrame, x: np.ndarray, lib: np.ndarray) -> np.ndarray:
+            z = pdf["z"].to_numpy(float)
+            return np.where(np.isnan(z), start_states(x, lib)[:, 0], z)
+
+        def parameters(pdf: pd.DataFrame, values: dict) -> np.ndarray:
+            return np.array([values[f] for f in pdf["feature"]]).T
+
+        for _ in range(em_iterations):
+
+            def one(batches: Iterator[pd.DataFrame], values=dict(values), running=frozenset(open_)) -> Iterator[pd.DataFrame]:
+                for pdf in batches:
+                    on = pdf["feature"].isin(running).to_numpy()
+                    if on.any():
+                        part = pdf[on]
+                        x, lib = arrays(part)
+                        q, phi = parameters(part, values)
+                        states = np.maximum(run_filter(x, lib, first_of(part, x, lib), q, phi, dt, True, ceiling), FLOOR)
+                        pdf.loc[on, ["z", "step", "top", "base"]] = np.vstack([states[:, :1].T, moments(x, lib, states)]).T
+                    yield pdf[names]
+
+            before = path
+            now, path = write_table(now.mapInPandas(one, columns), "nb-series")
+            remove_table(spark, before)
+            for r in now.where(F.col("feature").isin(sorted(open_))).groupBy("feature").agg(*(F.sum(c).alias(c) for c in names[-3:])).collect():
+                q, phi, change = update(*values[r.feature], np.array([r.step, r.top, r.base]), sizes[r.feature] * (n_layers - 1))
+                values[r.feature] = q, phi
+                if change < EM_TOLERANCE:
+                    open_.discard(r.feature)
+            if not open_:
+                break
+
+        def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    x, lib = arrays(pdf)
+                    yield finish(pdf, lib, run_filter(x, lib, first_of(pdf, x, lib), *parameters(pdf, values), dt, smooth, ceiling))
+
+        return now.mapInPandas(last, schema)
+
     schema = "observation string, feature string, xs array<double>"
-    out = series.groupBy("feature").applyInPandas(feature, schema) if hierarchical else series.mapInPandas(each, schema)
-    return from_series(out, value)
+    if not hierarchical:
+        return from_series(series.mapInPandas(each, schema), value)
+    found = long.groupBy("feature").count().where(F.col("count") > task_cells).collect()  # at most cells / task_cells rows
+    sizes = {r.feature: r["count"] // n_layers for r in found}
+    large = F.col("feature").isin(sorted(sizes))
+    small = series.where(~large) if sizes else series
+    out = small.groupBy("feature").applyInPandas(feature, schema)
+    return from_series(out.unionAll(rounds(series.where(large), sizes)) if sizes else out, value)

@@ -6,13 +6,13 @@ zero into zero.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bh_adjust, bh_adjust_large
+from ..functions.shared import shared_folder
 from ..operators import causal, experiments, inference, metrics, panel, preprocess, scm, simulate, smooth, smooth_nb, validate
 from ..sources import archive
 from . import panels
@@ -585,12 +585,7 @@ def scm_placebo(spark, d):
 # --------------------------------------------------------------------------- #
 @_query("archive_round_trip", f"with {panels.E_SQL}{_T_SQL} select * replace ({_sql_r('abundance_value')} as abundance_value) from t")
 def archive_round_trip(spark, d):
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="panelweave-archive-")
-    path = archive.write_panel_archive(panels.e_table(spark, d), "events", "v1", f"{root.rstrip('/')}/panelweave-archives")
+    path = archive.write_panel_archive(panels.e_table(spark, d), "events", "v1", f"{shared_folder(spark)}/panelweave-archives")
     return archive.read_panel_table(spark, path).withColumn("abundance_value", _r("abundance_value"))
 
 

@@ -204,3 +204,19 @@ def test_negative_binomial_em_on_the_cluster(spark):
     assert np.allclose(cube_of(out, x.shape), want)
     with pytest.raises(PanelError):
         smooth_nb.smooth_nb(df, 5, "ewma")
+
+
+@pytest.mark.parametrize("method", ["ekf", "rts"])
+def test_negative_binomial_em_of_large_features(spark, method):
+    """Rounds over the series where they lie give what one task gives, feature by feature."""
+    rng = np.random.default_rng(7)
+    cube = rng.poisson(30 * np.exp(rng.normal(0, 0.4, (3, 9, 5)).cumsum(axis=2))).astype(float) + 1
+    rows = [(f"o{i}", k + 1, f"f{j}", float(cube[j, i, k])) for j in range(3) for i in range(9 if j < 2 else 2) for k in range(5)]
+    df = spark.createDataFrame(rows, "observation string, time_index int, feature string, abundance_value double").repartition(3)
+    key = lambda r: (r.feature, r.observation, r.time_index)
+    lib = spark.createDataFrame([(f"o{i}", k + 1, 500.0 + i) for i in range(9) for k in range(5)], "observation string, time_index int, library_size double")
+    got, want = (
+        sorted(smooth_nb.smooth_nb(df, 5, method, library=lib, hierarchical=True, em_iterations=12, task_cells=n).collect(), key=key) for n in (10, 45)
+    )
+    assert list(map(key, got)) == list(map(key, want)) and len(got) == 100
+    assert np.allclose([r.abundance_value for r in got], [r.abundance_value for r in want], rtol=1e-9)
