@@ -648,8 +648,8 @@ def _grid_query(name: str, configs: dict[str, experiments.Config], method: str,
 
 
 _grid_query("ablation_grid", experiments.ABLATIONS, "scm")
-_grid_query("sensitivity_zero", experiments.SENSITIVITY["zero"], "did")
-_grid_query("sensitivity_normalize", experiments.SENSITIVITY["normalize"], "did")
-_grid_query("sensitivity_filter", experiments.SENSITIVITY["filter"], "did")
-_grid_query("sensitivity_band", experiments.SENSITIVITY["band"], "did")
+_grid_query("sensitivity_zero", experiments.SENSITIVITY["zero"], "scm")
+_grid_query("sensitivity_normalize", experiments.SENSITIVITY["normalize"], "scm")
+_grid_query("sensitivity_filter", experiments.SENSITIVITY["filter"], "scm")
+_grid_query("sensitivity_band", experiments.SENSITIVITY["band"], "scm")
 _grid_query("sensitivity_bootstrap", experiments.SENSITIVITY["bootstrap"], "did", bootstrap=True)

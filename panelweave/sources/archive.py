@@ -14,6 +14,7 @@ import csv
 import gzip
 import io
 import json
+import os
 import re
 import shutil
 import tarfile
@@ -407,9 +408,28 @@ def write_panel_archive(table: DataFrame, dataset: str, version: str, out_dir: s
     """Write the seven-column long table; returns the archive's path.
 
     Each layer's CSV is written and compressed by one task from rows sorted by
-    observation, in bounded memory, into a folder beside the archive; the driver
-    then copies the files, as they are, between the tar's headers.
+    observation, in bounded memory, into a folder beside the archive, where the
+    table itself is kept meanwhile; the driver then copies the files, as they are,
+    between the tar's headers.
     """
+    fs, root = filesystem(out_dir)
+    fs.create_dir(root, recursive=True)
+    name = f".layers-{uuid.uuid4().hex}"
+    folder = f"{root}/{name}"
+    fs.create_dir(folder, recursive=True)
+    where = out_dir if re.match("[a-z0-9]+:", out_dir) else "file://" + os.path.abspath(out_dir)
+    try:
+        _write(table, dataset, version, f"{where.rstrip('/')}/{name}/table", out_dir, folder, comments, validate)
+    finally:
+        fs.delete_dir(folder)
+    target = f"{dataset}_{version}.tar.gz"
+    return f"{out_dir.rstrip('/')}/{target}" if "://" in out_dir else f"{root}/{target}"
+
+
+def _write(table: DataFrame, dataset: str, version: str, staged: str, out_dir: str, folder: str, comments: list[str] | tuple[str, ...], validate: bool) -> None:
+    """Checks, metadata and layers read the table as ``staged``, so that its plan runs once."""
+    table.write.parquet(staged)
+    table = table.sparkSession.read.schema(table.schema).parquet(staged)
     if validate:
         from ..operators.validate import validate_long
 
@@ -419,9 +439,6 @@ def write_panel_archive(table: DataFrame, dataset: str, version: str, out_dir: s
     layers = [tuple(r) for r in panel.time_meta.orderBy("time_index").select(*_TIME_FIELDS).collect()]
     observations = [tuple(r) for r in panel.observation_meta.orderBy("observation_id").collect()]
     fs, root = filesystem(out_dir)
-    fs.create_dir(root, recursive=True)
-    folder = f"{root}/.layers-{uuid.uuid4().hex}"
-    fs.create_dir(folder, recursive=True)
     cells = table.groupBy("time_identifier", "observation").agg(F.sort_array(F.collect_list(F.struct("feature", "abundance_value"))).alias("cells"))
     wide = cells.selectExpr("time_identifier", "observation", "transform(cells, c -> c.abundance_value) xs")
     wide = wide.repartition(len(layers), "time_identifier").sortWithinPartitions("time_identifier", "observation")
@@ -455,8 +472,6 @@ def write_panel_archive(table: DataFrame, dataset: str, version: str, out_dir: s
             with fs.open_input_stream(done.path, compression=None) as f:
                 shutil.copyfileobj(f, sink, _CHUNK)
         sink.write(gzip.compress(bytes(2 * tarfile.BLOCKSIZE), mtime=0))
-    fs.delete_dir(folder)
-    return target if "://" not in out_dir else f"{out_dir.rstrip('/')}/{dataset}_{version}.tar.gz"
 
 
 def observation_meta_of(spark: SparkSession, x: Panel | DataFrame | str | list[str]) -> DataFrame:
