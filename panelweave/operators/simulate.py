@@ -1,15 +1,18 @@
-"""Simulated count panels with known effects, one task per (dataset, replicate).
+"""Simulated count panels with known effects, in tasks of some subjects of a replicate.
 
 Latent log-ratio states are a baseline per series, a linear drift, AR(1) noise
 whose innovation grows with the time step, and an effect on chosen features of
 treated units from the onset on; softmax with structural zeros gives the true
 composition, negative-binomial counts the observations.  Every replicate has
-its own seed, and its own truth is returned with it.
+its own seed, and its own truth is returned with it.  Each quantity is drawn from a
+stream of its own, keyed by (seed, quantity, subject), so that any subject can be
+made by itself, in any order and in any task.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import enum
 import hashlib
 import json
 from collections.abc import Iterator
@@ -71,55 +74,102 @@ SCENARIOS = {
 }
 
 
-def simulate(s: Scenario, seed: int) -> dict[str, np.ndarray]:
-    """Counts (n, features, layers), true composition, states and effects."""
-    rng = np.random.default_rng(seed)
-    n, d, t = s.n, s.features, len(s.times)
-    times = np.asarray(s.times, float)
-    treated = np.arange(n) < s.n_treated
-    phi = rng.uniform(*s.phi_range, d)
-    base, drift = rng.normal(0, s.baseline_sd, (n, d)), rng.normal(0, s.trend_sd, (n, d))
-    absent = rng.random((n, d)) < s.zero_prob
-    if s.twin:
-        twin = rng.choice(np.flatnonzero(~treated), s.n_treated)
-        base[treated], drift[treated] = base[twin], drift[twin]
-    share = (times - times[0]) / max(times[-1] - times[0], 1e-12)
-    step = s.innov_sd * np.sqrt(np.concatenate([[1.0], np.diff(times)]) / s.ref_dt)
-    noise = rng.normal(0, 1, (n, d, t)) * step
-    for k in range(1, t):
-        noise[..., k] += s.rho * noise[..., k - 1]
-    state = base[..., None] + drift[..., None] * share + noise
-    state[treated] += s.trend_diff * share
-    effect = np.zeros(d)
+class Stream(enum.IntEnum):
+    """What is drawn; those of the replicate as a whole come first."""
+
+    DISPERSION = 0
+    EFFECT = 1
+    TWIN = 2
+    BASELINE = 3
+    DRIFT = 4
+    ABSENCE = 5
+    NOISE = 6
+    RESPONSE = 7
+    DEPTH = 8
+    COUNT = 9
+
+
+def _draw(seed: int, stream: Stream, subject: int = 0) -> np.random.Generator:
+    return np.random.default_rng([seed, stream, subject])
+
+
+def effects_of(s: Scenario, seed: int) -> np.ndarray:
+    """The replicate's log-ratio effect on each feature."""
+    effect, rng = np.zeros(s.features), _draw(seed, Stream.EFFECT)
     if s.effect_size:
-        chosen = np.sort(rng.choice(d, min(s.n_effect, d), replace=False))
-        effect[chosen] = s.effect_size * rng.choice([-1.0, 1.0], len(chosen))
-    factor = 1 + s.hetero * rng.normal(0, 1, s.n_treated)
-    state[treated, :, s.t0 - 1 :] += (factor[:, None] * effect)[..., None]
-    relab = np.exp(state - state.max(axis=1, keepdims=True))
-    relab[absent] = 0.0
-    total = relab.sum(axis=1, keepdims=True)
-    relab = relab / np.where(total == 0, 1, total)
-    depth = rng.lognormal(np.log(s.depth), s.depth_cv, (n, 1, t))
-    mean = relab * depth
-    size = phi[None, :, None]
-    counts = rng.negative_binomial(np.broadcast_to(size, mean.shape), size / (size + mean))
-    return {"counts": counts, "relab": relab, "state": state, "depth": depth[:, 0], "effect": effect, "treated": treated, "phi": phi}
+        chosen = rng.permutation(s.features)[: s.n_effect]
+        effect[chosen] = np.where(rng.random(len(chosen)) < 0.5, -s.effect_size, s.effect_size)
+    return effect
 
 
+def dispersions_of(s: Scenario, seed: int) -> np.ndarray:
+    return _draw(seed, Stream.DISPERSION).uniform(*s.phi_range, s.features)
+
+
+def latent(s: Scenario, seed: int, subject: int) -> np.ndarray:
+    """A subject's states (features x layers); subjects below ``n_treated`` are treated.
+
+    With ``twin`` a treated subject has the baseline and drift of a control.
+    """
+    times = np.asarray(s.times, float)
+    layer = np.arange(len(times))
+    treated = subject < s.n_treated
+    like = int(_draw(seed, Stream.TWIN, subject).integers(s.n_treated, s.n)) if s.twin and treated else subject
+    baseline = _draw(seed, Stream.BASELINE, like).normal(0, s.baseline_sd, s.features)
+    slope = _draw(seed, Stream.DRIFT, like).normal(0, s.trend_sd, s.features) + (s.trend_diff if treated else 0.0)
+    elapsed = (times - times[0]) / max(np.ptp(times), 1e-12)
+    # AR(1) from rest: what is left at layer k of the innovation at layer j
+    lag = layer[:, None] - layer
+    carried = np.where(lag >= 0, s.rho ** np.maximum(lag, 0), 0.0)
+    innovation_sd = s.innov_sd * np.sqrt(np.diff(times, prepend=times[0] - 1) / s.ref_dt)
+    innovations = _draw(seed, Stream.NOISE, subject).normal(size=(s.features, len(times))) * innovation_sd
+    states = baseline[:, None] + np.outer(slope, elapsed) + innovations @ carried.T
+    if treated:
+        response = 1 + s.hetero * _draw(seed, Stream.RESPONSE, subject).normal()
+        states += np.outer(response * effects_of(s, seed), layer >= s.t0 - 1)
+    return states
+
+
+def observe(s: Scenario, seed: int, subject: int) -> dict[str, np.ndarray]:
+    """A subject's states, true composition, depths and counts."""
+    states = latent(s, seed, subject)
+    present = _draw(seed, Stream.ABSENCE, subject).random(s.features) >= s.zero_prob
+    weight = np.exp(states - states.max(axis=0)) * present[:, None]
+    relab = weight / np.where(present.any(), weight.sum(axis=0), 1.0)
+    depth = _draw(seed, Stream.DEPTH, subject).lognormal(np.log(s.depth), s.depth_cv, states.shape[1])
+    size = dispersions_of(s, seed)[:, None]
+    # a negative binomial is a Poisson whose rate is gamma distributed
+    rng = _draw(seed, Stream.COUNT, subject)
+    counts = rng.poisson(rng.gamma(size, relab * depth / size))
+    return {"state": states, "relab": relab, "depth": depth, "counts": counts}
+
+
+def simulate(s: Scenario, seed: int, subjects: range | None = None) -> dict[str, np.ndarray]:
+    """Stacked over all subjects, or some: states, true composition, depths, counts; and the replicate's effects."""
+    who = range(s.n) if subjects is None else subjects
+    each = [observe(s, seed, i) for i in who]
+    out = {k: np.stack([e[k] for e in each]) for k in each[0]}
+    return out | {"treated": np.array([i < s.n_treated for i in who]), "effect": effects_of(s, seed), "phi": dispersions_of(s, seed)}
+
+
+#: Subjects of a replicate that one row of the grid stands for.
+SUBJECTS = 64
+
 LONG = "dataset string, rep int, observation string, time_index int, elapsed_time double, feature string, raw double, relab double, is_treated boolean, t0 int"
 TRUTH = "dataset string, rep int, feature string, effect double, effect_size double, t0 int, seed bigint, md5 string"
 
 
-def _grid(spark: SparkSession, names: list[str] | None, replicates: int, seed: int, scenarios: dict[str, Scenario] | None) -> DataFrame:
+def _grid(spark: SparkSession, names: list[str] | None, replicates: int, seed: int, scenarios: dict[str, Scenario] | None, subjects: int | None = None) -> DataFrame:
+    """A row for each replicate, or for each ``subjects`` subjects of one."""
     known = SCENARIOS if scenarios is None else scenarios
     rows = []
     for k, name in enumerate(known, 1):
         if names is None or name in names:
-            spec = json.dumps(dataclasses.asdict(known[name]))
-            rows += [(name, r, seed + k * 100_000 + r, spec) for r in range(1, replicates + 1)]
-    grid = spark.createDataFrame(rows, "dataset string, rep int, seed bigint, spec string")
-    return grid.repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)), "dataset", "rep")
+            spec, n = json.dumps(dataclasses.asdict(known[name])), known[name].n
+            for r in range(1, replicates + 1):
+                rows += [(name, r, seed + k * 100_000 + r, spec, lo, min(n, lo + (subjects or n))) for lo in range(0, n, subjects or n)]
+    grid = spark.createDataFrame(rows, "dataset string, rep int, seed bigint, spec string, first int, beyond int")
+    return grid.repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)), "dataset", "rep", "first")
 
 
 def _scenario(spec: str) -> Scenario:
@@ -134,14 +184,14 @@ def generate(spark: SparkSession, names: list[str] | None = None, replicates: in
         for pdf in batches:
             for r in pdf.itertuples():
                 s = _scenario(r.spec)
-                out = simulate(s, r.seed)
+                out = simulate(s, r.seed, range(r.first, r.beyond))
                 n, d, t = out["counts"].shape
                 i, f, k = (x.ravel() for x in np.meshgrid(range(n), range(d), range(t), indexing="ij"))
                 yield pd.DataFrame(
                     {
                         "dataset": r.dataset,
                         "rep": r.rep,
-                        "observation": np.array([f"subject_{x + 1:03d}" for x in range(n)])[i],
+                        "observation": np.array([f"subject_{x + 1:03d}" for x in range(r.first, r.beyond)])[i],
                         "time_index": k + 1,
                         "elapsed_time": np.asarray(s.times, float)[k],
                         "feature": np.array([f"taxa_{x + 1:03d}" for x in range(d)])[f],
@@ -152,7 +202,7 @@ def generate(spark: SparkSession, names: list[str] | None = None, replicates: in
                     }
                 )
 
-    return _grid(spark, names, replicates, seed, scenarios).mapInPandas(run, LONG)
+    return _grid(spark, names, replicates, seed, scenarios, SUBJECTS).mapInPandas(run, LONG)
 
 
 def truth(spark: SparkSession, names: list[str] | None = None, replicates: int = 30, seed: int = 20260918, scenarios: dict[str, Scenario] | None = None) -> DataFrame:

@@ -271,6 +271,30 @@ def test_simulate_is_seeded_and_shaped(spark):
     assert probe["A9"].zero_share > probe["A1"].zero_share
 
 
+def test_any_subject_can_be_made_by_itself(spark):
+    s = simulate.Scenario(n=70, n_treated=20, features=8, trend_diff=0.3, hetero=0.5, twin=True)
+    whole = simulate.simulate(s, 11)
+    for part in (range(0, 5), range(18, 23), range(69, 70)):
+        some = simulate.simulate(s, 11, part)
+        for k in ("state", "relab", "depth", "counts", "treated"):
+            assert np.array_equal(some[k], whole[k][part.start : part.stop]), k
+    long = simulate.generate(spark, ["S"], 1, seed=11 - 100_001, scenarios={"S": s})  # replicate 1 of the first scenario has seed 11
+    counts = {(r.observation, r.feature, r.time_index): r.raw for r in long.collect()}
+    assert len(counts) == 70 * 8 * 5 and long.rdd.getNumPartitions() > 1
+    assert all(counts[f"subject_{i + 1:03d}", f"taxa_{j + 1:03d}", k + 1] == whole["counts"][i, j, k] for i in range(70) for j in range(8) for k in range(5))
+
+
+def test_noise_is_autoregressive_and_grows_with_the_step():
+    s = simulate.Scenario(n=400, n_treated=1, features=30, times=(0, 7, 35), t0=2, effect_size=0.0, baseline_sd=0.0, trend_sd=0.0, innov_sd=0.5, rho=0.6)
+    z = simulate.simulate(s, 3)["state"][1:]
+    sd = [0.5 * np.sqrt(dt / 7) for dt in (1, 7, 28)]
+    want = [sd[0] ** 2]
+    for v in sd[1:]:
+        want.append(0.36 * want[-1] + v * v)
+    assert np.allclose(z.var(axis=(0, 1)), want, rtol=0.06)
+    assert (z[..., 1] * z[..., 0]).mean() / want[0] == pytest.approx(0.6, abs=0.1)
+
+
 def test_simulated_zeros_and_noise_follow_their_parameters():
     s = simulate.Scenario(n=300, n_treated=100, features=30, zero_prob=0.3, effect_size=0.0, innov_sd=0.0, trend_sd=0.0, baseline_sd=1.0)
     out = simulate.simulate(s, 1)
@@ -312,7 +336,12 @@ def test_truth_table_and_archive_table(spark, tmp_path):
     table = simulate.panel_table(simulate.generate(spark, ["A1"], 1), "A1", 1)
     validate.validate_long(table)
     path = archive.write_panel_archive(table, "A1_rep01", "v1", str(tmp_path))
-    assert {r.result for r in archive.verify_archive(spark, path, table).collect()} == {"PASS"}
+    one = rows["A1", 1]
+    truth = {"effect_taxa": ";".join(one.effect_features), "effect_signs": ";".join(map(str, one.effect_signs)), "n_effect_taxa": one.n_effect, "effect_size": one.effect_size}
+    checks = {r.check: r.result for r in archive.verify_archive(spark, path, table, truth, archive.fingerprint(table)).collect()}
+    assert set(checks.values()) == {"PASS"}, checks
+    bare = {r.check: r.result for r in archive.verify_archive(spark, path, table).collect()}
+    assert {k for k, v in bare.items() if v != "PASS"} == {"effect_taxa", "effect_signs", "effect_size", "fingerprint", "authentic"}
 
 
 def test_grids_treat_replicates_as_separate_panels(spark):
