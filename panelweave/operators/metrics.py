@@ -17,8 +17,10 @@ def summarize(estimates: DataFrame, truth: DataFrame, by: tuple[str, ...] = ("da
 
     ``estimates``: dataset, rep, feature, estimate, fdr and optionally
     placebo_fdr, pre_rmse, pre_snr, weight_sum, n_kept (averaged); ``truth``: dataset, rep, feature, effect - each replicate is
-    scored against its own effects.
+    scored against its own effects.  An estimate that is NaN counts as missing:
+    in ``n_est`` but in no average.
     """
+    estimates = estimates.withColumn("estimate", F.when(~F.isnan("estimate"), F.col("estimate")))
     both = estimates.join(truth.select("dataset", "rep", "feature", "effect"), ["dataset", "rep", "feature"])
     if "placebo_fdr" not in both.columns:
         both = both.withColumn("placebo_fdr", F.lit(None).cast("double"))

@@ -19,6 +19,8 @@ from .panel import PanelError
 
 CONSTRAINTS = ("nnls", "simplex")
 SNR_EPS = 1e-10
+#: Values beyond this are scaled before a fit, as their products would overflow.
+HUGE = 1e100
 #: Least number of units that a task fits for a feature.
 BLOCK = 64
 
@@ -127,8 +129,19 @@ def kkt_residual(a: np.ndarray, b: np.ndarray, w: np.ndarray, constraint: str) -
 
 
 def fit_unit(donors: np.ndarray, unit: np.ndarray, t0: int, constraint: str, offset: bool) -> tuple[np.ndarray, float, np.ndarray]:
-    """(weights, offset, gaps of all layers); donors x layers, layers."""
+    """(weights, offset, gaps of all layers); donors x layers, layers.
+
+    Where a value before the onset is not finite there is no fit: all are NaN.
+    """
     pre_d, pre_u = donors[:, : t0 - 1], unit[: t0 - 1]
+    if not (np.isfinite(pre_d).all() and np.isfinite(pre_u).all()):
+        return np.full(len(donors), np.nan), np.nan, np.full(len(unit), np.nan)
+    peak = max(float(np.abs(pre_d).max(initial=0.0)), float(np.abs(pre_u).max(initial=0.0)))
+    if peak > HUGE:  # the weights are those of the values scaled down; a power of two keeps digits
+        scale = 2.0 ** -np.frexp(peak)[1]
+        w, mu, _ = fit_unit(donors[:, : t0 - 1] * scale, pre_u * scale, t0, constraint, offset)
+        with np.errstate(over="ignore", invalid="ignore"):
+            return w, mu / scale, unit - w @ donors - mu / scale
     if offset:
         mean_d, mean_u = pre_d.mean(axis=1), float(pre_u.mean())
         pre_d, pre_u = pre_d - mean_d[:, None], pre_u - mean_u

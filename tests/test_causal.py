@@ -136,6 +136,23 @@ def test_equal_donors_share_the_weight():
     assert np.allclose(scm.simplex(np.ones((3, 4)), np.zeros(3)), 0.25)
 
 
+@pytest.mark.parametrize("constraint", scm.CONSTRAINTS)
+def test_fit_of_values_that_are_not_finite_or_huge(constraint):
+    """Not finite before the onset: NaN all over, no error.  Huge: the weights of the scaled values."""
+    rng = np.random.default_rng(5)
+    donors, unit = rng.normal(2, 1, (4, 9)), rng.normal(2, 1, 9)
+    for bad in (np.nan, np.inf, -np.inf):
+        for where in ("unit", "donor"):
+            d, u = donors.copy(), unit.copy()
+            (u if where == "unit" else d[1])[2] = bad
+            w, mu, gaps = scm.fit_unit(d, u, 6, constraint, True)
+            assert np.isnan(w).all() and np.isnan(mu) and np.isnan(gaps).all() and gaps.shape == (9,)
+    w, mu, gaps = scm.fit_unit(donors, unit, 6, constraint, True)
+    big = scm.fit_unit(donors * 2.0**700, unit * 2.0**700, 6, constraint, True)
+    assert np.allclose(big[0], w, atol=1e-9) and np.allclose(big[2] / 2.0**700, gaps, atol=1e-8)
+
+
+
 @pytest.mark.parametrize(("constraint", "offset"), [("simplex", True), ("simplex", False), ("nnls", False), ("nnls", True)])
 def test_synthetic_control(des, data, constraint, offset):
     x, treated = data
