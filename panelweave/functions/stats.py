@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import write_table
+
 
 def erfc(x: Column) -> Column:
     """Complementary error function of ``x >= 0``, in built-in functions.
@@ -53,8 +55,11 @@ def bh_adjust_large(df: DataFrame, p: str = "p_value", out: str = "fdr", by: tup
     Exact and without a global sort: p-values fall into cells of equal width
     on a log scale (at most ``324 * cells_per_decade``); the cells' counts give
     each cell's first rank, ranks and running minima are windows inside a
-    cell, and one small window over cells carries the minimum across.
+    cell, and one small window over cells carries the minimum across.  These
+    read ``df`` several times: it is written once, as a table in the shared
+    folder, so that the estimates it comes from are not made anew each time.
     """
+    df, _ = write_table(df, "p-values")
     keys = list(by)
     cell = F.when(F.col(p) > 0, F.floor(F.log10(p) * cells_per_decade)).otherwise(F.lit(-400 * cells_per_decade)).cast("int")
     tested = df.where(F.col(p).isNotNull()).withColumn("_cell", cell)
